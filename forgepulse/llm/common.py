@@ -75,40 +75,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values, the index of its first smallest one (a van Herk scan in blocks)."""
+    """For each window of `width` hashes, the index of its smallest by the upper 32 bits, the first one of equals; by doubling."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    if width <= 16:
-        best, at = values[:n].copy(), np.arange(n)
-        for j in range(1, width):
-            less = values[j : j + n] < best
-            at[less] = np.flatnonzero(less) + j
-            best[less] = values[j : j + n][less]
-        return at
-    blocks = -(-len(values) // width)
-    full = np.full(blocks * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    full[: len(values)] = values
-    full = full.reshape(blocks, width)
-    forward = np.minimum.accumulate(full, axis=1).ravel()
-    back = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], forward[width - 1 : width - 1 + n])
-    # the first place at or after each window's start whose value is the window's least
-    order = np.lexsort((np.arange(len(values)), values))
-    keys = values[order]
-    change = np.flatnonzero(np.diff(least)) + 1
-    firsts = np.concatenate(([0], change))
-    out = np.empty(n, dtype=np.int64)
-    ends = np.concatenate((change, [n]))
-    lo = np.searchsorted(keys, least[firsts], "left")
-    hi = np.searchsorted(keys, least[firsts], "right")
-    for f, e, a, b in zip(firsts.tolist(), ends.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        if b - a == 1:
-            out[f:e] = order[a]
-        else:
-            places = order[a:b]
-            out[f:e] = places[np.searchsorted(places, np.arange(f, e), "left")]
-    return out
+    keys = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        keys = np.minimum(keys[:-step], keys[step:])
+        have += step
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

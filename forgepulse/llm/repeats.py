@@ -1,29 +1,31 @@
 """Anchored search for repeated windows, shared by the two exact-substring operators.
 
 A window (13 words, or 400 bytes) is sent to the place of its smallest k-gram hash, its anchor; equal windows have
-equal anchors at equal offsets, so nothing is lost, and neighbouring windows mostly share an anchor.  Steps, all Spark jobs:
+equal anchors at equal offsets, so nothing is lost, and neighbouring windows mostly share an anchor.  Steps of one Spark plan:
 
-1. every anchor key of every document is counted (partial sums before the shuffle); keys met once are done with;
+1. the anchor keys of all documents meet; keys that only one place has are done with (8 bytes and an id a key are moved);
 2. the runs of windows ("chunks") at the keys that are left leave their documents, copies combined before the shuffle;
-3. an index over the chunks of a group of keys (suffix tree, or suffix-array family) decides which windows repeat;
-   keys in more than `hot` documents are cut into single windows, which a plain aggregation with partial sums decides;
-4. verdicts go back to the documents that hold the chunk.
+   keys of more than `hot` documents leave as single windows, told apart by two hashes, without content;
+3. an index over a group of keys (suffix tree, or suffix-array family) decides which windows repeat;
+4. verdicts go back to the documents.  Both joins read one shuffle of the texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bytes of chunks a map task combines before it sends them on.
+#: Bytes of chunks that a map task combines before it sends them on.
 COMBINE_BYTES = 24 << 20
+LEAST = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -37,91 +39,123 @@ class Windows:
     #: Only windows of another document count as repeats.
     across: bool = False
 
-    def symbols(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, byte starts and byte ends of the symbols."""
-        if self.kind == "words":
-            starts, ends = C.word_bounds(data)
-            return C.word_hashes(data, starts, ends), starts, ends
-        at = np.arange(len(data) + 1)
-        return C.BYTE[data], at[:-1], at[1:]
 
-    def chunks(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Anchor keys, anchor places, and first and last window start of each chunk."""
-        n = len(codes)
-        if n < self.window:
-            none = np.zeros(0, dtype=np.int64)
-            return none.view(np.uint64), none, none, none
-        i = np.arange(n - self.gram + 1)
-        grams = C.Rolling(codes).of(i, i + self.gram)
-        at = C.sliding_argmin(grams, self.window - self.gram + 1)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-        return grams[at[first]], at[first], first, np.concatenate((first[1:] - 1, [len(at) - 1]))
+@dataclass
+class Chunks:
+    """The chunks of a batch of documents, as arrays: document's number, anchor key, places of anchor and of first and last window."""
+
+    data: np.ndarray
+    codes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    offsets: np.ndarray  # each document's first symbol, and the end
+    doc: np.ndarray
+    key: np.ndarray
+    anchor: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def symbols(spec: Windows, texts: list[np.ndarray], hashes: bool = True):
+    """All texts in one array, with the symbols' codes, byte starts and ends, and each text's first symbol."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    if spec.kind == "bytes":
+        data = np.concatenate([*texts, np.zeros(0, dtype=np.uint8)])
+        at = np.arange(len(data) + 1)
+        return data, C.BYTE[data] if hashes else None, at[:-1], at[1:], np.concatenate(([0], np.cumsum(sizes)))
+    data = np.frombuffer(b" ".join([t.data for t in texts]), dtype=np.uint8)
+    starts, ends = C.word_bounds(data)
+    offsets = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes + 1))))
+    return data, C.word_hashes(data, starts, ends) if hashes else None, starts, ends, offsets
+
+
+def chunks(spec: Windows, texts: list[np.ndarray]) -> Chunks:
+    data, codes, starts, ends, offsets = symbols(spec, texts)
+    none = np.zeros(0, dtype=np.int64)
+    if len(codes) < spec.window:
+        return Chunks(data, codes, starts, ends, offsets, none, none.view(np.uint64), none, none, none)
+    i = np.arange(len(codes) - spec.gram + 1)
+    grams = C.Rolling(codes).of(i, i + spec.gram)
+    at = C.sliding_argmin(grams, spec.window - spec.gram + 1)
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    head, tail = doc[: len(at)], doc[spec.window - 1 :]
+    new = np.concatenate(([True], (at[1:] != at[:-1]) | (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
+    inside = head[first] == tail[first]
+    first, last = first[inside], last[inside]
+    return Chunks(data, codes, starts, ends, offsets, head[first], grams[at[first]], at[first], first, last)
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """dk, the id in order; doc_id; text."""
-    return df.select(C.doc_key().alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), C.text_col().alias("text"))
+    """dk, the id in order (null as the least number), and text."""
+    return df.select(C.doc_key().alias("dk"), C.text_col().alias("text"))
+
+
+def groups(frames: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches with their texts, cut so that the texts of one hold about `most` bytes or are a single one."""
+    for batch in frames:
+        texts = list(C.raw_texts(batch.column("text")))
+        start = size = 0
+        for i, t in enumerate(texts):
+            if i > start and size + len(t) > most:
+                yield batch.slice(start, i - start), texts[start:i]
+                start, size = i, 0
+            size += len(t)
+        if texts:
+            yield batch.slice(start), texts[start:]
 
 
 def _keys(spec: Windows) -> Callable:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            ids = batch.column("dk").to_numpy()
-            keys, docs, counts = [], [], []
-            for d, data in zip(ids, C.raw_texts(batch.column("text")), strict=True):
-                key, _, _, _ = spec.chunks(spec.symbols(data)[0])
-                key, n = np.unique(key, return_counts=True)
-                keys.append(key), counts.append(n), docs.append(np.full(len(key), d))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(np.concatenate(keys))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(counts))], names=["akey", "dk", "n"])
+        for batch, texts in groups(frames):
+            c = chunks(spec, texts)
+            doc, key = c.doc, c.key
+            if spec.across and len(key):  # once for a document
+                order = np.lexsort((key, doc))
+                doc, key = doc[order], key[order]
+                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+                doc, key = doc[new], key[new]
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(key)), pa.array(batch.column("dk").to_numpy()[doc])], names=["akey", "dk"])
 
     return run
 
 
 def flagged(docs: DataFrame, spec: Windows) -> DataFrame:
     """For each document with some: the anchor keys that may hold a repeat, hot ones apart."""
-    rows = docs.select("dk", "text").mapInArrow(_keys(spec), "akey long, dk long, n long")
-    counted = rows.groupBy("akey").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.sum("n").alias("n"))
-    again = counted.where(F.col("lo") < F.col("hi") if spec.across else F.col("n") > 1).select("akey", (F.col("n") > spec.hot).alias("hot")).checkpoint()
-    hits = rows.select("akey", "dk").join(again, "akey")
-    return hits.groupBy("dk").agg(F.collect_list(F.when(~F.col("hot"), F.col("akey"))).alias("keys"), F.collect_list(F.when(F.col("hot"), F.col("akey"))).alias("hot_keys"))
+    met = Window.partitionBy("akey")
+    rows = docs.mapInArrow(_keys(spec), "akey long, dk long").select("akey", "dk", F.count("*").over(met).alias("n"), F.min("dk").over(met).alias("lo"), F.max("dk").over(met).alias("hi"))
+    again = rows.where(F.col("lo") < F.col("hi") if spec.across else F.col("n") > 1)
+    hot = F.col("n") > spec.hot
+    return again.groupBy("dk").agg(F.collect_set(F.when(~hot, F.col("akey"))).alias("keys"), F.collect_set(F.when(hot, F.col("akey"))).alias("hot_keys"))
 
 
-def row_key(data: np.ndarray, codes: np.ndarray) -> int:
-    """Tells rows with one id and different texts apart."""
-    return int(C.Rolling(codes).of(np.array([0]), np.array([len(codes)]))[0]) & 0x7FFFFFFF
-
+PLACE = pa.struct([("dk", pa.int64()), ("rk", pa.int32()), ("first", pa.int32())])
+CHUNK = "akey long, second long, least long, content binary, back int, windows int, places array<struct<dk:long,rk:int,first:int>>"
+_CHUNK = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("least", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32()), ("places", pa.list_(PLACE))])
+ODD = (b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"  ")
 
-def _pieces(spec: Windows, data: np.ndarray, keys, hot_keys):
-    """(key, second key, content slices or None, back, first window, windows) of each chunk at a flagged key."""
-    codes, starts, ends = spec.symbols(data)
-    akey, anchor, first, last = spec.chunks(codes)
-    one = C.Rolling(codes, 1)
-    rk = row_key(data, codes)
-    cold = np.flatnonzero(np.isin(C.signed(akey), keys))
-    a, f, e = anchor[cold], first[cold], last[cold]
-    second = one.of(f, e + spec.window)
-    out = (C.signed(akey[cold]), C.signed(second), starts[f], ends[e + spec.window - 1], a - f, f, e - f + 1)
-    warm = np.flatnonzero(np.isin(C.signed(akey), hot_keys)) if len(hot_keys) else np.zeros(0, dtype=np.int64)
-    if len(warm):
-        w = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[warm], last[warm], strict=True)])
-        hot = (C.signed(C.Rolling(codes).of(w, w + spec.window)), C.signed(one.of(w, w + spec.window)), w)
-    else:
-        hot = (np.zeros(0, dtype=np.int64),) * 3
-    return rk, out, hot
 
+def _content(spec: Windows, raw: bytes) -> bytes:
+    return b" ".join(raw.split()) if spec.kind == "words" and any(x in raw for x in ODD) else raw
 
-def _content(spec: Windows, data: np.ndarray, start: int, end: int) -> bytes:
-    raw = data[start:end].tobytes()
-    return b" ".join(raw.split()) if spec.kind == "words" and (b"\n" in raw or b"  " in raw or b"\t" in raw or b"\r" in raw or b"\x0b" in raw or b"\x0c" in raw) else raw
 
+def _wanted(batch: pa.RecordBatch, name: str, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which (document, key) pairs are among the batch's lists of keys."""
+    lists = batch.column(name)
+    flat = lists.flatten().to_numpy()
+    if not len(flat) or not len(key):
+        return np.zeros(len(key), dtype=bool)
+    count = np.diff(lists.offsets.to_numpy())
+    own = np.repeat(np.arange(len(lists), dtype=np.uint64), count)
+    have = np.sort(C.mix(flat.view(np.uint64)) ^ own * np.uint64(0x9E3779B97F4A7C15))
+    ask = C.mix(key) ^ doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.searchsorted(have, ask)
+    return have[np.minimum(at, len(have) - 1)] == ask
 
-CHUNK = "akey long, second long, content binary, back int, windows int, lo long, hi long, n long"
-_CHUNK = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())])
 
-
-def _contents(spec: Windows) -> Callable:
-    """Chunks with their content; those of one map task that are equal are combined."""
+def _sent(spec: Windows) -> Callable:
+    """Chunks at flagged keys, with content and places; those of one map task that are equal are combined."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -129,82 +163,136 @@ def _contents(spec: Windows) -> Callable:
 
         def out():
             items = list(held.items())
-            for i in range(0, len(items), 4096):
-                part = items[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), *(pa.array([v[j] for _, v in part], t) for j, t in enumerate(_CHUNK.types[2:]))], schema=_CHUNK)
-
-        for batch in frames:
-            lists = zip(batch.column("dk").to_pylist(), batch.column("keys"), batch.column("hot_keys"), C.raw_texts(batch.column("text")), strict=True)
-            for d, keys, hot_keys, data in lists:
-                _, (akey, second, start, end, back, _, windows), hot = _pieces(spec, data, keys.values.to_numpy(), hot_keys.values.to_numpy())
-                for k, s, b, e, o, w in zip(akey.tolist(), second.tolist(), start.tolist(), end.tolist(), back.tolist(), windows.tolist(), strict=True):
-                    v = held.get((k, s))
-                    if v is None:
-                        content = _content(spec, data, b, e)
-                        held[k, s] = [content, o, w, d, d, 1]
-                        size += len(content) + 200
-                    else:
-                        v[3], v[4], v[5] = min(v[3], d), max(v[4], d), v[5] + 1
-                for k, s in zip(hot[0].tolist(), hot[1].tolist(), strict=True):
-                    v = held.get((k, s))
-                    if v is None:
-                        held[k, s] = [None, 0, 1, d, d, 1]
-                        size += 200
-                    else:
-                        v[3], v[4], v[5] = min(v[3], d), max(v[4], d), v[5] + 1
-                if size > COMBINE_BYTES:
-                    yield from out()
-                    held.clear()
-                    size = 0
+            held.clear()
+            for i in range(0, len(items), 2048):
+                part = items[i : i + 2048]
+                places = [v[3] for _, v in part]
+                flat = np.array([x for p in places for x in p], dtype=np.int64).reshape(-1, 3)
+                array = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int32), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))], fields=list(PLACE)))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([min(p)[0] for p in places], pa.int64()), *(pa.array([v[j] for _, v in part], t) for j, t in enumerate(_CHUNK.types[3:6])), array], schema=_CHUNK)
+
+        for batch, texts in groups(frames):
+            c = chunks(spec, texts)
+            ids = batch.column("dk").to_numpy()
+            marks = np.fromiter((zlib.crc32(t) & 0x7FFFFFFF for t in texts), dtype=np.int64, count=len(texts))
+            second = C.Rolling(c.codes, 1)
+            pick = _wanted(batch, "keys", c.doc, c.key)
+            doc, first, last = c.doc[pick], c.first[pick], c.last[pick]
+            raw = c.data.tobytes()
+            columns = (C.signed(c.key[pick]), C.signed(second.of(first, last + spec.window)), c.starts[first], c.ends[last + spec.window - 1], c.anchor[pick] - first, last - first + 1, ids[doc], marks[doc], first - c.offsets[doc])
+            for k, s, b, e, o, w, d, m, f in zip(*(x.tolist() for x in columns), strict=True):
+                v = held.get((k, s))
+                if v is None:
+                    held[k, s] = [_content(spec, raw[b:e]), o, w, [(d, m, f)]]
+                    size += e - b + 300
+                else:
+                    v[3].append((d, m, f))
+                    size += 120
+            pick = _wanted(batch, "hot_keys", c.doc, c.key)
+            if pick.any():
+                w = np.concatenate([np.arange(x, y + 1) for x, y in zip(c.first[pick], c.last[pick], strict=True)])
+                doc = np.repeat(c.doc[pick], c.last[pick] - c.first[pick] + 1)
+                columns = (C.signed(C.Rolling(c.codes).of(w, w + spec.window)), C.signed(second.of(w, w + spec.window)), ids[doc], marks[doc], w - c.offsets[doc])
+                for k, s, d, m, f in zip(*(x.tolist() for x in columns), strict=True):
+                    held.setdefault((k, s), [None, 0, 1, []])[3].append((d, m, f))
+                size += 200 * len(w)
+            if size > COMBINE_BYTES:
+                yield from out()
+                size = 0
         yield from out()
 
     return run
 
 
-def _places(spec: Windows) -> Callable:
-    """Where each chunk at a flagged key lies."""
+@dataclass
+class Chunk:
+    key: int
+    second: int
+    least: int
+    content: bytes
+    back: int
+    windows: int
+    places: list  # of (dk, rk, first)
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _index(spec: Windows, decide: Callable, kind: pa.DataType) -> Callable:
+    """decide(groups of chunks) yields (chunk, verdict); rows come sorted by key, second hash and least id."""
+    schema = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("first", pa.int32()), ("verdict", kind)])
+
+    def rows(frames):
         for batch in frames:
-            cols = [[], [], [], [], []]
-            for d, keys, hot_keys, data in zip(batch.column("dk").to_pylist(), batch.column("keys"), batch.column("hot_keys"), C.raw_texts(batch.column("text")), strict=True):
-                rk, (akey, second, _, _, _, first, _), hot = _pieces(spec, data, keys.values.to_numpy(), hot_keys.values.to_numpy())
-                for col, x in zip(cols, (np.concatenate((akey, hot[0])), np.concatenate((second, hot[1])), np.full(len(akey) + len(hot[0]), d), np.full(len(akey) + len(hot[0]), rk, dtype=np.int32), np.concatenate((first, hot[2])).astype(np.int32)), strict=True):
-                    col.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["akey", "second", "dk", "rk", "first"])
+            cols = [batch.column(n) for n in _CHUNK.names]
+            places = cols[6]
+            flat, offsets = places.flatten(), (places.offsets.to_numpy() - places.offsets[0].as_py()).tolist()
+            triples = list(zip(*(flat.field(i).to_pylist() for i in range(3)), strict=True))
+            for i, row in enumerate(zip(*(x.to_pylist() for x in cols[:6]), strict=True)):
+                yield row, triples[offsets[i] : offsets[i + 1]]
 
-    return run
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list = []
+
+        def keyed():
+            """Groups of chunks of a key.  Windows of hot keys pass by as a stream: all but the first one's first place repeat it."""
+            group: list[Chunk] = []
+            head = None
+            for (k, s, least, content, back, windows), places in rows(frames):
+                if content is None:
+                    if head is None or head[:2] != (k, s):
+                        head = (k, s, least, places[0], len(places) > 1)
+                        if not spec.across and len(places) == 1:
+                            continue
+                    elif not head[4] and not spec.across:
+                        hot.append((head[3], None))
+                        head = (*head[:4], True)
+                    hot.extend((p, head[2]) for p in places)
+                    if len(hot) >= 4096:
+                        yield None
+                    continue
+                if group and group[0].key != k:
+                    yield group
+                    group = []
+                if group and group[-1].second == s:
+                    group[-1].places.extend(places)
+                    group[-1].least = min(group[-1].least, least)
+                else:
+                    group.append(Chunk(k, s, least, content, back, windows, places))
+            if group:
+                yield group
 
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[0][i] for x in found], schema.types[i]) for i in range(3)] + [pa.array([x[1] for x in found], kind)], schema=schema)
+
+        found: list = []
+        for chunk, verdict in decide(keyed()):
+            if chunk is not None:
+                found.extend((p, verdict) for p in chunk.places)
+            if hot:
+                found.extend((p, [least] if spec.across else [{"lo": 0, "hi": 1}]) for p, least in hot)
+                hot.clear()
+            if len(found) >= 4096:
+                yield out(found)
+                found = []
+        found.extend((p, [least] if spec.across else [{"lo": 0, "hi": 1}]) for p, least in hot)
+        if found:
+            yield out(found)
+
+    return run
 
-def verdicts(docs: DataFrame, spec: Windows, index: Callable, verdict: str, single) -> DataFrame:
-    """Per document: its list of (rk, first window, verdict).
 
-    index(rows) is a mapInArrow function over chunks sorted by key, which yields akey, second and the verdict;
-    single is the verdict, a Column over lo, hi and n, on one window of a hot key (null: no repeat).
-    """
-    found = docs.join(flagged(docs, spec), "dk")
-    sent = found.select("dk", "text", "keys", "hot_keys").mapInArrow(_contents(spec), CHUNK)
+def with_repeats(docs: DataFrame, spec: Windows, decide: Callable, kind: pa.DataType, verdict: str) -> DataFrame:
+    """docs (dk, text) with repeats: a list of (rk, first window, verdict), or null."""
     parts = C.parallelism(docs.sparkSession)
-    cold = sent.where("content is not null").repartition(parts, "akey").sortWithinPartitions("akey", "second").mapInArrow(index, f"akey long, second long, verdict {verdict}")
-    hot = sent.where("content is null").groupBy("akey", "second").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).select("akey", "second", single.alias("verdict")).where("verdict is not null")
-    decided = cold.unionByName(hot).checkpoint()
-    places = found.select("dk", "text", "keys", "hot_keys").mapInArrow(_places(spec), "akey long, second long, dk long, rk int, first int")
-    return places.join(decided, ["akey", "second"]).groupBy("dk").agg(F.collect_list(F.struct("rk", "first", "verdict")).alias("repeats"))
+    found = docs.join(flagged(docs, spec), "dk").select("dk", "text", "keys", "hot_keys").mapInArrow(_sent(spec), CHUNK)
+    placed = found.repartition(parts, "akey").sortWithinPartitions("akey", "second", "least")
+    verdicts = placed.mapInArrow(_index(spec, decide, kind), f"dk long, rk int, first int, verdict {verdict}")
+    lists = verdicts.groupBy("dk").agg(F.collect_list(F.struct("rk", "first", "verdict")).alias("repeats"))
+    return docs.join(lists, "dk", "left")
 
 
-def chunk_groups(frames: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """The rows of each anchor key, [akey, second, content, back, windows, lo, hi, n], equal chunks combined; rows come sorted."""
-    group: list[list] = []
-    for batch in frames:
-        for row in zip(*(batch.column(c).to_pylist() for c in _CHUNK.names), strict=True):
-            if group and group[0][0] != row[0]:
-                yield group
-                group = []
-            if group and group[-1][1] == row[1]:
-                last = group[-1]
-                last[5], last[6], last[7] = min(last[5], row[5]), max(last[6], row[6]), last[7] + row[7]
-            else:
-                group.append(list(row))
-    if group:
-        yield group
+def row_mark(data: np.ndarray) -> int:
+    """Tells rows with one id and different texts apart."""
+    return zlib.crc32(data) & 0x7FFFFFFF
+
+
+def ids_of(dk: list[int]) -> list[int | None]:
+    return [None if d == LEAST else d for d in dk]

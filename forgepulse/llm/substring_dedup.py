@@ -19,27 +19,6 @@ from . import common as C
 from . import repeats as R
 
 
-def subtree(suffixes: list[list[bytes]]) -> list[tuple[int, list[int]]]:
-    """Internal nodes (depth in words, leaves) of the suffix tree of a group, from its sorted suffixes and a stack; parents follow their children."""
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    nodes: list[tuple[int, list[int]]] = []
-    stack: list[tuple[int, int]] = []  # depth, first leaf in order
-    for i in range(1, len(order) + 1):
-        depth = 0
-        if i < len(order):
-            a, b = suffixes[order[i - 1]], suffixes[order[i]]
-            most = min(len(a), len(b))
-            while depth < most and a[depth] == b[depth]:
-                depth += 1
-        start = i - 1
-        while stack and stack[-1][0] > depth:
-            d, start = stack.pop()
-            nodes.append((d, order[start:i]))
-        if i < len(order) and (not stack or stack[-1][0] < depth):
-            stack.append((depth, start))
-    return nodes
-
-
 def reach(suffixes: list[list[bytes]]) -> list[int]:
     """Depth of the deepest internal node above each leaf: the words that it shares with some other suffix."""
     order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
@@ -53,70 +32,60 @@ def reach(suffixes: list[list[bytes]]) -> list[int]:
     return deep
 
 
-def _index(window: int):
-    def decide(group: list[list]) -> Iterator[tuple[int, int, list[int]]]:
-        """For each chunk in which a later document may lose words: the least id that holds each of its windows."""
-        if len(group) == 1:
-            g = group[0]
-            if g[5] < g[6]:
-                yield g[0], g[1], [g[5]] * g[4]
-            return
-        words = [g[2].split(b" ") for g in group]
-        deep = reach([w[g[3] :] for w, g in zip(words, group, strict=True)])
-        least: dict[tuple, int] = {}
-        for g, w, d in zip(group, words, deep, strict=True):
-            for i in range(g[4]):
-                if window - (g[3] - i) <= d:  # a node deep enough: the exact check is on the whole window
-                    key = tuple(w[i : i + window])
-                    if g[5] < least.get(key, 2**63):
-                        least[key] = g[5]
-        for g, w, d in zip(group, words, deep, strict=True):
-            mins = [least[tuple(w[i : i + window])] if window - (g[3] - i) <= d else g[5] for i in range(g[4])]
-            if min(mins) < g[6]:
-                yield g[0], g[1], mins
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["akey", "second", "verdict"])
-
-        for group in R.chunk_groups(frames):
-            rows.extend(decide(group))
-            if len(rows) >= 4096:
-                yield out()
-                rows = []
-        if rows:
-            yield out()
+def _decide(window: int):
+    """For each chunk in which a later document may lose words: the least id that holds each of its windows."""
+
+    def run(groups: Iterator[list[R.Chunk] | None]) -> Iterator[tuple]:
+        for group in groups:
+            if group is None:
+                yield None, None
+            elif len(group) == 1:
+                chunk = group[0]
+                if any(p[0] > chunk.least for p in chunk.places):
+                    yield chunk, [chunk.least] * chunk.windows
+            else:
+                words = [c.content.split(b" ") for c in group]
+                deep = reach([w[c.back :] for w, c in zip(words, group, strict=True)])
+                least: dict[tuple, int] = {}
+                for c, w, d in zip(group, words, deep, strict=True):
+                    for i in range(c.windows):
+                        if window - (c.back - i) <= d:  # a node deep enough: the exact check is on the whole window
+                            key = tuple(w[i : i + window])
+                            if c.least < least.get(key, 2**63):
+                                least[key] = c.least
+                for c, w, d in zip(group, words, deep, strict=True):
+                    mins = [least[tuple(w[i : i + window])] if window - (c.back - i) <= d else c.least for i in range(c.windows)]
+                    lowest = min(mins)
+                    if any(p[0] > lowest for p in c.places):
+                        yield c, mins
 
     return run
 
 
 def _apply(spec: R.Windows):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("dk").to_pylist(), C.raw_texts(batch.column("text")), batch.column("repeats"), strict=True)
-            out = [[], [], [], [], []]
-            for doc_id, dk, data, repeats in rows:
-                codes, starts, ends = spec.symbols(data)
-                lost = np.zeros(len(codes) + 1, dtype=np.int32)
+        for batch, texts in R.groups(frames):
+            data, _, starts, ends, offsets = R.symbols(spec, texts, hashes=False)
+            raw, dks, out = data.tobytes(), batch.column("dk").to_pylist(), [[], [], [], []]
+            for i, repeats in enumerate(batch.column("repeats")):
+                s, e = starts[offsets[i] : offsets[i + 1]], ends[offsets[i] : offsets[i + 1]]
+                n = len(s)
                 if repeats.is_valid:
-                    rk = R.row_key(data, codes)
+                    lost = np.zeros(n + 1, dtype=np.int32)
                     fields = repeats.values
                     first, mins = fields.field("first").to_numpy(), fields.field("verdict")
-                    offsets, mins = mins.offsets.to_numpy() - mins.offsets[0].as_py(), mins.flatten().to_numpy()
-                    own = np.repeat(fields.field("rk").to_numpy() == rk, np.diff(offsets))
-                    at = np.repeat(first, np.diff(offsets)) + np.arange(len(mins)) - np.repeat(offsets[:-1], np.diff(offsets))
-                    at = at[own & (mins < dk)]
+                    count, mins = np.diff(mins.offsets.to_numpy()), mins.flatten().to_numpy()
+                    own = np.repeat(fields.field("rk").to_numpy() == R.row_mark(texts[i]), count)
+                    at = np.repeat(first, count) + np.arange(len(mins)) - np.repeat(np.cumsum(count) - count, count)
+                    at = at[own & (mins < dks[i])]
                     np.add.at(lost, at, 1)
-                    np.add.at(lost, np.minimum(at + spec.window, len(codes)), -1)
-                gone = np.cumsum(lost[:-1]) > 0
-                raw = data.tobytes()
-                kept = b" ".join([raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)])
-                for col, x in zip(out, (doc_id, len(codes), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    np.add.at(lost, np.minimum(at + spec.window, n), -1)
+                    keep = np.cumsum(lost[:-1]) == 0
+                    s, e = s[keep], e[keep]
+                kept = b" ".join([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+                for col, x in zip(out, (n, n - len(s), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     col.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([R.ids_of(dks), *out], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -131,8 +100,6 @@ def substring_dedup(df: DataFrame, window: int = 13, gram: int = 5, hot: int = 2
     """
     C.prepare(df.sparkSession)
     spec = R.Windows("words", window, gram, hot, across=True)
-    docs = R.prepared(df)
-    single = F.when(F.col("lo") < F.col("hi"), F.array("lo"))
-    found = R.verdicts(docs, spec, _index(window), "array<long>", single)
-    out = docs.join(found, "dk", "left").select("doc_id", "dk", "text", "repeats").mapInArrow(_apply(spec), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    docs = R.with_repeats(R.prepared(df), spec, _decide(window), pa.list_(pa.int64()), "array<long>")
+    out = docs.mapInArrow(_apply(spec), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.decode("kept", "UTF-8").alias("kept"))

@@ -15,7 +15,6 @@ from heapq import merge
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 from . import repeats as R
@@ -69,14 +68,14 @@ class IndexFamily:
                 self._met(i, j, shared(s, t))
 
 
-def repeated_windows(group: list[list], reach: list[int], window: int) -> list[tuple[int, int]]:
+def repeated_windows(group: list[R.Chunk], reach: list[int], window: int) -> list[tuple[int, int]]:
     """(chunk, window) of the windows of these chunks that more than one of them has; by two 64-bit hashes of the whole window."""
     one, two, chunk, at = [], [], [], []
     for c, (g, far) in enumerate(zip(group, reach, strict=True)):
-        # the window that starts i bytes into the content needs window - (back - i) bytes behind the anchor
-        most = min(g[4], far - window + g[3] + 1)
+        # a window that starts i bytes into the content needs window - (back - i) bytes behind the anchor
+        most = min(g.windows, far - window + g.back + 1)
         if most > 0:
-            codes = C.BYTE[np.frombuffer(g[2], dtype=np.uint8)]
+            codes = C.BYTE[np.frombuffer(g.content, dtype=np.uint8)]
             i = np.arange(most)
             one.append(C.Rolling(codes).of(i, i + window))
             two.append(C.Rolling(codes, 1).of(i, i + window))
@@ -93,71 +92,67 @@ def repeated_windows(group: list[list], reach: list[int], window: int) -> list[t
     return list(zip(chunk[hit].tolist(), at[hit].tolist(), strict=True))
 
 
-def _index(window: int, slab: int = 16 << 20):
-    def decide(rows: list[list]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def _decide(window: int, slab: int = 16 << 20):
+    """For each chunk with a repeated window: the runs of its repeated windows.  Keys stay whole; a slab of keys is indexed at a time."""
+
+    def indexed(groups: list[list[R.Chunk]]) -> Iterator[tuple]:
+        rows = [c for g in groups for c in g]
         family = IndexFamily()
         for i in range(0, len(rows), family.base):
-            family.add([g[2][g[3] : g[3] + window] for g in rows[i : i + family.base]])
-        start = 0
-        for end in range(1, len(rows) + 1):
-            if end < len(rows) and rows[end][0] == rows[start][0]:
-                continue
-            group, reach = rows[start:end], family.reach[start:end]
-            start = end
-            flags = [np.full(g[4], g[7] > 1) for g in group]
+            family.add([c.content[c.back : c.back + window] for c in rows[i : i + family.base]])
+        at = 0
+        for group in groups:
+            reach = family.reach[at : at + len(group)]
+            at += len(group)
+            flags = [np.full(c.windows, len(c.places) > 1) for c in group]
             if len(group) > 1:
                 for c, i in repeated_windows(group, reach, window):
                     flags[c][i] = True
-            for g, f in zip(group, flags, strict=True):
+            for c, f in zip(group, flags, strict=True):
                 if f.any():
                     step = np.diff(np.concatenate(([0], f.astype(np.int8), [0])))
-                    yield g[0], g[1], list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+                    yield c, [{"lo": a, "hi": b} for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            found = list(decide(rows))
-            for i in range(0, len(found), 4096):
-                part = found[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([[{"lo": a, "hi": b} for a, b in r[2]] for r in part], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["akey", "second", "verdict"])
-
-        rows: list[list] = []
+    def run(groups: Iterator[list[R.Chunk] | None]) -> Iterator[tuple]:
+        held: list[list[R.Chunk]] = []
         size = 0
-        for group in R.chunk_groups(frames):  # keys stay whole; a slab of keys is indexed at a time
-            rows.extend(group)
-            size += sum(len(g[2]) for g in group)
+        for group in groups:
+            if group is None:
+                yield None, None
+                continue
+            if len(group) == 1 and len(group[0].places) == 1:
+                continue
+            held.append(group)
+            size += sum(len(c.content) + 100 * len(c.places) for c in group)
             if size > slab:
-                yield from out(rows)
-                rows, size = [], 0
-        yield from out(rows)
+                yield from indexed(held)
+                held, size = [], 0
+        yield from indexed(held)
 
     return run
 
 
 def _apply(spec: R.Windows):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            out = [[], [], [], [], [], []]
-            for doc_id, data, repeats in zip(batch.column("doc_id").to_pylist(), C.raw_texts(batch.column("text")), batch.column("repeats"), strict=True):
+        for batch, texts in R.groups(frames):
+            out: list[list] = [[], [], [], [], []]
+            for data, repeats in zip(texts, batch.column("repeats"), strict=True):
                 starts = ends = np.zeros(0, dtype=np.int64)
+                kept = data.tobytes()
                 if repeats.is_valid:
-                    rk = R.row_key(data, C.BYTE[data])
                     fields = repeats.values
                     first, runs = fields.field("first").to_numpy().astype(np.int64), fields.field("verdict")
-                    count = np.diff(runs.offsets.to_numpy())
-                    flat = runs.flatten()
-                    own = np.repeat(fields.field("rk").to_numpy() == rk, count)
+                    count, flat = np.diff(runs.offsets.to_numpy()), runs.flatten()
+                    own = np.repeat(fields.field("rk").to_numpy() == R.row_mark(data), count)
                     first = np.repeat(first, count)
                     starts, ends = C.merge_spans((first + flat.field("lo").to_numpy())[own], (first + flat.field("hi").to_numpy() - 1 + spec.window)[own])
-                keep = np.ones(len(data), dtype=bool)
-                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                    keep[s:e] = False
-                kept = data[keep].tobytes()
-                spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-                for col, x in zip(out, (doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans]), strict=True):
+                    edge = [0, *np.stack((starts, ends), axis=1).ravel().tolist(), len(kept)]
+                    kept = b"".join([kept[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)])
+                spans = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                for col, x in zip(out, (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
                     col.append(x)
-            if out[0]:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([R.ids_of(batch.column("dk").to_pylist()), *out], types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return run
 
@@ -171,7 +166,5 @@ def suffix_array_dedup(df: DataFrame, window: int = 400, gram: int = 32, hot: in
     """
     C.prepare(df.sparkSession)
     spec = R.Windows("bytes", window, gram, hot)
-    docs = R.prepared(df)
-    single = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(1).alias("hi"))))
-    found = R.verdicts(docs, spec, _index(window), "array<struct<lo:int,hi:int>>", single)
-    return docs.join(found, "dk", "left").select("doc_id", "text", "repeats").mapInArrow(_apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    docs = R.with_repeats(R.prepared(df), spec, _decide(window), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), "array<struct<lo:int,hi:int>>")
+    return docs.mapInArrow(_apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
