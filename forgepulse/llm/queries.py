@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_array_dedup import suffix_array_dedup
 
@@ -21,8 +22,12 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(documents(spark, sf_dir)).drop("spans")
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
