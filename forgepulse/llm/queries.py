@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .fingerprints import fingerprint_documents
+from .license_scan import license_scan
+from .mixing import mixing_plan
+from .packing import pack
+from .secret_scan import secret_scan
 from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_array_dedup import suffix_array_dedup
 
+#: Environment variable that names a tokenizer file in place of the public one.
+TOKENIZER = "TOKENIZER_FILE"
+
+
+def tokenizer() -> str:
+    if TOKENIZER in os.environ:
+        return os.environ[TOKENIZER]
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,16 +36,36 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).drop("kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir)).drop("spans")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir)).drop("redacted")
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(documents(spark, sf_dir)).drop("spans")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer(), with_ids=False)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_secret_scan, op5_document_fingerprints, op6_suffix_array_dedup, op7_packing, op9_simhash_near_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
