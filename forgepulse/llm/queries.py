@@ -12,6 +12,8 @@ from .fingerprints import fingerprint_documents
 from .license_scan import license_scan
 from .mixing import mixing_plan
 from .packing import pack
+from .pii import pii_spans
+from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
@@ -44,6 +46,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).drop("redacted")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).drop("cleaned")
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -56,6 +62,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer(), with_ids=False)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(documents(spark, sf_dir))
 
@@ -65,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_secret_scan, op5_document_fingerprints, op6_suffix_array_dedup, op7_packing, op9_simhash_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_secret_scan, op4_quality_rules, op5_document_fingerprints, op6_suffix_array_dedup, op7_packing, op8_pii, op9_simhash_near_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,7 +49,7 @@ def _fingerprints(shingle: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             out = np.fromiter((fingerprint(lower_ascii(d).split(), shingle) for d in C.raw_texts(batch.column("text"))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dk"), pa.array(C.signed(out))], names=["doc_id", "dk", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dk"), batch.column("row_key"), pa.array(C.signed(out))], names=["doc_id", "dk", "row_key", "fp"])
 
     return run
 
@@ -161,6 +161,21 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("v").agg(F.min("u").alias("least")).withColumnRenamed("v", "node")
 
 
+def _classes(df: DataFrame, shingle: int, budget: int) -> DataFrame:
+    """doc_id, dk, row_key (of id and text), fp and component (the least dk reachable) of each row."""
+    C.prepare(df.sparkSession)
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), C.doc_key().alias("dk"), F.xxhash64("doc_id", "text").alias("row_key"), C.text_col().alias("text"))
+    prints = docs.mapInArrow(_fingerprints(shingle), "doc_id long, dk long, row_key long, fp long").checkpoint()
+    nodes = prints.groupBy("fp").agg(F.min("dk").alias("node")).checkpoint()
+    parts = C.parallelism(df.sparkSession)
+    turned = F.array(*(F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})") if r else F.col("fp") for r in range(0, 64, BLOCK)))
+    keys = nodes.select("node", F.posexplode(turned).alias("turn", "key"))
+    placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})")).select("turn", "key", "node").sortWithinPartitions("turn")
+    least = components(placed.mapInArrow(_links_by_turn(budget), "u long, v long"))
+    named = nodes.join(least, "node", "left").select("fp", F.coalesce("least", "node").alias("component"))
+    return prints.join(named, "fp")
+
+
 def simhash_near_dedup(df: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -169,17 +184,25 @@ def simhash_near_dedup(df: DataFrame, shingle: int = 3, budget: int = 3) -> Data
     are linked; component_id is the least doc_id reachable.  A null id comes before all others and gives a null component.
     Equal rows each get a row; an empty table gives an empty one; other columns are ignored.
     """
-    C.prepare(df.sparkSession)
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), C.doc_key().alias("dk"), C.text_col().alias("text"))
-    prints = docs.mapInArrow(_fingerprints(shingle), "doc_id long, dk long, fp long").checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min("dk").alias("node")).checkpoint()
-    parts = C.parallelism(df.sparkSession)
-    keys = nodes.select("node", F.posexplode(F.array(*(F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})") if r else F.col("fp") for r in range(0, 64, BLOCK)))).alias("turn", "key"))
-    placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})"))
-    edges = placed.select("turn", "key", "node").sortWithinPartitions("turn").mapInArrow(_links_by_turn(budget), "u long, v long")
-    least = components(edges)
-    named = nodes.join(least, "node", "left").select("fp", F.coalesce("least", "node").alias("component"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != -(2**63), F.col("component")).alias("component_id"))
+    rows = _classes(df, shingle, budget)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != -(2**63), F.col("component")).alias("component_id"))
+
+
+def keep_one_of_each(df: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
+    """The rows of df, with its columns, that have the least id of their component; of equal rows one stays, of rows with one id and different texts one."""
+    first = F.min(F.struct("dk", "row_key")).alias("first")
+    kept = _classes(df, shingle, budget).groupBy("component").agg(first).select(F.col("first.dk").alias("_dk"), F.col("first.row_key").alias("_row_key"))
+    named = df.withColumn("_dk", C.doc_key()).withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    return _single(named.join(kept, ["_dk", "_row_key"], "left_semi"), df)
+
+
+def _single(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Equal ids and texts stand in one task already; only ids that are met again are told apart there."""
+    ids = df.groupBy(C.doc_key().alias("_dk")).count().where("count > 1").select("_dk")
+    if not ids.take(1):
+        return rows.select(*df.columns)
+    again = rows.join(ids, "_dk", "left_semi").dropDuplicates(["_dk", "_row_key"])
+    return rows.join(ids, "_dk", "left_anti").unionByName(again).select(*df.columns)
 
 
 def _links_by_turn(budget: int):
