@@ -35,10 +35,14 @@ class Windows:
     kind: str
     window: int
     gram: int
-    hot: int = 20_000
+    hot: int = 100_000
     #: Only windows of another document count as repeats.
     across: bool = False
 
+    def __post_init__(self):
+        if self.across and self.window - self.gram > 62:
+            raise ValueError("a chunk may have at most 63 windows")
+
 
 @dataclass
 class Chunks:
@@ -110,13 +114,11 @@ def _keys(spec: Windows) -> Callable:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in groups(frames):
             c = chunks(spec, texts)
-            doc, key = c.doc, c.key
-            if spec.across and len(key):  # once for a document
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-                doc, key = doc[new], key[new]
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(key)), pa.array(batch.column("dk").to_numpy()[doc])], names=["akey", "dk"])
+            order = np.lexsort((c.key, c.doc))
+            doc, key = c.doc[order], c.key[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
+            n = np.diff(np.concatenate((new, [len(key)])))
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(key[new])), pa.array(batch.column("dk").to_numpy()[doc[new]]), pa.array(n.astype(np.int32))], names=["akey", "dk", "n"])
 
     return run
 
@@ -124,7 +126,7 @@ def _keys(spec: Windows) -> Callable:
 def flagged(docs: DataFrame, spec: Windows) -> DataFrame:
     """For each document with some: the anchor keys that may hold a repeat, hot ones apart."""
     met = Window.partitionBy("akey")
-    rows = docs.mapInArrow(_keys(spec), "akey long, dk long").select("akey", "dk", F.count("*").over(met).alias("n"), F.min("dk").over(met).alias("lo"), F.max("dk").over(met).alias("hi"))
+    rows = docs.mapInArrow(_keys(spec), "akey long, dk long, n int").select("akey", "dk", F.sum("n").over(met).alias("n"), F.min("dk").over(met).alias("lo"), F.max("dk").over(met).alias("hi"))
     again = rows.where(F.col("lo") < F.col("hi") if spec.across else F.col("n") > 1)
     hot = F.col("n") > spec.hot
     return again.groupBy("dk").agg(F.collect_set(F.when(~hot, F.col("akey"))).alias("keys"), F.collect_set(F.when(hot, F.col("akey"))).alias("hot_keys"))
@@ -217,7 +219,7 @@ class Chunk:
 
 def _index(spec: Windows, decide: Callable, kind: pa.DataType) -> Callable:
     """decide(groups of chunks) yields (chunk, verdict); rows come sorted by key, second hash and least id."""
-    schema = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("first", pa.int32()), ("verdict", kind)])
+    schema = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("firsts", pa.list_(pa.int32())), ("verdict", kind)])
 
     def rows(frames):
         for batch in frames:
@@ -260,19 +262,32 @@ def _index(spec: Windows, decide: Callable, kind: pa.DataType) -> Callable:
                 yield group
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[0][i] for x in found], schema.types[i]) for i in range(3)] + [pa.array([x[1] for x in found], kind)], schema=schema)
+            """Neighbouring places of one document with one verdict share a row."""
+            firsts, heads = [], []
+            for (d, m, f), v in found:
+                if heads and heads[-1] == (d, m, v):
+                    firsts[-1].append(f)
+                else:
+                    heads.append((d, m, v))
+                    firsts.append([f])
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in heads], pa.int64()), pa.array([h[1] for h in heads], pa.int32()), pa.array(firsts, schema.types[2]), pa.array([h[2] for h in heads], kind)], schema=schema)
+
+        def told(place: tuple, verdict: list):
+            """Across documents verdicts are the windows' least ids; only a later document is told, by one bit a window."""
+            if not spec.across:
+                return verdict
+            return sum(1 << i for i, least in enumerate(verdict) if least < place[0])
 
         found: list = []
         for chunk, verdict in decide(keyed()):
             if chunk is not None:
-                found.extend((p, verdict) for p in chunk.places)
-            if hot:
-                found.extend((p, [least] if spec.across else [{"lo": 0, "hi": 1}]) for p, least in hot)
-                hot.clear()
+                found.extend((p, v) for p in chunk.places if (v := told(p, verdict)))
+            found.extend((p, v) for p, least in hot if (v := told(p, [least] if spec.across else [{"lo": 0, "hi": 1}])))
+            hot.clear()
             if len(found) >= 4096:
                 yield out(found)
                 found = []
-        found.extend((p, [least] if spec.across else [{"lo": 0, "hi": 1}]) for p, least in hot)
+        found.extend((p, v) for p, least in hot if (v := told(p, [least] if spec.across else [{"lo": 0, "hi": 1}])))
         if found:
             yield out(found)
 
@@ -280,12 +295,12 @@ def _index(spec: Windows, decide: Callable, kind: pa.DataType) -> Callable:
 
 
 def with_repeats(docs: DataFrame, spec: Windows, decide: Callable, kind: pa.DataType, verdict: str) -> DataFrame:
-    """docs (dk, text) with repeats: a list of (rk, first window, verdict), or null."""
+    """docs (dk, text) with repeats: a list of (rk, first windows, verdict), or null."""
     parts = C.parallelism(docs.sparkSession)
     found = docs.join(flagged(docs, spec), "dk").select("dk", "text", "keys", "hot_keys").mapInArrow(_sent(spec), CHUNK)
     placed = found.repartition(parts, "akey").sortWithinPartitions("akey", "second", "least")
-    verdicts = placed.mapInArrow(_index(spec, decide, kind), f"dk long, rk int, first int, verdict {verdict}")
-    lists = verdicts.groupBy("dk").agg(F.collect_list(F.struct("rk", "first", "verdict")).alias("repeats"))
+    verdicts = placed.mapInArrow(_index(spec, decide, kind), f"dk long, rk int, firsts array<int>, verdict {verdict}")
+    lists = verdicts.groupBy("dk").agg(F.collect_list(F.struct("rk", "firsts", "verdict")).alias("repeats"))
     return docs.join(lists, "dk", "left")
 
 
@@ -296,3 +311,12 @@ def row_mark(data: np.ndarray) -> int:
 
 def ids_of(dk: list[int]) -> list[int | None]:
     return [None if d == LEAST else d for d in dk]
+
+
+def verdicts_of(repeats: pa.StructArray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """First windows and verdicts of a row's list that are about this text, one verdict for each."""
+    firsts, verdict = repeats.field("firsts"), repeats.field("verdict")
+    count = np.diff(firsts.offsets.to_numpy())
+    which = np.repeat(np.arange(len(count)), count)
+    own = (repeats.field("rk").to_numpy() == row_mark(data))[which]
+    return firsts.flatten().to_numpy()[own].astype(np.int64), verdict.take(pa.array(which[own]))

@@ -66,20 +66,19 @@ def _apply(spec: R.Windows):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in R.groups(frames):
             data, _, starts, ends, offsets = R.symbols(spec, texts, hashes=False)
+            most = spec.window - spec.gram + 1
             raw, dks, out = data.tobytes(), batch.column("dk").to_pylist(), [[], [], [], []]
             for i, repeats in enumerate(batch.column("repeats")):
                 s, e = starts[offsets[i] : offsets[i + 1]], ends[offsets[i] : offsets[i + 1]]
                 n = len(s)
                 if repeats.is_valid:
                     lost = np.zeros(n + 1, dtype=np.int32)
-                    fields = repeats.values
-                    first, mins = fields.field("first").to_numpy(), fields.field("verdict")
-                    count, mins = np.diff(mins.offsets.to_numpy()), mins.flatten().to_numpy()
-                    own = np.repeat(fields.field("rk").to_numpy() == R.row_mark(texts[i]), count)
-                    at = np.repeat(first, count) + np.arange(len(mins)) - np.repeat(np.cumsum(count) - count, count)
-                    at = at[own & (mins < dks[i])]
-                    np.add.at(lost, at, 1)
-                    np.add.at(lost, np.minimum(at + spec.window, n), -1)
+                    first, bits = R.verdicts_of(repeats.values, texts[i])
+                    bits = bits.to_numpy()
+                    for k in range(most):
+                        at = first[(bits >> k) & 1 == 1] + k
+                        np.add.at(lost, at, 1)
+                        np.add.at(lost, at + spec.window, -1)
                     keep = np.cumsum(lost[:-1]) == 0
                     s, e = s[keep], e[keep]
                 kept = b" ".join([raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
@@ -90,7 +89,7 @@ def _apply(spec: R.Windows):
     return run
 
 
-def substring_dedup(df: DataFrame, window: int = 13, gram: int = 5, hot: int = 20_000) -> DataFrame:
+def substring_dedup(df: DataFrame, window: int = 13, gram: int = 5, hot: int = 100_000) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and the kept text.
 
     A word goes if a window of `window` words over it also starts in a document with a smaller id.  Windows are judged on the
@@ -100,6 +99,6 @@ def substring_dedup(df: DataFrame, window: int = 13, gram: int = 5, hot: int = 2
     """
     C.prepare(df.sparkSession)
     spec = R.Windows("words", window, gram, hot, across=True)
-    docs = R.with_repeats(R.prepared(df), spec, _decide(window), pa.list_(pa.int64()), "array<long>")
+    docs = R.with_repeats(R.prepared(df), spec, _decide(window), pa.int64(), "long")
     out = docs.mapInArrow(_apply(spec), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.decode("kept", "UTF-8").alias("kept"))

@@ -140,12 +140,9 @@ def _apply(spec: R.Windows):
                 starts = ends = np.zeros(0, dtype=np.int64)
                 kept = data.tobytes()
                 if repeats.is_valid:
-                    fields = repeats.values
-                    first, runs = fields.field("first").to_numpy().astype(np.int64), fields.field("verdict")
-                    count, flat = np.diff(runs.offsets.to_numpy()), runs.flatten()
-                    own = np.repeat(fields.field("rk").to_numpy() == R.row_mark(data), count)
-                    first = np.repeat(first, count)
-                    starts, ends = C.merge_spans((first + flat.field("lo").to_numpy())[own], (first + flat.field("hi").to_numpy() - 1 + spec.window)[own])
+                    first, runs = R.verdicts_of(repeats.values, data)
+                    first, flat = np.repeat(first, np.diff(runs.offsets.to_numpy())), runs.flatten()
+                    starts, ends = C.merge_spans(first + flat.field("lo").to_numpy(), first + flat.field("hi").to_numpy() - 1 + spec.window)
                     edge = [0, *np.stack((starts, ends), axis=1).ravel().tolist(), len(kept)]
                     kept = b"".join([kept[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)])
                 spans = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -157,7 +154,7 @@ def _apply(spec: R.Windows):
     return run
 
 
-def suffix_array_dedup(df: DataFrame, window: int = 400, gram: int = 32, hot: int = 20_000) -> DataFrame:
+def suffix_array_dedup(df: DataFrame, window: int = 400, gram: int = 32, hot: int = 100_000) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans.
 
     A byte goes if a string of `window` bytes over it also starts anywhere else, in the same document too; all copies go.
