@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from ..schema import kind_order
 
 PLACES = ("row_number", "rank", "max_rank")
@@ -99,6 +100,7 @@ def exact_changes(updates: DataFrame, key: str, metric: str, by: str = "window_s
 
     A ranking is one group of applyInPandas, as its updates are sequential; for small domains.  `diff` is the distributed form.
     """
+    ship(updates.sparkSession)
     kinds = {c: t for c, t in updates.dtypes}
     names = [*PLACES, *(f"old_{p}" for p in PLACES)]
 

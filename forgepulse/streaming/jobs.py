@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators import history as H
 from ..operators import ranking as R
 from ..operators import sliding as S
+from ..runtime import ship
 from ..schema import TABLES, WINDOW_SIZES, TableSpec
 from ..sources import events as E
 from ..sources.tables import Store, topic_rows
@@ -116,6 +117,7 @@ class SlidingCounts(StatefulProcessor):
 
 def sliding_stream(events: DataFrame, key: str, sizes: dict[str, int] = WINDOW_SIZES) -> DataFrame:
     """key, window_size, changed_at, n: changes of sliding counts.  Needs the RocksDB state store."""
+    ship(events.sparkSession)
     rows = H.fan_out(events) if key == "kind" else events
     kind = dict(rows.dtypes)[key]
     keyed = rows.withWatermark("created_at", f"{OUT_OF_ORDER} seconds").groupBy(key)
