@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: White space of the word rules: space and \x09 to \x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -112,14 +112,7 @@ def prepare(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-    if getattr(context, "_own_package", None) is None:  # executors get the package, wherever the driver was started
-        package = Path(__file__).resolve().parents[1]
-        if package.is_dir():
-            context._own_package = f"{tempfile.mkdtemp(prefix='package-')}/{package.name}.zip"
-            with zipfile.ZipFile(context._own_package, "w") as z:
-                for p in sorted(package.rglob("*.py")):
-                    z.write(p, p.relative_to(package.parent))
-            context.addPyFile(context._own_package)
+    ship(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
 from .common import documents
 from .fingerprints import fingerprint_documents
 from .license_scan import license_scan
@@ -71,7 +73,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixing_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", (F.round("position", 6) + 0.0).alias("position"))
 
 
 def queries() -> dict[str, Query]:
@@ -79,4 +81,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators are held against plain versions in the tests."""
+    return {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_quality_rules": oracles.QUALITY_RULES, "op10_mixing": oracles.MIXING}
