@@ -65,6 +65,7 @@ def describe(v: Column, kind: Column, strict: bool = True) -> Column:
     named = lambda verb: F.concat(who, F.lit(f" {verb} the "), thing, F.lit(" repository "), repo, F.lit("."), quote("description"))
     review_url = F.when(J.has(v, "$.payload.review.html_url"), at("review.html_url")).otherwise(pull_url)
     member = _markup("user", J.text(v, "$.login" if strict else "$.payload.member.login"), at("member.id"))
+    # fixed values: the wording of the sentences, by kind, then by type for the kind other
     by_kind = {
         "commit_comment": F.concat(who, F.lit(" "), link("commented", comment_url), F.lit(" on commit "), _markup("link", F.concat(F.lit("#"), F.left(at("comment.commit_id"), F.lit(10))), commit_page), F.lit(".\n"), quote("comment.body")),
         "create_branch": F.concat(in_repo(F.lit(" created the branch "), _markup("code", at("ref"))), quote("description")),

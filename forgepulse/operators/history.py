@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of a series: window size to (number of buckets, seconds of one, buckets summed into one).
+#: Buckets of a series: window size to (number of buckets, seconds of one, buckets summed into one).
 SERIES = {"5m": (30, 10, 1), "1h": (360, 10, 6), "6h": (72, 300, 1), "24h": (288, 300, 4)}
 
 

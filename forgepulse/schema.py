@@ -83,6 +83,7 @@ def _history(name: str, key: str, metric: str, kind: type) -> list[TableSpec]:
     return [TableSpec(f"{name}_history", fields, None if kind is str else 5000), TableSpec(f"{name}_history_fine", fields, 5000)]
 
 
+#: Names, fields, key roles, expected rows for a value and read limits of the stored tables.
 _score = (Field("repo_id", int, "key", 1), Field("trending_score", int))
 TABLES: dict[str, TableSpec] = {
     t.name: t
