@@ -57,19 +57,28 @@ def repeat_words(words: Column, width: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= width, 0).otherwise(hashed(w))).cast("long")
 
 
-def line_fails(line: Column) -> Column:
+def boilerplate(text: Column) -> Column:
+    lower, out = F.lower(text), F.lit(False)
+    for phrase in BOILERPLATE:
+        out = out | lower.contains(phrase)
+    return out
+
+
+def line_fails(line: Column, suspect: Column) -> Column:
     """Punctuation: no sentence mark in it, or symbols and shouting marks in more than one of ten characters; navigation: a
-    separator for every four words or fewer; boilerplate: wording of pages.  A line without words never fails."""
+    separator for every four words or fewer; boilerplate: wording of pages, asked only where the text (suspect) has any.  A
+    line without words never fails."""
     solid = F.length(F.regexp_replace(line, GAP, ""))
     n_words = F.regexp_count(line, F.lit(C.WORD))
     unmarked = ~line.rlike("[.!?…。！？]")
     noisy = F.regexp_count(line, F.lit(r"[#*$%&|<>{}\\^~_=!?]")) * 10 > solid
     navigation = F.regexp_count(line, F.lit(r"[|»›·•→]|>|::")) * 4 >= F.greatest(n_words, F.lit(4))
-    lower = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | lower.contains(phrase)
-    return (solid > 0) & (unmarked | noisy | navigation | boilerplate)
+    return (solid > 0) & (unmarked | noisy | navigation | (suspect & boilerplate(line)))
+
+
+def lines_fail(text: Column, lines: Column) -> Column:
+    """line_fails of each line."""
+    return let(boilerplate(text), lambda suspect: F.transform(lines, lambda x: line_fails(x, suspect)))
 
 
 def quality_rules(df: DataFrame, max_loss: float = 0.5) -> DataFrame:
@@ -84,7 +93,7 @@ def quality_rules(df: DataFrame, max_loss: float = 0.5) -> DataFrame:
     lines = F.split(text, "\n")
     worded = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     facts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
-    split = let(lines, lambda a: let(F.transform(a, line_fails), lambda bad: F.struct(
+    split = let(lines, lambda a: let(lines_fail(text, a), lambda bad: F.struct(
         F.array_join(F.filter(a, lambda x, i: ~F.get(bad, i)), "\n").alias("cleaned"),
         F.array_join(F.filter(a, lambda x, i: F.get(bad, i)), "\n").alias("lost"),
     )))
@@ -102,10 +111,14 @@ def quality_rules(df: DataFrame, max_loss: float = 0.5) -> DataFrame:
 def keep_quality(df: DataFrame, max_loss: float = 0.5) -> DataFrame:
     """The rows of df that quality_rules keeps, with df's columns; lines that fail are gone from text."""
     text = C.text_col()
-    words = words_of(text)
-    rows = df.withColumn("_quality", let(words, lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("again"))))
-    rows = rows.where((F.col("_quality.n") >= 10) & (100 * F.col("_quality.again") <= 20 * F.col("_quality.n")))
-    rows = rows.withColumn("_lines", let(F.split(text, "\n"), lambda a: F.filter(a, lambda x: ~line_fails(x))))
-    cleaned = F.array_join("_lines", "\n")
-    rows = rows.withColumn("_cleaned", cleaned).where(F.col("_quality.n") - F.regexp_count(F.col("_cleaned"), F.lit(C.WORD)) <= max_loss * F.col("_quality.n"))
-    return rows.withColumn("text", F.col("_cleaned")).select(*df.columns)
+
+    def judged(w: Column) -> Column:
+        """The text without failing lines, or null where the document is rejected."""
+        n = F.size(w)
+        cleaned = let(F.split(text, "\n"), lambda a: let(lines_fail(text, a), lambda bad: F.array_join(F.filter(a, lambda x, i: ~F.get(bad, i)), "\n")))
+        enough = let(cleaned, lambda c: F.when(n - F.regexp_count(c, F.lit(C.WORD)) <= max_loss * n, c))
+        return F.when((n >= 10) & (100 * repeat_words(w) <= 20 * n), enough)
+
+    # a row number that the filter asks for keeps the optimizer from working out the text once more in the filter
+    rows = df.select("*", let(words_of(text), judged).alias("_cleaned"), F.monotonically_increasing_id().alias("_row"))
+    return rows.where(F.col("_cleaned").isNotNull() & (F.col("_row") >= 0)).withColumn("text", F.col("_cleaned")).select(*df.columns)
