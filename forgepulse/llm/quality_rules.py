@@ -58,10 +58,13 @@ def repeat_words(words: Column, width: int = 5) -> Column:
 
 
 def boilerplate(text: Column) -> Column:
-    lower, out = F.lower(text), F.lit(False)
-    for phrase in BOILERPLATE:
-        out = out | lower.contains(phrase)
-    return out
+    def has_any(lower: Column) -> Column:
+        out = F.lit(False)
+        for phrase in BOILERPLATE:
+            out = out | lower.contains(phrase)
+        return out
+
+    return let(F.lower(text), has_any)
 
 
 def line_fails(line: Column, suspect: Column) -> Column:
