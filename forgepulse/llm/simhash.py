@@ -162,18 +162,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(df: DataFrame, shingle: int, budget: int) -> DataFrame:
-    """doc_id, dk, row_key (of id and text), fp and component (the least dk reachable) of each row."""
+    """doc_id, dk, row_key (of id and text), fp, least (the least fingerprint reachable) and component (the least dk reachable) of each row.
+
+    Fingerprints are the nodes, so that rows which share an id, or have none, meet by their texts alone.
+    """
     C.prepare(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), C.doc_key().alias("dk"), F.xxhash64("doc_id", "text").alias("row_key"), C.text_col().alias("text"))
     prints = docs.mapInArrow(_fingerprints(shingle), "doc_id long, dk long, row_key long, fp long").checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min("dk").alias("node")).checkpoint()
+    nodes = prints.groupBy("fp").agg(F.min("dk").alias("dk")).checkpoint()
     parts = C.parallelism(df.sparkSession)
     turned = F.array(*(F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})") if r else F.col("fp") for r in range(0, 64, BLOCK)))
-    keys = nodes.select("node", F.posexplode(turned).alias("turn", "key"))
+    keys = nodes.select(F.col("fp").alias("node"), F.posexplode(turned).alias("turn", "key"))
     placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})")).select("turn", "key", "node").sortWithinPartitions("turn")
     least = components(placed.mapInArrow(_links_by_turn(budget), "u long, v long"))
-    named = nodes.join(least, "node", "left").select("fp", F.coalesce("least", "node").alias("component"))
-    return prints.join(named, "fp")
+    named = nodes.join(least, nodes["fp"] == least["node"], "left").select("fp", "dk", F.coalesce("least", "fp").alias("least"))
+    component = named.groupBy("least").agg(F.min("dk").alias("component"))
+    return prints.join(named.drop("dk").join(component, "least"), "fp")
 
 
 def simhash_near_dedup(df: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -189,9 +193,9 @@ def simhash_near_dedup(df: DataFrame, shingle: int = 3, budget: int = 3) -> Data
 
 
 def keep_one_of_each(df: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of df, with its columns, that have the least id of their component; of equal rows one stays, of rows with one id and different texts one."""
+    """The rows of df, with its columns, that have the least id of their component; of equal rows one stays, and of rows with one id and different texts one a component."""
     first = F.min(F.struct("dk", "row_key")).alias("first")
-    kept = _classes(df, shingle, budget).groupBy("component").agg(first).select(F.col("first.dk").alias("_dk"), F.col("first.row_key").alias("_row_key"))
+    kept = _classes(df, shingle, budget).groupBy("least").agg(first).select(F.col("first.dk").alias("_dk"), F.col("first.row_key").alias("_row_key"))
     named = df.withColumn("_dk", C.doc_key()).withColumn("_row_key", F.xxhash64("doc_id", "text"))
     return _single(named.join(kept, ["_dk", "_row_key"], "left_semi"), df)
 

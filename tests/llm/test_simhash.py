@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from forgepulse.llm.simhash import components, simhash_near_dedup, trie_self_join
+from forgepulse.llm.simhash import components, keep_one_of_each, simhash_near_dedup, trie_self_join
 from forgepulse.llm import common as C
 
 from .cases import awkward, empty, real
@@ -53,3 +53,13 @@ def test_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 102), (101, 102)], "u long, v long")
     got = dict(map(tuple, components(edges).collect()))
     assert got == {i: 1 for i in range(2, 41)} | {101: 100, 102: 100}
+
+
+def test_rows_without_or_with_one_id_meet_by_text_alone(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    rows = [(None, text["a"]), (None, text["a"]), (None, text["b"]), (4, text["b"]), (7, text["c"]), (7, text["d"]), (5, text["d"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash_near_dedup(df).collect())
+    assert got == sorted([("None", "None")] * 3 + [("4", "None"), ("7", "7"), ("7", "5"), ("5", "5")])
+    kept = [tuple(r) for r in keep_one_of_each(df).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, text["a"]), (None, text["b"]), (7, text["c"]), (5, text["d"])]))
