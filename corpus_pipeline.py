@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from forgepulse.llm.common import documents, prepare
 from forgepulse.llm.mixing import mix
+from forgepulse.llm.near_copies import keep_one_of_near
 from forgepulse.llm.packing import pack
 from forgepulse.llm.quality_rules import keep_quality
 from forgepulse.llm.queries import tokenizer
 from forgepulse.llm.secret_scan import redact_secrets
-from forgepulse.llm.simhash import keep_one_of_each
 
 #: Near-duplicates, secrets and packing have no form in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_each(docs)
+    return keep_one_of_near(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
