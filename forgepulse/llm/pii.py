@@ -2,8 +2,8 @@
 
 Generators of high recall propose spans that may overlap: the base patterns (whatever their checks say) and loose
 forms.  What passes a base check stays.  Boosted trees, fitted on a bounded sample of the candidates with base spans as the
-positive class and the others as unlabelled, score the loose forms by format and context; a threshold calibrated on held-out
-candidates selects what is added.
+positive class and the others as unlabelled, score the loose forms by format and context; a threshold for each kind, calibrated
+on all base spans, selects what is added.
 """
 
 from __future__ import annotations
@@ -93,21 +93,21 @@ def candidates(df: DataFrame) -> DataFrame:
 
 
 def fit(found: DataFrame, sample: int = 4000, recall: float = 0.9, floor: float = 0.5):
-    """(model, threshold) from at most `sample` candidates of the base patterns, drawn by a hash of what they are; None where one class is missing.
+    """(model, thresholds by loose kind): trees from at most `sample` candidates of the base patterns, drawn by a hash of what they are; None where one class is missing.
 
-    Trees learn from half of them; the threshold is the score that `recall` of the base spans of the other half reach, `floor` at least.
+    A loose kind's threshold is the score that `recall` of all base spans of the kind it stands for reach, `floor` at least; `floor` where there are none.
     """
     draw = F.xxhash64("doc_id", "kind", "start", "match")
-    rows = found.where(F.col("kind").isin([k for k, _ in BASE]) & ((F.col("kind") != "card") | (F.col("digits") >= 5))).select(F.col("ok").cast("double").alias("label"), draw.alias("draw"), *FEATURES)
+    base = found.where(F.col("kind").isin([k for k, _ in BASE]) & ((F.col("kind") != "card") | (F.col("digits") >= 5)))
+    rows = base.select(F.col("ok").cast("double").alias("label"), draw.alias("draw"), *FEATURES)
     rows = rows.orderBy("draw").limit(sample).coalesce(1).checkpoint()
-    half = F.expr("(draw & 1) = 0")
-    train, held = rows.where(half), rows.where(~half)
-    seen = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    if min(seen.get(0.0, 0), seen.get(1.0, 0)) < 5 or not held.where("label = 1").take(1):
+    seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if min(seen.get(0.0, 0), seen.get(1.0, 0)) < 5:
         return None
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=3, stepSize=0.3, seed=7, maxBins=32).fit(_vectors(train))
-    scores = score(model, held.where("label = 1")).approxQuantile("score", [1 - recall], 0.001)
-    return model, max(floor, scores[0])
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=3, stepSize=0.3, seed=7, maxBins=32).fit(_vectors(rows))
+    low = score(model, base.where("ok").select("kind", *FEATURES)).groupBy("kind").agg(F.percentile_approx("score", 1 - recall, 10_000).alias("low"))
+    lows = {r["kind"]: r["low"] for r in low.collect()}
+    return model, {k: max(floor, lows.get(k.removesuffix("_like"), floor)) for k, _ in LOOSE}
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -124,21 +124,23 @@ def pii_spans(df: DataFrame, sample: int = 4000) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by kind as listed in KINDS, then start; base spans always stay.  Null and
     empty texts have none; equal rows each get a row; an empty table gives an empty one; other columns are ignored.
-    `sample` bounds the candidates on which the trees are fitted; everything else covers all rows.
+    `sample` bounds the candidates on which the trees are fitted; everything else covers all rows.  Where there are too few
+    candidates of a class to fit trees, loose addresses and card numbers are added by their form, and loose telephone
+    and account numbers where a word for such a number stands before them.
     """
     C.prepare(df.sparkSession)
     found = candidates(df).checkpoint()
     fitted = fit(found, sample)
     rows = found.select("row", "doc_id", "kind", "start", "end", "ok", *FEATURES)
     if fitted is None:
-        rows = rows.withColumn("score", F.lit(0.0))
-        threshold = 1.0
+        add = F.when(F.col("kind") == "phone_like", F.col("context_1") == 1).when(F.col("kind") == "id_like", F.col("context_4") == 1).otherwise(True)
     else:
-        model, threshold = fitted
+        model, thresholds = fitted
         rows = score(model, rows)
+        add = F.col("score") >= F.element_at(F.create_map(*(F.lit(x) for kt in thresholds.items() for x in kt)), F.col("kind"))
     # a base form that fails its check stays out; a loose card number must pass the card's checksum
     loose = F.col("kind").isin([k for k, _ in LOOSE]) & ((F.col("kind") != "card_like") | (F.col("checksum") == 1))
-    taken = F.col("ok") | (loose & (F.col("score") >= threshold))
+    taken = F.col("ok") | (loose & add)
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     told = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct(place.alias("k"), "start", "end", "kind")))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.count_if(F.col("ok") & (F.col("kind") == kind)).alias(f"n_{kind}")

@@ -65,3 +65,22 @@ def test_loose_forms_are_added(spark):
     assert all(got[100 + i].spans == "" for i in range(60))
     assert all(got[i].n_email == 1 and got[i].n_ip == 1 for i in range(60))
     assert got[500].spans == "email_like:9:48" and got[501].spans == "card_like:4:23" and got[502].spans == ""
+
+
+def test_one_hot_kind_does_not_set_the_threshold_of_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from forgepulse.llm import pii
+
+    # a stand-in for scores: addresses score 0.99, telephone numbers 0.7 and their loose forms 0.75
+    monkeypatch.setattr(pii, "score", lambda model, rows: rows.withColumn("score", F.when(F.col("kind_number") == 0, 0.99).otherwise(0.75 if "kind" not in rows.columns else F.when(F.col("kind") == "phone", 0.7).otherwise(0.75))))
+    rows = [(i, f"user{i}@mail.example.com and 300.{i}.1.1") for i in range(400)] + [(1000 + i, f"call +1 (2{i:02d}) 555-0{i:03d} now") for i in range(20)]
+    df = spark.createDataFrame([*rows, (5000, "call (212) 555-0187 now")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii_spans(df).collect()}[5000] == "phone_like:5:19"
+
+
+def test_loose_forms_without_a_failing_class(spark):
+    texts = ["write to anna [at] mail3 [dot] example [dot] com now", "call (212) 555-0187 now", "part (212) 555-0187 now", "pay 4111.1111.1111.1111 now", "ssn 123-45-6789", "part 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii_spans(df).collect()}
+    assert got == {0: "email_like:9:48", 1: "phone_like:5:19", 2: "", 3: "card_like:4:23", 4: "id_like:4:15", 5: ""}
