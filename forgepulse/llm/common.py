@@ -115,6 +115,18 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors share; after prepare()."""
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return set_dir.get() if set_dir.isDefined() else spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of a store that Spark writes to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,19 +1,24 @@
 """Anchored search for repeated windows, shared by the two exact-substring operators.
 
-A window (13 words, or 400 bytes) is sent to the place of its smallest k-gram hash, its anchor; equal windows have
-equal anchors at equal offsets, so nothing is lost, and neighbouring windows mostly share an anchor.  Steps of one Spark plan:
-
-1. the anchor keys of all documents meet; keys that only one place has are done with (8 bytes and an id a key are moved);
-2. the runs of windows ("chunks") at the keys that are left leave their documents, copies combined before the shuffle;
-   keys of more than `hot` documents leave as single windows, told apart by two hashes, without content;
-3. an index over a group of keys (suffix tree, or suffix-array family) decides which windows repeat;
-4. verdicts go back to the documents.  Both joins read one shuffle of the texts.
+A window (13 words, or 400 bytes) belongs to its smallest k-gram by hash, its anchor; equal windows have equal anchors at equal
+offsets.  The run of windows around one anchor is a chunk.  Suffixes are indexed at anchors only; what stands before the
+anchor is the chunk's left context.  Documents are dealt by a hash of the row to slabs, four a shuffle partition, so
+that a key, however frequent, has one row a slab at most:
+
+1. each slab counts its anchor keys; keys that a single place has are done with;
+2. each slab lists its different chunks at the keys that are left; a key with more than `most` places gets a longer prefix, the
+   whole window, and its windows are listed one by one;
+3. the first slab of each different chunk sends its content, once;
+4. an index over a group of chunks (subtree, or suffix-array family) says which windows repeat;
+5. what it says goes back to the slabs that have the chunk.
+
+All steps read one shuffle of the texts.  Chunks are told apart by two 64-bit hashes; windows of different chunks are
+compared symbol by symbol.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bytes of chunks that a map task combines before it sends them on.
-COMBINE_BYTES = 24 << 20
 LEAST = -(2**63)
+SLABS = 4
 
 
 @dataclass(frozen=True)
@@ -35,14 +39,11 @@ class Windows:
     kind: str
     window: int
     gram: int
-    hot: int = 100_000
+    #: Places of a key beyond which its prefix grows to the whole window.
+    most: int = 50_000
     #: Only windows of another document count as repeats.
     across: bool = False
 
-    def __post_init__(self):
-        if self.across and self.window - self.gram > 62:
-            raise ValueError("a chunk may have at most 63 windows")
-
 
 @dataclass
 class Chunks:
@@ -91,11 +92,6 @@ def chunks(spec: Windows, texts: list[np.ndarray]) -> Chunks:
     return Chunks(data, codes, starts, ends, offsets, head[first], grams[at[first]], at[first], first, last)
 
 
-def prepared(df: DataFrame) -> DataFrame:
-    """dk, the id in order (null as the least number), and text."""
-    return df.select(C.doc_key().alias("dk"), C.text_col().alias("text"))
-
-
 def groups(frames: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches with their texts, cut so that the texts of one hold about `most` bytes or are a single one."""
     for batch in frames:
@@ -110,213 +106,290 @@ def groups(frames: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tu
             yield batch.slice(start), texts[start:]
 
 
-def _keys(spec: Windows) -> Callable:
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in groups(frames):
+def slabs(df: DataFrame) -> DataFrame:
+    """slab, dk (the id in order, null as the least number) and text."""
+    n = SLABS * C.parallelism(df.sparkSession)
+    rows = df.select(C.doc_key().alias("dk"), C.text_col().alias("text"))
+    return rows.select(F.pmod(F.xxhash64("dk", "text"), F.lit(n)).cast("int").alias("slab"), "dk", "text")
+
+
+def joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, dtype=kind)]).astype(kind, copy=False)
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _slab(table: pa.Table) -> int:
+    return table.column("slab")[0].as_py()
+
+
+def _keys(spec: Windows):
+    schema = pa.schema([("akey", pa.int64()), ("slab", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())])
+
+    def run(docs: pa.Table) -> pa.Table:
+        key, dk = [], []
+        for batch, texts in groups(docs.to_batches()):
             c = chunks(spec, texts)
-            order = np.lexsort((c.key, c.doc))
-            doc, key = c.doc[order], c.key[order]
-            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-            n = np.diff(np.concatenate((new, [len(key)])))
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(key[new])), pa.array(batch.column("dk").to_numpy()[doc[new]]), pa.array(n.astype(np.int32))], names=["akey", "dk", "n"])
+            key.append(c.key)
+            dk.append(batch.column("dk").to_numpy()[c.doc])
+        key, dk = joined(key, np.uint64), joined(dk, np.int64)
+        order = np.argsort(key)
+        key, dk = key[order], dk[order]
+        at = heads(key)
+        if not len(at):
+            return schema.empty_table()
+        lo, hi, n = np.minimum.reduceat(dk, at), np.maximum.reduceat(dk, at), np.diff(np.append(at, len(key)))
+        return pa.table([C.signed(key[at]), np.full(len(at), _slab(docs), dtype=np.int32), lo, hi, n], schema=schema)
 
     return run
 
 
-def flagged(docs: DataFrame, spec: Windows) -> DataFrame:
-    """For each document with some: the anchor keys that may hold a repeat, hot ones apart."""
-    met = Window.partitionBy("akey")
-    rows = docs.mapInArrow(_keys(spec), "akey long, dk long, n int").select("akey", "dk", F.sum("n").over(met).alias("n"), F.min("dk").over(met).alias("lo"), F.max("dk").over(met).alias("hi"))
-    again = rows.where(F.col("lo") < F.col("hi") if spec.across else F.col("n") > 1)
-    hot = F.col("n") > spec.hot
-    return again.groupBy("dk").agg(F.collect_set(F.when(~hot, F.col("akey"))).alias("keys"), F.collect_set(F.when(hot, F.col("akey"))).alias("hot_keys"))
+def _windows_of(c: Chunks, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of the picked chunks, and its chunk."""
+    chunk = np.flatnonzero(pick)
+    count = c.last[chunk] - c.first[chunk] + 1
+    before = np.cumsum(count) - count
+    return np.arange(count.sum()) + np.repeat(c.first[chunk] - before, count), np.repeat(chunk, count)
+
+
+OUTLINE = "akey long, second long, slab int, lo long, hi long, n long, anchor long"
+
+
+def _outline(spec: Windows):
+    schema = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("slab", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64())])
+
+    def run(docs: pa.Table, flagged: pa.Table) -> pa.Table:
+        if not docs.num_rows or not flagged.num_rows:
+            return schema.empty_table()
+        keys, deep = flagged.column("akey").to_numpy().view(np.uint64), flagged.column("deep").to_numpy()
+        order = np.argsort(keys)
+        keys, deep = keys[order], deep[order]
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for batch, texts in groups(docs.to_batches()):
+            c = chunks(spec, texts)
+            ids, second = batch.column("dk").to_numpy(), C.Rolling(c.codes, 1)
+            at = np.minimum(np.searchsorted(keys, c.key), len(keys) - 1)
+            hit = keys[at] == c.key
+            long = hit & deep[at]
+            pick = hit & ~long
+            rows = (c.key[pick], second.of(c.first[pick], c.last[pick] + spec.window), ids[c.doc[pick]], np.zeros(pick.sum(), dtype=bool), c.key[pick])
+            w, chunk = _windows_of(c, long)
+            more = (C.Rolling(c.codes).of(w, w + spec.window), second.of(w, w + spec.window), ids[c.doc[chunk]], np.ones(len(w), dtype=bool), c.key[chunk])
+            for col, a, b in zip(parts, rows, more, strict=True):
+                col += [a, b]
+        key, two, dk, long, anchor = (joined(p, k) for p, k in zip(parts, (np.uint64, np.uint64, np.int64, bool, np.uint64), strict=True))
+        order = np.lexsort((long, two, key))
+        key, two, dk, long, anchor = (x[order] for x in (key, two, dk, long, anchor))
+        at = heads(key, two, long)
+        if not len(at):
+            return schema.empty_table()
+        n = np.diff(np.append(at, len(key)))
+        columns = [C.signed(key[at]), C.signed(two[at]), np.full(len(at), _slab(docs), dtype=np.int32), np.minimum.reduceat(dk, at), np.maximum.reduceat(dk, at), n, pa.array(C.signed(anchor[at]), mask=~long[at])]
+        return pa.table(columns, schema=schema)
+
+    return run
+
+
+def matched(asked: pa.Table, key: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each chunk the row of `asked` with its two hashes, or -1."""
+    one, two = (asked.column(n).to_numpy().view(np.uint64) for n in ("akey", "second"))
+    if not len(one) or not len(key):
+        return np.full(len(key), -1)
+    have = two ^ C.mix(one)
+    order = np.argsort(have)
+    at = order[np.minimum(np.searchsorted(have[order], second ^ C.mix(key)), len(have) - 1)]
+    return np.where((one[at] == key) & (two[at] == second), at, -1)
 
 
-PLACE = pa.struct([("dk", pa.int64()), ("rk", pa.int32()), ("first", pa.int32())])
-CHUNK = "akey long, second long, least long, content binary, back int, windows int, places array<struct<dk:long,rk:int,first:int>>"
-_CHUNK = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("least", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32()), ("places", pa.list_(PLACE))])
 ODD = (b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"  ")
 
 
-def _content(spec: Windows, raw: bytes) -> bytes:
+def _plain(spec: Windows, raw: bytes) -> bytes:
+    """Words with one space between them."""
     return b" ".join(raw.split()) if spec.kind == "words" and any(x in raw for x in ODD) else raw
 
 
-def _wanted(batch: pa.RecordBatch, name: str, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Which (document, key) pairs are among the batch's lists of keys."""
-    lists = batch.column(name)
-    flat = lists.flatten().to_numpy()
-    if not len(flat) or not len(key):
-        return np.zeros(len(key), dtype=bool)
-    count = np.diff(lists.offsets.to_numpy())
-    own = np.repeat(np.arange(len(lists), dtype=np.uint64), count)
-    have = np.sort(C.mix(flat.view(np.uint64)) ^ own * np.uint64(0x9E3779B97F4A7C15))
-    ask = C.mix(key) ^ doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at = np.searchsorted(have, ask)
-    return have[np.minimum(at, len(have) - 1)] == ask
-
-
-def _sent(spec: Windows) -> Callable:
-    """Chunks at flagged keys, with content and places; those of one map task that are equal are combined."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        size = 0
-
-        def out():
-            items = list(held.items())
-            held.clear()
-            for i in range(0, len(items), 2048):
-                part = items[i : i + 2048]
-                places = [v[3] for _, v in part]
-                flat = np.array([x for p in places for x in p], dtype=np.int64).reshape(-1, 3)
-                array = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int32), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))], fields=list(PLACE)))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([min(p)[0] for p in places], pa.int64()), *(pa.array([v[j] for _, v in part], t) for j, t in enumerate(_CHUNK.types[3:6])), array], schema=_CHUNK)
-
-        for batch, texts in groups(frames):
-            c = chunks(spec, texts)
-            ids = batch.column("dk").to_numpy()
-            marks = np.fromiter((zlib.crc32(t) & 0x7FFFFFFF for t in texts), dtype=np.int64, count=len(texts))
-            second = C.Rolling(c.codes, 1)
-            pick = _wanted(batch, "keys", c.doc, c.key)
-            doc, first, last = c.doc[pick], c.first[pick], c.last[pick]
-            raw = c.data.tobytes()
-            columns = (C.signed(c.key[pick]), C.signed(second.of(first, last + spec.window)), c.starts[first], c.ends[last + spec.window - 1], c.anchor[pick] - first, last - first + 1, ids[doc], marks[doc], first - c.offsets[doc])
-            for k, s, b, e, o, w, d, m, f in zip(*(x.tolist() for x in columns), strict=True):
-                v = held.get((k, s))
-                if v is None:
-                    held[k, s] = [_content(spec, raw[b:e]), o, w, [(d, m, f)]]
-                    size += e - b + 300
-                else:
-                    v[3].append((d, m, f))
-                    size += 120
-            pick = _wanted(batch, "hot_keys", c.doc, c.key)
-            if pick.any():
-                w = np.concatenate([np.arange(x, y + 1) for x, y in zip(c.first[pick], c.last[pick], strict=True)])
-                doc = np.repeat(c.doc[pick], c.last[pick] - c.first[pick] + 1)
-                columns = (C.signed(C.Rolling(c.codes).of(w, w + spec.window)), C.signed(second.of(w, w + spec.window)), ids[doc], marks[doc], w - c.offsets[doc])
-                for k, s, d, m, f in zip(*(x.tolist() for x in columns), strict=True):
-                    held.setdefault((k, s), [None, 0, 1, []])[3].append((d, m, f))
-                size += 200 * len(w)
-            if size > COMBINE_BYTES:
-                yield from out()
-                size = 0
-        yield from out()
+CONTENT = "akey long, second long, slab int, least long, latest long, n long, content binary, back int, windows int"
+_CONTENT = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("slab", pa.int32()), ("least", pa.int64()), ("latest", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32())])
 
-    return run
 
+def _contents(spec: Windows):
+    """Each asked chunk with its content; one whose prefix is the whole window has nothing behind or before it, and goes without."""
 
-@dataclass
-class Chunk:
-    key: int
-    second: int
-    least: int
-    content: bytes
-    back: int
-    windows: int
-    places: list  # of (dk, rk, first)
-
-
-def _index(spec: Windows, decide: Callable, kind: pa.DataType) -> Callable:
-    """decide(groups of chunks) yields (chunk, verdict); rows come sorted by key, second hash and least id."""
-    schema = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("firsts", pa.list_(pa.int32())), ("verdict", kind)])
-
-    def rows(frames):
-        for batch in frames:
-            cols = [batch.column(n) for n in _CHUNK.names]
-            places = cols[6]
-            flat, offsets = places.flatten(), (places.offsets.to_numpy() - places.offsets[0].as_py()).tolist()
-            triples = list(zip(*(flat.field(i).to_pylist() for i in range(3)), strict=True))
-            for i, row in enumerate(zip(*(x.to_pylist() for x in cols[:6]), strict=True)):
-                yield row, triples[offsets[i] : offsets[i + 1]]
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot: list = []
-
-        def keyed():
-            """Groups of chunks of a key.  Windows of hot keys pass by as a stream: all but the first one's first place repeat it."""
-            group: list[Chunk] = []
-            head = None
-            for (k, s, least, content, back, windows), places in rows(frames):
-                if content is None:
-                    if head is None or head[:2] != (k, s):
-                        head = (k, s, least, places[0], len(places) > 1)
-                        if not spec.across and len(places) == 1:
-                            continue
-                    elif not head[4] and not spec.across:
-                        hot.append((head[3], None))
-                        head = (*head[:4], True)
-                    hot.extend((p, head[2]) for p in places)
-                    if len(hot) >= 4096:
-                        yield None
-                    continue
-                if group and group[0].key != k:
-                    yield group
-                    group = []
-                if group and group[-1].second == s:
-                    group[-1].places.extend(places)
-                    group[-1].least = min(group[-1].least, least)
-                else:
-                    group.append(Chunk(k, s, least, content, back, windows, places))
-            if group:
-                yield group
-
-        def out(found):
-            """Neighbouring places of one document with one verdict share a row."""
-            firsts, heads = [], []
-            for (d, m, f), v in found:
-                if heads and heads[-1] == (d, m, v):
-                    firsts[-1].append(f)
-                else:
-                    heads.append((d, m, v))
-                    firsts.append([f])
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in heads], pa.int64()), pa.array([h[1] for h in heads], pa.int32()), pa.array(firsts, schema.types[2]), pa.array([h[2] for h in heads], kind)], schema=schema)
-
-        def told(place: tuple, verdict: list):
-            """Across documents verdicts are the windows' least ids; only a later document is told, by one bit a window."""
-            if not spec.across:
-                return verdict
-            return sum(1 << i for i, least in enumerate(verdict) if least < place[0])
-
-        found: list = []
-        for chunk, verdict in decide(keyed()):
-            if chunk is not None:
-                found.extend((p, v) for p in chunk.places if (v := told(p, verdict)))
-            found.extend((p, v) for p, least in hot if (v := told(p, [least] if spec.across else [{"lo": 0, "hi": 1}])))
-            hot.clear()
-            if len(found) >= 4096:
-                yield out(found)
-                found = []
-        found.extend((p, v) for p, least in hot if (v := told(p, [least] if spec.across else [{"lo": 0, "hi": 1}])))
-        if found:
-            yield out(found)
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        if not docs.num_rows or not asked.num_rows:
+            return _CONTENT.empty_table()
+        names = _CONTENT.names[:6]
+        long = asked.column("anchor").is_valid().to_numpy()
+        whole = asked.filter(pa.array(long))
+        count = whole.num_rows
+        out = [pa.table([*(whole.column(n) for n in names), pa.nulls(count, pa.binary()), np.zeros(count, dtype=np.int32), np.ones(count, dtype=np.int32)], schema=_CONTENT)]
+        asked = asked.filter(pa.array(~long))
+        served = np.zeros(asked.num_rows, dtype=bool)
+        for _, texts in groups(docs.to_batches()):
+            c = chunks(spec, texts)
+            row = matched(asked, c.key, C.Rolling(c.codes, 1).of(c.first, c.last + spec.window))
+            row, at = np.unique(row, return_index=True)
+            row, at = row[row >= 0], at[row >= 0]
+            row, at = row[~served[row]], at[~served[row]]
+            served[row] = True
+            raw = c.data.tobytes()
+            content = [_plain(spec, raw[b:e]) for b, e in zip(c.starts[c.first[at]].tolist(), c.ends[c.last[at] + spec.window - 1].tolist(), strict=True)]
+            part = asked.take(pa.array(row))
+            out.append(pa.table([*(part.column(n) for n in names), pa.array(content, pa.binary()), (c.anchor[at] - c.first[at]).astype(np.int32), (c.last[at] - c.first[at] + 1).astype(np.int32)], schema=_CONTENT))
+        return pa.concat_tables(out)
 
     return run
 
 
-def with_repeats(docs: DataFrame, spec: Windows, decide: Callable, kind: pa.DataType, verdict: str) -> DataFrame:
-    """docs (dk, text) with repeats: a list of (rk, first windows, verdict), or null."""
-    parts = C.parallelism(docs.sparkSession)
-    found = docs.join(flagged(docs, spec), "dk").select("dk", "text", "keys", "hot_keys").mapInArrow(_sent(spec), CHUNK)
-    placed = found.repartition(parts, "akey").sortWithinPartitions("akey", "second", "least")
-    verdicts = placed.mapInArrow(_index(spec, decide, kind), f"dk long, rk int, firsts array<int>, verdict {verdict}")
-    lists = verdicts.groupBy("dk").agg(F.collect_list(F.struct("rk", "firsts", "verdict")).alias("repeats"))
-    return docs.join(lists, "dk", "left")
+class Repeats:
+    """The steps before and after an index, as DataFrames."""
+
+    def __init__(self, df: DataFrame, spec: Windows):
+        self.spec, self.parts = spec, C.parallelism(df.sparkSession)
+        self.slabs = slabs(df).groupBy("slab")
+        met = Window.partitionBy("akey")
+        keys = self.slabs.applyInArrow(_keys(spec), "akey long, slab int, lo long, hi long, n long")
+        keys = keys.select("akey", "slab", F.sum("n").over(met).alias("n"), F.min("lo").over(met).alias("lo"), F.max("hi").over(met).alias("hi"))
+        again = keys.where(F.col("lo") < F.col("hi") if spec.across else F.col("n") > 1)
+        flagged = again.select("slab", "akey", (F.col("n") > spec.most).alias("deep"))
+        rows = self.slabs.cogroup(flagged.groupBy("slab")).applyInArrow(_outline(spec), OUTLINE)
+        # one shuffle of these rows is read twice, with all its columns; a chunk has a row a slab at most
+        self.outline = rows.repartition(self.parts, "akey", "second")
+
+    def contents(self) -> DataFrame:
+        """Every different chunk, with least and latest id, its number of places and its content (null where its prefix is the whole window)."""
+        asked = self.outline.groupBy("akey", "second").agg(
+            F.min("lo").alias("least"), F.max("hi").alias("latest"), F.sum("n").alias("n"), F.min("slab").alias("slab"), F.min("anchor").alias("anchor")
+        )
+        return self.slabs.cogroup(asked.groupBy("slab")).applyInArrow(_contents(self.spec), CONTENT)
+
+    def told(self, verdicts: DataFrame, useful=None) -> DataFrame:
+        """What is known of chunks (akey, second, verdict), for each slab that has them."""
+        rows = verdicts.join(self.outline, ["akey", "second"])
+        if useful is not None:
+            rows = rows.where(useful)
+        seen = F.when((F.col("lo") <= F.col("hi")) & (F.col("n") > 0), F.col("slab"))
+        return rows.select(seen.alias("slab"), "akey", "second", "anchor", "verdict")
+
+    def apply(self, told: DataFrame, run, schema: str) -> DataFrame:
+        return self.slabs.cogroup(told.groupBy("slab")).applyInArrow(run, schema)
+
+
+def places(spec: Windows, c: Chunks, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, row of `told` and document of each chunk, or single window, that something is told of."""
+    none = np.zeros(0, dtype=np.int64)
+    if not told.num_rows or not len(c.key):
+        return none, none, none
+    second = C.Rolling(c.codes, 1)
+    anchors = told.column("anchor").drop_null().unique().to_numpy().view(np.uint64)
+    long = np.isin(c.key, anchors) if len(anchors) else np.zeros(len(c.key), dtype=bool)
+    row = np.where(long, -1, matched(told, c.key, second.of(c.first, c.last + spec.window)))
+    pick = row >= 0
+    w, chunk = _windows_of(c, long)
+    row_2 = matched(told, C.Rolling(c.codes).of(w, w + spec.window), second.of(w, w + spec.window))
+    pick_2 = row_2 >= 0
+    return np.concatenate((c.first[pick], w[pick_2])), np.concatenate((row[pick], row_2[pick_2])), np.concatenate((c.doc[pick], c.doc[chunk[pick_2]]))
 
 
-def row_mark(data: np.ndarray) -> int:
-    """Tells rows with one id and different texts apart."""
-    return zlib.crc32(data) & 0x7FFFFFFF
+@dataclass
+class Leaves:
+    """Chunks as leaves of subtrees, one subtree a group: symbols from the anchor on, and backwards from it."""
+
+    group: np.ndarray
+    right: np.ndarray  # a row of symbols each, zeros behind its end
+    n_right: np.ndarray
+    left: np.ndarray
+    back: np.ndarray  # symbols of left context
+    windows: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.group)
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray, step: int, width: int) -> np.ndarray:
+    """Rows of up to `width` symbols from start on, forwards or backwards, with zeros behind their end."""
+    k = np.arange(width)
+    inside = k < count[:, None]
+    return np.where(inside, flat[np.where(inside, start[:, None] + step * k, 0)], flat.dtype.type(0)) if len(flat) else np.zeros((len(start), width), dtype=flat.dtype)
+
+
+def subtree(group: np.ndarray, symbols: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves in order, and the depth of the node between each and the one before it; -1 between groups.
+
+    Sorted suffixes with the depths between them are a suffix tree: a run of leaves with depths of d and more between them
+    is the subtree of an internal node at least that deep.
+    """
+    big = symbols.astype(symbols.dtype.newbyteorder(">"))
+    rows = np.concatenate([x.astype(">u4").reshape(-1, 1).view(np.uint8) if x.ndim == 1 else x.view(np.uint8).reshape(len(x), x.shape[1] * x.itemsize) for x in (group + 1, big, count + 1)], axis=1)
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    a, b = symbols[order[1:]], symbols[order[:-1]]
+    differ = np.concatenate((a != b, np.ones((len(a), 1), dtype=bool)), axis=1)
+    depth = np.minimum(differ.argmax(axis=1), np.minimum(count[order[1:]], count[order[:-1]]))
+    depth[group[order[1:]] != group[order[:-1]]] = -1
+    return order, np.concatenate((np.full(min(1, len(order)), -1), depth))
+
+
+def _deepest(order: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Depth of the deepest node above each leaf."""
+    out = np.zeros(len(order), dtype=np.int64)
+    out[order] = np.maximum(depth, np.append(depth[1:], -1))
+    return out
+
+
+def repeats_of(leaves: Leaves, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The repeats among different chunks: leaves, number of the window in each, and the set that the window belongs to.
+
+    A window with o symbols before the anchor repeats where two leaves are below one node of window - o symbols to the right and
+    below one node of o symbols in the tree of the left contexts; such pairs of nodes hold the maximal repeats.
+    """
+    if len(leaves) < 2:
+        return
+    right = subtree(leaves.group, leaves.right, leaves.n_right)
+    left = subtree(leaves.group, leaves.left, leaves.back)
+    far, near = _deepest(*right), _deepest(*left)
+    if not np.any(far + near >= window):
+        return
+    node_r, node_l = np.zeros(len(leaves), dtype=np.int64), np.zeros(len(leaves), dtype=np.int64)
+    for o in range(window - gram + 1):
+        at = leaves.back - o
+        some = np.flatnonzero((at >= 0) & (at < leaves.windows) & (far >= window - o) & (near >= o))
+        if len(some) < 2:
+            continue
+        node_r[right[0]] = np.cumsum(right[1] < window - o)
+        node_l[left[0]] = np.cumsum(left[1] < o)
+        _, which, count = np.unique(node_r[some] * len(leaves) + node_l[some], return_inverse=True, return_counts=True)
+        more = count[which] > 1
+        if more.any():
+            yield some[more], at[some[more]], which[more]
+
+
+def by_group(frames: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole keys, about `most` bytes of content each, from rows in order of akey."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in frames:
+        if not batch.num_rows:
+            continue
+        key = batch.column(batch.schema.get_field_index("akey")).to_numpy()
+        cut = heads(key)
+        if held and held[-1].column(held[-1].schema.get_field_index("akey"))[-1].as_py() == key[0]:
+            cut = cut[1:]
+        if size > most and len(cut):
+            held.append(batch.slice(0, cut[0]))
+            yield pa.Table.from_batches(held)
+            held, size, batch = [], 0, batch.slice(cut[0])
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def ids_of(dk: list[int]) -> list[int | None]:
     return [None if d == LEAST else d for d in dk]
-
-
-def verdicts_of(repeats: pa.StructArray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """First windows and verdicts of a row's list that are about this text, one verdict for each."""
-    firsts, verdict = repeats.field("firsts"), repeats.field("verdict")
-    count = np.diff(firsts.offsets.to_numpy())
-    which = np.repeat(np.arange(len(count)), count)
-    own = (repeats.field("rk").to_numpy() == row_mark(data))[which]
-    return firsts.flatten().to_numpy()[own].astype(np.int64), verdict.take(pa.array(which[own]))

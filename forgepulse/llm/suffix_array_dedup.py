@@ -1,167 +1,210 @@
 """Operator 6: removal of 400-byte strings that occur elsewhere, by a logarithmic family of suffix arrays.
 
-The suffixes of a task's share of anchors come in batches.  A batch gets a suffix array, is merge-scanned against
-the arrays of all levels for long matches, and becomes a new level; levels of one size merge, as digits carry.  A suffix
-that shares too little with its neighbours has no long match; what the scans leave is checked window by window.
+Documents come in batches.  The suffixes at a batch's anchors are sorted into a suffix array, split by a hash of the anchor
+into buckets; it is merge-scanned against the array of every level for long matches; levels of one size then merge into
+the next, as digits carry.  Levels are bucketed tables in the shared folder, so that scans and merges move no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import uuid
 from collections.abc import Iterator
-from heapq import merge
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 from . import repeats as R
 
+RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+ROW = "bucket int, akey long, second long, n long, content binary, back int, windows int"
+#: A suffix of the merged array, or what is known of one: the runs of its windows that occur elsewhere.
+STEP = f"{ROW}, place int, runs array<struct<lo:int,hi:int>>, found boolean"
+_STEP = pa.schema([("bucket", pa.int32()), ("akey", pa.int64()), ("second", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32()), ("place", pa.int32()), ("runs", RUNS), ("found", pa.bool_())])
+
+
+def leaves_of(spec: R.Windows, rows: pa.Table) -> R.Leaves:
+    """The chunks' bytes around each anchor."""
+    flat = np.frombuffer(b"".join(rows.column("content").to_pylist()), dtype=np.uint8)
+    count = pc.binary_length(rows.column("content")).to_numpy().astype(np.int64)
+    first = np.cumsum(count) - count
+    back, windows = (rows.column(n).to_numpy().astype(np.int64) for n in ("back", "windows"))
+    group = np.cumsum(np.concatenate((np.zeros(min(1, len(count)), dtype=np.int64), np.diff(rows.column("akey").to_numpy()) != 0)))
+    right = np.minimum(count - back, spec.window)
+    most = spec.window - spec.gram
+    return R.Leaves(group, R.gathered(flat, first + back, right, 1, spec.window), right, R.gathered(flat, first + back - 1, np.minimum(back, most), -1, most), back, windows)
+
+
+def runs_of(flags: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Chunks with a flagged window, and the runs of flagged windows in each; flags stand chunk after chunk."""
+    first = np.cumsum(windows) - windows
+    chunk = np.repeat(np.arange(len(windows)), windows)
+    before = np.concatenate((np.zeros(min(1, len(flags)), dtype=bool), flags[:-1] & (chunk[1:] == chunk[:-1])))
+    after = np.concatenate((flags[1:] & (chunk[1:] == chunk[:-1]), np.zeros(min(1, len(flags)), dtype=bool)))
+    lo, hi = np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after)
+    own = chunk[lo]
+    runs = pa.StructArray.from_arrays([pa.array((lo - first[own]).astype(np.int32)), pa.array((hi - first[own] + 1).astype(np.int32))], fields=list(RUNS.value_type))
+    at = R.heads(own)
+    return own[at], pa.ListArray.from_arrays(np.append(at, len(own)).astype(np.int32), runs)
+
+
+def scanned(spec: R.Windows, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the windows that more than one of these chunks has, chunk after chunk, and the chunks in the order of their suffixes."""
+    leaves = leaves_of(spec, rows)
+    first = np.cumsum(leaves.windows) - leaves.windows
+    flags = np.zeros(leaves.windows.sum(), dtype=bool)
+    for chunk, at, _ in R.repeats_of(leaves, spec.window, spec.gram):
+        flags[first[chunk] + at] = True
+    return flags, R.subtree(leaves.group, leaves.right, leaves.n_right)[0]
+
+
+def _step(spec: R.Windows, carried: list[int], most: int = 8 << 20):
+    """A bucket's share of a new batch against that of each level; the batch and the levels in `carried` come out as one array."""
+    names = _STEP.names[:7]
+
+    def found(rows: pa.Table, flags: np.ndarray) -> pa.Table:
+        chunk, runs = runs_of(flags, rows.column("windows").to_numpy().astype(np.int64))
+        part = rows.take(pa.array(chunk))
+        return pa.table([part.column("bucket"), part.column("akey"), part.column("second"), pa.nulls(len(chunk), pa.int64()), pa.nulls(len(chunk), pa.binary()), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.int32()), runs, np.ones(len(chunk), dtype=bool)], schema=_STEP)
+
+    def share(rows: pa.Table, at_place: list[int]) -> Iterator[pa.Table]:
+        """Some keys' rows, in order of akey; level is -1 for the new batch."""
+        level = rows.column("level").to_numpy()
+        new, merged = level == -1, None
+        copies = np.repeat(new & (rows.column("n").to_numpy() > 1), rows.column("windows").to_numpy())
+        if copies.any():
+            yield found(rows, copies)
+        content = pc.is_valid(rows.column("content")).to_numpy()
+        for at in [None, *np.unique(level[level >= 0]).tolist()]:
+            part = rows.filter(pa.array(content & (new if at is None else new | (level == at))))
+            if not part.num_rows or at is not None and np.all(part.column("level").to_numpy() == at):
+                continue  # nothing new meets this level
+            flags, order = scanned(spec, part)
+            if flags.any():
+                yield found(part, flags)
+            if at is None and not carried:
+                merged = part.take(pa.array(order))
+        if carried:
+            part = rows.filter(pa.array(content & np.isin(level, [-1, *carried])))
+            if part.num_rows:
+                leaves = leaves_of(spec, part)
+                merged = part.take(pa.array(R.subtree(leaves.group, leaves.right, leaves.n_right)[0]))
+        if merged is not None and merged.num_rows:
+            n = merged.num_rows
+            place = np.arange(at_place[0], at_place[0] + n, dtype=np.int32)
+            at_place[0] += n
+            yield pa.table([*(merged.column(x) for x in names), place, pa.nulls(n, RUNS), np.zeros(n, dtype=bool)], schema=_STEP)
+
+    def run(batch: pa.Table, levels: pa.Table) -> pa.Table:
+        if not batch.num_rows and not carried:
+            return _STEP.empty_table()
+        count, at_place = batch.num_rows, [0]
+        batch = batch.append_column("place", pa.array(np.arange(count, dtype=np.int32))).append_column("level", pa.array(np.full(count, -1, dtype=np.int32)))
+        rows = pa.concat_tables([batch.select([*names, "place", "level"]), levels.select([*names, "place", "level"])])
+        # by key, each array in its own order
+        rows = rows.take(pa.array(np.lexsort([rows.column(n).to_numpy() for n in ("place", "level", "akey")])))
+        out = [t for part in R.by_group(iter(rows.combine_chunks().to_batches(max_chunksize=4096)), most) for t in share(part, at_place)]
+        return pa.concat_tables(out) if out else _STEP.empty_table()
 
-def shared(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix."""
-    lo, hi = 0, min(len(a), len(b))
-    if a[:hi] == b[:hi]:
-        return hi
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+    return run
 
 
 class IndexFamily:
-    """Suffix arrays of geometrically growing sizes; `reach` holds, for each suffix, its longest match so far."""
-
-    def __init__(self, base: int = 2048):
-        self.base = base
-        self.levels: dict[int, list[tuple[bytes, int]]] = {}
-        self.reach: list[int] = []
-
-    def add(self, suffixes: list[bytes]) -> None:
-        first = len(self.reach)
-        self.reach.extend([0] * len(suffixes))
-        array = sorted((s, first + i) for i, s in enumerate(suffixes))
-        for (a, i), (b, j) in zip(array, array[1:], strict=False):
-            self._met(i, j, shared(a, b))
-        for level in self.levels.values():
-            self._scan(array, level)
-        rank = 0
-        while rank in self.levels:
-            array = list(merge(array, self.levels.pop(rank)))
-            rank += 1
-        self.levels[rank] = array
-
-    def _met(self, i: int, j: int, n: int) -> None:
-        self.reach[i], self.reach[j] = max(self.reach[i], n), max(self.reach[j], n)
-
-    def _scan(self, new: list[tuple[bytes, int]], level: list[tuple[bytes, int]]) -> None:
-        """Each new suffix meets its neighbours of the level; the matches of the level's others are known to be as long."""
-        at = 0
-        for s, i in new:
-            at = bisect_left(level, (s, -1), at)
-            for t, j in level[max(0, at - 1) : at + 1]:
-                self._met(i, j, shared(s, t))
-
-
-def repeated_windows(group: list[R.Chunk], reach: list[int], window: int) -> list[tuple[int, int]]:
-    """(chunk, window) of the windows of these chunks that more than one of them has; by two 64-bit hashes of the whole window."""
-    one, two, chunk, at = [], [], [], []
-    for c, (g, far) in enumerate(zip(group, reach, strict=True)):
-        # a window that starts i bytes into the content needs window - (back - i) bytes behind the anchor
-        most = min(g.windows, far - window + g.back + 1)
-        if most > 0:
-            codes = C.BYTE[np.frombuffer(g.content, dtype=np.uint8)]
-            i = np.arange(most)
-            one.append(C.Rolling(codes).of(i, i + window))
-            two.append(C.Rolling(codes, 1).of(i, i + window))
-            chunk.append(np.full(most, c))
-            at.append(i)
-    if not one:
-        return []
-    one, two, chunk, at = (np.concatenate(x) for x in (one, two, chunk, at))
-    order = np.lexsort((two, one))
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    hit = np.zeros(len(order), dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return list(zip(chunk[hit].tolist(), at[hit].tolist(), strict=True))
-
-
-def _decide(window: int, slab: int = 16 << 20):
-    """For each chunk with a repeated window: the runs of its repeated windows.  Keys stay whole; a slab of keys is indexed at a time."""
-
-    def indexed(groups: list[list[R.Chunk]]) -> Iterator[tuple]:
-        rows = [c for g in groups for c in g]
-        family = IndexFamily()
-        for i in range(0, len(rows), family.base):
-            family.add([c.content[c.back : c.back + window] for c in rows[i : i + family.base]])
-        at = 0
-        for group in groups:
-            reach = family.reach[at : at + len(group)]
-            at += len(group)
-            flags = [np.full(c.windows, len(c.places) > 1) for c in group]
-            if len(group) > 1:
-                for c, i in repeated_windows(group, reach, window):
-                    flags[c][i] = True
-            for c, f in zip(group, flags, strict=True):
-                if f.any():
-                    step = np.diff(np.concatenate(([0], f.astype(np.int8), [0])))
-                    yield c, [{"lo": a, "hi": b} for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
-
-    def run(groups: Iterator[list[R.Chunk] | None]) -> Iterator[tuple]:
-        held: list[list[R.Chunk]] = []
-        size = 0
-        for group in groups:
-            if group is None:
-                yield None, None
-                continue
-            if len(group) == 1 and len(group[0].places) == 1:
-                continue
-            held.append(group)
-            size += sum(len(c.content) + 100 * len(c.places) for c in group)
-            if size > slab:
-                yield from indexed(held)
-                held, size = [], 0
-        yield from indexed(held)
-
-    return run
+    """Suffix arrays of geometrically growing sizes, as tables in a shared folder, each bucketed alike."""
+
+    def __init__(self, spark: SparkSession, spec: R.Windows, buckets: int, parts: int):
+        self.spark, self.spec, self.buckets, self.parts = spark, spec, buckets, parts
+        self.folder = f"{C.shared_folder(spark)}/suffix-arrays-{uuid.uuid4().hex}"
+        self.levels: dict[int, str] = {}
+        self.made = 0
+
+    def write(self, rows: DataFrame, folder: str, order: str) -> str:
+        """A table of rows that come with those of a bucket together, in a folder for each value of a column."""
+        name = f"arrays_{self.folder[-32:]}_{self.made}"
+        self.made += 1
+        writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}")
+        writer.partitionBy(folder).bucketBy(self.parts, "bucket").sortBy("bucket", order).saveAsTable(name)
+        return name
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        C.delete(self.spark, f"{self.folder}/{name}")
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Takes a batch (as ROW) in; gives the chunks, new or old, with windows that a new one shares: akey, second, runs."""
+        carried = []
+        while len(carried) in self.levels:
+            carried.append(len(carried))
+        none = self.spark.createDataFrame([], f"{ROW}, place int, level int")
+        levels = None
+        for rank, name in self.levels.items():
+            rows = self.spark.table(name).where("NOT found").select(*none.columns[:8], F.lit(rank).alias("level"))
+            levels = rows if levels is None else levels.unionByName(rows)
+        grouped = batch.groupBy("bucket").cogroup((none if levels is None else levels).groupBy("bucket"))
+        name = self.write(grouped.applyInArrow(_step(self.spec, carried), STEP), "found", "place")
+        for rank in carried:  # the matches that were told stay
+            C.delete(self.spark, f"{self.folder}/{self.levels.pop(rank)}/found=false")
+        self.levels[len(carried)] = name
+        return self.spark.table(name).where("found").select("akey", "second", "runs")
 
 
 def _apply(spec: R.Windows):
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in R.groups(frames):
-            out: list[list] = [[], [], [], [], []]
-            for data, repeats in zip(texts, batch.column("repeats"), strict=True):
-                starts = ends = np.zeros(0, dtype=np.int64)
-                kept = data.tobytes()
-                if repeats.is_valid:
-                    first, runs = R.verdicts_of(repeats.values, data)
-                    first, flat = np.repeat(first, np.diff(runs.offsets.to_numpy())), runs.flatten()
-                    starts, ends = C.merge_spans(first + flat.field("lo").to_numpy(), first + flat.field("hi").to_numpy() - 1 + spec.window)
-                    edge = [0, *np.stack((starts, ends), axis=1).ravel().tolist(), len(kept)]
-                    kept = b"".join([kept[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                spans = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                for col, x in zip(out, (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        lists = told.column("verdict").combine_chunks() if told.num_rows else None
+        out: list[list] = [[], [], [], [], [], []]
+        for batch, texts in R.groups(docs.to_batches()):
+            starts = ends = doc = np.zeros(0, dtype=np.int64)
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            if lists is not None:
+                first, row, doc = R.places(spec, R.chunks(spec, texts), told)
+                offset, runs = lists.offsets.to_numpy().astype(np.int64), lists.values
+                count = offset[row + 1] - offset[row]
+                which = np.repeat(offset[row], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                first, doc = np.repeat(first, count), np.repeat(doc, count)
+                starts, ends = first + runs.field("lo").to_numpy()[which], first + runs.field("hi").to_numpy()[which] - 1 + spec.window
+                order = np.argsort(doc, kind="stable")
+                starts, ends, doc = starts[order], ends[order], doc[order]
+            edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+            for i, (d, data) in enumerate(zip(batch.column("dk").to_pylist(), texts, strict=True)):
+                kept, s, e = data.tobytes(), starts[edge[i] : edge[i + 1]] - offsets[i], ends[edge[i] : edge[i + 1]] - offsets[i]
+                if len(s):
+                    s, e = C.merge_spans(s, e)
+                    cut = [0, *np.stack((s, e), axis=1).ravel().tolist(), len(kept)]
+                    kept = b"".join([kept[a:b] for a, b in zip(cut[::2], cut[1::2], strict=True)])
+                spans = [{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                for col, x in zip(out, (d, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans), strict=True):
                     col.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([R.ids_of(batch.column("dk").to_pylist()), *out], types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip([R.ids_of(out[0]), *out[1:]], types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return run
 
 
-def suffix_array_dedup(df: DataFrame, window: int = 400, gram: int = 32, hot: int = 100_000) -> DataFrame:
+def suffix_array_dedup(df: DataFrame, window: int = 400, gram: int = 32, most: int = 50_000, batches: int = 4) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans.
 
     A byte goes if a string of `window` bytes over it also starts anywhere else, in the same document too; all copies go.
     Null text is empty; rows with one id are two places like any others; texts under `window` bytes are kept whole; an
-    empty table gives an empty one; other columns are ignored.
+    empty table gives an empty one; other columns are ignored.  The documents come in `batches` batches; an anchor with more
+    than `most` places gets the whole window as its prefix.  The rows are the same with any number of either.
     """
-    C.prepare(df.sparkSession)
-    spec = R.Windows("bytes", window, gram, hot)
-    docs = R.with_repeats(R.prepared(df), spec, _decide(window), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), "array<struct<lo:int,hi:int>>")
-    return docs.mapInArrow(_apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    spark = df.sparkSession
+    C.prepare(spark)
+    spec = R.Windows("bytes", window, gram, most)
+    steps = R.Repeats(df, spec)
+    buckets = R.SLABS * steps.parts
+    family = IndexFamily(spark, spec, buckets, steps.parts)
+    rows = steps.contents().select(F.pmod(F.xxhash64("akey"), F.lit(buckets)).cast("int").alias("bucket"), "akey", "second", "n", "content", "back", "windows", F.pmod("slab", F.lit(batches)).alias("batch"))
+    arriving = family.write(rows.repartition(steps.parts, "bucket"), "batch", "akey")
+    matches = None
+    for b in range(batches):
+        got = family.add(spark.table(arriving).where(F.col("batch") == b).drop("batch"))
+        matches = got if matches is None else matches.unionByName(got)
+    family.drop(arriving)
+    verdicts = matches.groupBy("akey", "second").agg(F.flatten(F.collect_list("runs")).alias("verdict"))
+    return steps.apply(steps.told(verdicts), _apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")

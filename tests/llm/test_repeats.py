@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from forgepulse.llm.substring_dedup import substring_dedup
-from forgepulse.llm.suffix_array_dedup import IndexFamily, shared, suffix_array_dedup
+from forgepulse.llm.suffix_array_dedup import suffix_array_dedup
 
 from .cases import awkward, empty, real
 
@@ -52,19 +52,19 @@ def order(rows):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_words(spark, small, hot):
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_words(spark, small, most):
     for df in (awkward(spark), real(spark, small).limit(120)):
         df = df.cache()
-        got = [tuple(r)[:4] for r in substring_dedup(df, hot=hot).collect()]
+        got = [tuple(r)[:4] for r in substring_dedup(df, most=most).collect()]
         assert order(got) == order(brute_words([(r.doc_id, r.text) for r in df.collect()]))
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_bytes(spark, small, hot):
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_bytes(spark, small, most):
     for df in (awkward(spark), real(spark, small).where("n_chars < 4000").limit(60)):
         df = df.cache()
-        got = [tuple(r)[:5] for r in suffix_array_dedup(df, hot=hot).collect()]
+        got = [tuple(r)[:5] for r in suffix_array_dedup(df, most=most).collect()]
         assert order(got) == order(brute_bytes([(r.doc_id, r.text) for r in df.collect()]))
 
 
@@ -73,14 +73,3 @@ def test_empty(spark):
     assert suffix_array_dedup(empty(spark)).count() == 0
 
 
-def test_family_knows_the_longest_match():
-    import random
-
-    rng = random.Random(3)
-    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))).encode() for _ in range(300)]
-    family = IndexFamily(base=16)
-    for i in range(0, 300, 16):
-        family.add(words[i : i + 16])
-    for i, w in enumerate(words):
-        assert family.reach[i] == max(shared(w, x) for j, x in enumerate(words) if j != i)
-    assert sum(map(len, family.levels.values())) == 300
