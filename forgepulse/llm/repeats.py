@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,9 +159,6 @@ def _windows_of(c: Chunks, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(count.sum()) + np.repeat(c.first[chunk] - before, count), np.repeat(chunk, count)
 
 
-OUTLINE = "akey long, second long, slab int, lo long, hi long, n long, anchor long"
-
-
 def _outline(spec: Windows):
     schema = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("slab", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64())])
 
@@ -196,15 +194,18 @@ def _outline(spec: Windows):
     return run
 
 
-def matched(asked: pa.Table, key: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """For each chunk the row of `asked` with its two hashes, or -1."""
+def matched(asked: pa.Table, key: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks with the two hashes of a row of `asked`, and that row; all pairs of them."""
     one, two = (asked.column(n).to_numpy().view(np.uint64) for n in ("akey", "second"))
-    if not len(one) or not len(key):
-        return np.full(len(key), -1)
-    have = two ^ C.mix(one)
+    have, ask = two ^ C.mix(one), second ^ C.mix(key)
     order = np.argsort(have)
-    at = order[np.minimum(np.searchsorted(have[order], second ^ C.mix(key)), len(have) - 1)]
-    return np.where((one[at] == key) & (two[at] == second), at, -1)
+    have = have[order]
+    low = np.searchsorted(have, ask)
+    count = np.searchsorted(have, ask, side="right") - low
+    at = np.repeat(np.arange(len(key)), count)
+    row = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    same = (one[row] == key[at]) & (two[row] == second[at])
+    return at[same], row[same]
 
 
 ODD = (b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"  ")
@@ -215,34 +216,43 @@ def _plain(spec: Windows, raw: bytes) -> bytes:
     return b" ".join(raw.split()) if spec.kind == "words" and any(x in raw for x in ODD) else raw
 
 
-CONTENT = "akey long, second long, slab int, least long, latest long, n long, content binary, back int, windows int"
-_CONTENT = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("slab", pa.int32()), ("least", pa.int64()), ("latest", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32())])
+#: A different chunk: hashes, slabs that have it (with their latest id where only other documents count), its key where its prefix is the whole window, content, anchor's place in it and number of windows.
+PLACES = {True: "array<struct<slab:int,hi:long>>", False: "array<struct<slab:int>>"}
+FACTS = {True: "least long", False: "n long"}
+
+
+def content_schema(across: bool) -> str:
+    return f"akey long, second long, {FACTS[across]}, places {PLACES[across]}, anchor long, content binary, back int, windows int"
+
+
+def arrow_places(across: bool) -> pa.DataType:
+    return pa.list_(pa.struct([("slab", pa.int32()), *([("hi", pa.int64())] if across else [])]))
 
 
 def _contents(spec: Windows):
-    """Each asked chunk with its content; one whose prefix is the whole window has nothing behind or before it, and goes without."""
+    """Each asked chunk, with its content where it is to be compared with others."""
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        if not docs.num_rows or not asked.num_rows:
-            return _CONTENT.empty_table()
-        names = _CONTENT.names[:6]
-        long = asked.column("anchor").is_valid().to_numpy()
-        whole = asked.filter(pa.array(long))
-        count = whole.num_rows
-        out = [pa.table([*(whole.column(n) for n in names), pa.nulls(count, pa.binary()), np.zeros(count, dtype=np.int32), np.ones(count, dtype=np.int32)], schema=_CONTENT)]
-        asked = asked.filter(pa.array(~long))
+        names = [n for n in asked.column_names if n not in ("slab", "alone")]
+
+        def rows(part: pa.Table, content: pa.Array, back: np.ndarray, windows: np.ndarray) -> pa.Table:
+            known = [part.column(n).cast(arrow_places(spec.across)) if n == "places" else part.column(n) for n in names]
+            return pa.table([*known, content, back.astype(np.int32), windows.astype(np.int32)], names=[*names, "content", "back", "windows"])
+
+        alone = asked.filter(asked.column("alone"))
+        none = np.zeros(alone.num_rows)
+        out = [rows(alone, pa.nulls(alone.num_rows, pa.binary()), none, none)]
+        asked = asked.filter(pc.invert(asked.column("alone")))
         served = np.zeros(asked.num_rows, dtype=bool)
-        for _, texts in groups(docs.to_batches()):
+        for _, texts in groups(docs.to_batches()) if asked.num_rows else ():
             c = chunks(spec, texts)
-            row = matched(asked, c.key, C.Rolling(c.codes, 1).of(c.first, c.last + spec.window))
-            row, at = np.unique(row, return_index=True)
-            row, at = row[row >= 0], at[row >= 0]
-            row, at = row[~served[row]], at[~served[row]]
+            at, row = matched(asked, c.key, C.Rolling(c.codes, 1).of(c.first, c.last + spec.window))
+            row, first = np.unique(row, return_index=True)
+            row, at = row[~served[row]], at[first][~served[row]]
             served[row] = True
             raw = c.data.tobytes()
             content = [_plain(spec, raw[b:e]) for b, e in zip(c.starts[c.first[at]].tolist(), c.ends[c.last[at] + spec.window - 1].tolist(), strict=True)]
-            part = asked.take(pa.array(row))
-            out.append(pa.table([*(part.column(n) for n in names), pa.array(content, pa.binary()), (c.anchor[at] - c.first[at]).astype(np.int32), (c.last[at] - c.first[at] + 1).astype(np.int32)], schema=_CONTENT))
+            out.append(rows(asked.take(pa.array(row)), pa.array(content, pa.binary()), c.anchor[at] - c.first[at], c.last[at] - c.first[at] + 1))
         return pa.concat_tables(out)
 
     return run
@@ -258,44 +268,43 @@ class Repeats:
         keys = self.slabs.applyInArrow(_keys(spec), "akey long, slab int, lo long, hi long, n long")
         keys = keys.select("akey", "slab", F.sum("n").over(met).alias("n"), F.min("lo").over(met).alias("lo"), F.max("hi").over(met).alias("hi"))
         again = keys.where(F.col("lo") < F.col("hi") if spec.across else F.col("n") > 1)
-        flagged = again.select("slab", "akey", (F.col("n") > spec.most).alias("deep"))
-        rows = self.slabs.cogroup(flagged.groupBy("slab")).applyInArrow(_outline(spec), OUTLINE)
-        # one shuffle of these rows is read twice, with all its columns; a chunk has a row a slab at most
-        self.outline = rows.repartition(self.parts, "akey", "second")
-
-    def contents(self) -> DataFrame:
-        """Every different chunk, with least and latest id, its number of places and its content (null where its prefix is the whole window)."""
-        asked = self.outline.groupBy("akey", "second").agg(
-            F.min("lo").alias("least"), F.max("hi").alias("latest"), F.sum("n").alias("n"), F.min("slab").alias("slab"), F.min("anchor").alias("anchor")
+        self.flagged = again.select("slab", "akey", (F.col("n") > spec.most).alias("deep"))
+
+    def contents(self, leave_alone: bool = False) -> DataFrame:
+        """Every different chunk, as content_schema.
+
+        Content is null where there is nothing to compare: its prefix is the whole window or, if leave_alone, no other chunk has its key.
+        """
+        outline = self.slabs.cogroup(self.flagged.groupBy("slab")).applyInArrow(_outline(self.spec), "akey long, second long, slab int, lo long, hi long, n long, anchor long")
+        # a key has few rows: one a slab for each different chunk, of which there are at most spec.most
+        place = F.struct("slab", "hi") if self.spec.across else F.struct("slab")
+        asked = outline.repartition(self.parts, "akey").groupBy("akey", "second").agg(
+            F.min("lo").alias("least") if self.spec.across else F.sum("n").alias("n"), F.collect_list(place).alias("places"), F.min("anchor").alias("anchor")
         )
-        return self.slabs.cogroup(asked.groupBy("slab")).applyInArrow(_contents(self.spec), CONTENT)
-
-    def told(self, verdicts: DataFrame, useful=None) -> DataFrame:
-        """What is known of chunks (akey, second, verdict), for each slab that has them."""
-        rows = verdicts.join(self.outline, ["akey", "second"])
-        if useful is not None:
-            rows = rows.where(useful)
-        seen = F.when((F.col("lo") <= F.col("hi")) & (F.col("n") > 0), F.col("slab"))
-        return rows.select(seen.alias("slab"), "akey", "second", "anchor", "verdict")
+        alone = F.col("anchor").isNotNull()
+        if leave_alone:
+            alone = alone | (F.count("*").over(Window.partitionBy("akey")) == 1)
+        asked = asked.select("*", F.array_min("places")["slab"].alias("slab"), alone.alias("alone"))
+        return self.slabs.cogroup(asked.groupBy("slab")).applyInArrow(_contents(self.spec), content_schema(self.spec.across))
 
     def apply(self, told: DataFrame, run, schema: str) -> DataFrame:
+        """told: slab, akey, second, anchor and verdict."""
         return self.slabs.cogroup(told.groupBy("slab")).applyInArrow(run, schema)
 
 
-def places(spec: Windows, c: Chunks, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, row of `told` and document of each chunk, or single window, that something is told of."""
+def places(spec: Windows, c: Chunks, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, document and row of `told` for each chunk, or single window, that something is told of."""
     none = np.zeros(0, dtype=np.int64)
     if not told.num_rows or not len(c.key):
-        return none, none, none
+        return none, none, none, none
     second = C.Rolling(c.codes, 1)
     anchors = told.column("anchor").drop_null().unique().to_numpy().view(np.uint64)
     long = np.isin(c.key, anchors) if len(anchors) else np.zeros(len(c.key), dtype=bool)
-    row = np.where(long, -1, matched(told, c.key, second.of(c.first, c.last + spec.window)))
-    pick = row >= 0
+    at, row = matched(told, c.key, second.of(c.first, c.last + spec.window))
     w, chunk = _windows_of(c, long)
-    row_2 = matched(told, C.Rolling(c.codes).of(w, w + spec.window), second.of(w, w + spec.window))
-    pick_2 = row_2 >= 0
-    return np.concatenate((c.first[pick], w[pick_2])), np.concatenate((row[pick], row_2[pick_2])), np.concatenate((c.doc[pick], c.doc[chunk[pick_2]]))
+    at_2, row_2 = matched(told, C.Rolling(c.codes).of(w, w + spec.window), second.of(w, w + spec.window))
+    first, count = np.concatenate((c.first[at], w[at_2])), np.concatenate((c.last[at] - c.first[at] + 1, np.ones(len(at_2), dtype=np.int64)))
+    return first, count, np.concatenate((c.doc[at], c.doc[chunk[at_2]])), np.concatenate((row, row_2))
 
 
 @dataclass

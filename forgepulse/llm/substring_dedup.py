@@ -38,24 +38,23 @@ def leaves_of(spec: R.Windows, rows: pa.Table) -> R.Leaves:
 
 
 def _index(spec: R.Windows, most: int = 8 << 20):
-    """For each chunk in which a later document may lose words: the least id that holds each of its windows."""
-    schema = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("verdict", pa.list_(pa.int64()))])
+    """For each chunk the least ids that hold its windows; one for all where they are alike."""
+    schema = pa.schema([("akey", pa.int64()), ("second", pa.int64()), ("anchor", pa.int64()), ("places", R.arrow_places(True)), ("verdict", pa.list_(pa.int64()))])
 
-    def verdicts(rows: pa.Table, windows: np.ndarray, lowest: np.ndarray) -> pa.RecordBatch:
+    def verdicts(rows: pa.Table, windows: np.ndarray, lowest: np.ndarray) -> Iterator[pa.RecordBatch]:
         """lowest: the windows' least ids, chunk after chunk."""
         first = np.cumsum(windows) - windows
-        told = np.flatnonzero(rows.column("latest").to_numpy() > np.minimum.reduceat(lowest, first)) if len(first) else first
-        part = rows.take(pa.array(told))
-        sizes = windows[told]
-        which = np.arange(sizes.sum()) + np.repeat(first[told] - (np.cumsum(sizes) - sizes), sizes)
+        alike = np.minimum.reduceat(lowest, first) == np.maximum.reduceat(lowest, first)
+        sizes = np.where(alike, 1, windows)
+        which = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
         lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(lowest[which]))
-        return pa.RecordBatch.from_arrays([*(part.column(n).combine_chunks() for n in schema.names[:2]), lists], schema=schema)
+        yield from pa.table([*(rows.column(n).cast(schema.field(n).type) for n in schema.names[:4]), lists], schema=schema).to_batches()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in R.by_group(frames, most):
-            whole = rows.filter(pc.is_null(rows.column("content")))  # a prefix as long as a window leaves one leaf, the window
-            if whole.num_rows:
-                yield verdicts(whole, np.ones(whole.num_rows, dtype=np.int64), whole.column("least").to_numpy())
+            leaf = rows.filter(pc.is_null(rows.column("content")))  # a subtree of one leaf
+            if leaf.num_rows:
+                yield from verdicts(leaf, np.ones(leaf.num_rows, dtype=np.int64), leaf.column("least").to_numpy())
             rows = rows.filter(pc.is_valid(rows.column("content")))
             if rows.num_rows:
                 leaves, least = leaves_of(spec, rows), rows.column("least").to_numpy()
@@ -65,7 +64,7 @@ def _index(spec: R.Windows, most: int = 8 << 20):
                     lows = np.full(which.max() + 1, np.iinfo(np.int64).max)
                     np.minimum.at(lows, which, least[chunk])
                     lowest[first[chunk] + at] = lows[which]
-                yield verdicts(rows, leaves.windows, lowest)
+                yield from verdicts(rows, leaves.windows, lowest)
 
     return run
 
@@ -83,11 +82,11 @@ def _apply(spec: R.Windows):
                 data, starts, ends, offsets = c.data, c.starts, c.ends, c.offsets
             lost = np.zeros(len(starts) + 1, dtype=np.int32)
             if lists is not None:
-                first, row, doc = R.places(spec, c, told)
+                first, count, doc, row = R.places(spec, c, told)
                 offset, least = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-                count = offset[row + 1] - offset[row]
                 step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                at = (np.repeat(first, count) + step)[least[np.repeat(offset[row], count) + step] < np.repeat(dk[doc], count)]
+                which = np.repeat(offset[row], count) + np.where(np.repeat(offset[row + 1] - offset[row], count) == 1, 0, step)
+                at = (np.repeat(first, count) + step)[least[which] < np.repeat(dk[doc], count)]
                 np.add.at(lost, at, 1)
                 np.add.at(lost, at + spec.window, -1)
             keep = np.cumsum(lost[:-1]) == 0
@@ -116,8 +115,9 @@ def substring_dedup(df: DataFrame, window: int = 13, gram: int = 5, most: int =
     C.prepare(df.sparkSession)
     spec = R.Windows("words", window, gram, most, across=True)
     steps = R.Repeats(df, spec)
-    grouped = steps.contents().drop("slab", "n").repartition(steps.parts, "akey").sortWithinPartitions("akey")
-    verdicts = grouped.mapInArrow(_index(spec), "akey long, second long, verdict array<long>")
-    told = steps.told(verdicts, F.array_min("verdict") < F.col("hi"))
+    grouped = steps.contents(leave_alone=True).repartition(steps.parts, "akey").sortWithinPartitions("akey")
+    verdicts = grouped.mapInArrow(_index(spec), f"akey long, second long, anchor long, places {R.PLACES[True]}, verdict array<long>")
+    told = verdicts.select("akey", "second", "anchor", "verdict", F.explode("places").alias("place")).where(F.array_min("verdict") < F.col("place.hi"))
+    told = told.select("place.slab", "akey", "second", "anchor", "verdict")
     out = steps.apply(told, _apply(spec), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.decode("kept", "UTF-8").alias("kept"))

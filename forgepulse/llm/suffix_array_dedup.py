@@ -21,10 +21,10 @@ from . import common as C
 from . import repeats as R
 
 RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-ROW = "bucket int, akey long, second long, n long, content binary, back int, windows int"
+ROW = f"bucket int, akey long, second long, n long, places {R.PLACES[False]}, anchor long, content binary, back int, windows int"
 #: A suffix of the merged array, or what is known of one: the runs of its windows that occur elsewhere.
 STEP = f"{ROW}, place int, runs array<struct<lo:int,hi:int>>, found boolean"
-_STEP = pa.schema([("bucket", pa.int32()), ("akey", pa.int64()), ("second", pa.int64()), ("n", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32()), ("place", pa.int32()), ("runs", RUNS), ("found", pa.bool_())])
+_STEP = pa.schema([("bucket", pa.int32()), ("akey", pa.int64()), ("second", pa.int64()), ("n", pa.int64()), ("places", R.arrow_places(False)), ("anchor", pa.int64()), ("content", pa.binary()), ("back", pa.int32()), ("windows", pa.int32()), ("place", pa.int32()), ("runs", RUNS), ("found", pa.bool_())])
 
 
 def leaves_of(spec: R.Windows, rows: pa.Table) -> R.Leaves:
@@ -64,12 +64,13 @@ def scanned(spec: R.Windows, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _step(spec: R.Windows, carried: list[int], most: int = 8 << 20):
     """A bucket's share of a new batch against that of each level; the batch and the levels in `carried` come out as one array."""
-    names = _STEP.names[:7]
+    names = _STEP.names[:9]
 
     def found(rows: pa.Table, flags: np.ndarray) -> pa.Table:
         chunk, runs = runs_of(flags, rows.column("windows").to_numpy().astype(np.int64))
         part = rows.take(pa.array(chunk))
-        return pa.table([part.column("bucket"), part.column("akey"), part.column("second"), pa.nulls(len(chunk), pa.int64()), pa.nulls(len(chunk), pa.binary()), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.int32()), pa.nulls(len(chunk), pa.int32()), runs, np.ones(len(chunk), dtype=bool)], schema=_STEP)
+        known = {n: part.column(n) for n in ("bucket", "akey", "second", "places", "anchor")} | {"runs": runs, "found": np.ones(len(chunk), dtype=bool)}
+        return pa.table([known.get(f.name, pa.nulls(len(chunk), f.type)) for f in _STEP], schema=_STEP)
 
     def share(rows: pa.Table, at_place: list[int]) -> Iterator[pa.Table]:
         """Some keys' rows, in order of akey; level is -1 for the new batch."""
@@ -104,7 +105,8 @@ def _step(spec: R.Windows, carried: list[int], most: int = 8 << 20):
             return _STEP.empty_table()
         count, at_place = batch.num_rows, [0]
         batch = batch.append_column("place", pa.array(np.arange(count, dtype=np.int32))).append_column("level", pa.array(np.full(count, -1, dtype=np.int32)))
-        rows = pa.concat_tables([batch.select([*names, "place", "level"]), levels.select([*names, "place", "level"])])
+        kinds = pa.schema([*(_STEP.field(n) for n in (*names, "place")), pa.field("level", pa.int32())])
+        rows = pa.concat_tables([batch.select(kinds.names).cast(kinds), levels.select(kinds.names).cast(kinds)])
         # by key, each array in its own order
         rows = rows.take(pa.array(np.lexsort([rows.column(n).to_numpy() for n in ("place", "level", "akey")])))
         out = [t for part in R.by_group(iter(rows.combine_chunks().to_batches(max_chunksize=4096)), most) for t in share(part, at_place)]
@@ -135,21 +137,21 @@ class IndexFamily:
         C.delete(self.spark, f"{self.folder}/{name}")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes a batch (as ROW) in; gives the chunks, new or old, with windows that a new one shares: akey, second, runs."""
+        """Takes a batch (as ROW) in; gives the chunks, new or old, with windows that a new one shares: akey, second, anchor, places, runs."""
         carried = []
         while len(carried) in self.levels:
             carried.append(len(carried))
         none = self.spark.createDataFrame([], f"{ROW}, place int, level int")
         levels = None
         for rank, name in self.levels.items():
-            rows = self.spark.table(name).where("NOT found").select(*none.columns[:8], F.lit(rank).alias("level"))
+            rows = self.spark.table(name).where("NOT found").select(*none.columns[:-1], F.lit(rank).alias("level"))
             levels = rows if levels is None else levels.unionByName(rows)
         grouped = batch.groupBy("bucket").cogroup((none if levels is None else levels).groupBy("bucket"))
         name = self.write(grouped.applyInArrow(_step(self.spec, carried), STEP), "found", "place")
         for rank in carried:  # the matches that were told stay
             C.delete(self.spark, f"{self.folder}/{self.levels.pop(rank)}/found=false")
         self.levels[len(carried)] = name
-        return self.spark.table(name).where("found").select("akey", "second", "runs")
+        return self.spark.table(name).where("found").select("akey", "second", "anchor", "places", "runs")
 
 
 def _apply(spec: R.Windows):
@@ -161,7 +163,7 @@ def _apply(spec: R.Windows):
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             if lists is not None:
-                first, row, doc = R.places(spec, R.chunks(spec, texts), told)
+                first, _, doc, row = R.places(spec, R.chunks(spec, texts), told)
                 offset, runs = lists.offsets.to_numpy().astype(np.int64), lists.values
                 count = offset[row + 1] - offset[row]
                 which = np.repeat(offset[row], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -199,12 +201,14 @@ def suffix_array_dedup(df: DataFrame, window: int = 400, gram: int = 32, most: i
     steps = R.Repeats(df, spec)
     buckets = R.SLABS * steps.parts
     family = IndexFamily(spark, spec, buckets, steps.parts)
-    rows = steps.contents().select(F.pmod(F.xxhash64("akey"), F.lit(buckets)).cast("int").alias("bucket"), "akey", "second", "n", "content", "back", "windows", F.pmod("slab", F.lit(batches)).alias("batch"))
+    windows = F.greatest("windows", F.lit(1))
+    first = F.array_min("places")["slab"]
+    rows = steps.contents().select(F.pmod(F.xxhash64("akey"), F.lit(buckets)).cast("int").alias("bucket"), "akey", "second", "n", "places", "anchor", "content", "back", windows.alias("windows"), F.pmod(first, F.lit(batches)).alias("batch"))
     arriving = family.write(rows.repartition(steps.parts, "bucket"), "batch", "akey")
     matches = None
     for b in range(batches):
         got = family.add(spark.table(arriving).where(F.col("batch") == b).drop("batch"))
         matches = got if matches is None else matches.unionByName(got)
     family.drop(arriving)
-    verdicts = matches.groupBy("akey", "second").agg(F.flatten(F.collect_list("runs")).alias("verdict"))
-    return steps.apply(steps.told(verdicts), _apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    told = matches.select("akey", "second", "anchor", F.col("runs").alias("verdict"), F.explode("places").alias("place"))
+    return steps.apply(told.select("place.slab", "akey", "second", "anchor", "verdict"), _apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
