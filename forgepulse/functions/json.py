@@ -33,9 +33,9 @@ def is_array(v: Column, path: str) -> Column:
 
 def text(v: Column, path: str) -> Column:
     """Scalars as text; missing, object and array: empty; JSON null: the word null."""
-    n = node(v, path)
-    nested = kind_of(v, path).rlike("^(OBJECT|ARRAY)")
-    return F.when(n.isNull() | nested, "").when(F.is_variant_null(n), "null").otherwise(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+    s = F.try_variant_get(v, path, "string")
+    nested = F.left(s, F.lit(1)).isin("{", "[") & kind_of(v, path).rlike("^(OBJECT|ARRAY)")
+    return F.when(s.isNull(), F.when(F.coalesce(F.is_variant_null(node(v, path)), F.lit(False)), "null").otherwise("")).when(nested, "").otherwise(s)
 
 
 def number(v: Column, path: str) -> Column:

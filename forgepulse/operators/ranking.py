@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import shared_folder
 from ..schema import kind_order
 
 PLACES = ("row_number", "rank", "max_rank")
@@ -70,50 +67,53 @@ def diff(before: DataFrame, after: DataFrame, key: str, metric: str, by: str | N
     return out.where(~F.col(metric).eqNullSafe(F.col("old_metric"))).select(*part, key, metric, *PLACES, *(f"old_{p}" for p in PLACES))
 
 
-class Ranking:
-    """The exact order of one ranking, for updates one at a time: sorted (-value, key)."""
-
-    def __init__(self, cutoff: int = 0):
-        self.cutoff = cutoff
-        self.rows: list[tuple] = []
-        self.values: dict = {}
-
-    def places(self, key) -> tuple[int, int, int] | tuple[None, None, None]:
-        if key not in self.values:
-            return None, None, None
-        v = -self.values[key]
-        return bisect_left(self.rows, (v, key)), bisect_left(self.rows, (v,)), bisect_left(self.rows, (v + 1,))
-
-    def update(self, key, value) -> tuple | None:
-        old = self.places(key)
-        if key in self.values:
-            del self.rows[bisect_left(self.rows, (-self.values.pop(key), key))]
-        if value is not None and value > self.cutoff:
-            self.values[key] = value
-            insort(self.rows, (-value, key))
-        new = self.places(key)
-        return None if old[0] is None and new[0] is None else (*new, *old)
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with _i, their place in the order, from 0: sorted partitions are counted, and each starts where those before it end."""
+    shared_folder(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_id", 33)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    placed = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row a partition
+    return placed.withColumn("_i", F.col("_start") + F.col("_id").bitwiseAND(F.lit(2**33 - 1))).drop("_id", "_part", "_start")
 
 
 def exact_changes(updates: DataFrame, key: str, metric: str, by: str = "window_size", version: str = "seq_num", cutoff: int = 0) -> DataFrame:
-    """The log of one update at a time: new places and, as old_*, those before; null where unranked.
+    """The log of one update at a time, by version, then key: new places and, as old_*, those before; null where unranked.
 
-    A ranking is one group of applyInPandas, as its updates are sequential; for small domains.  `diff` is the distributed form.
+    An update adds a point (value, key) and takes the key's last one away; its place is what earlier updates added, less what
+    they took, above it.  Times are cut into blocks within blocks, eight to each: an update is above another's time if, in some
+    block that holds both, its child block comes first.  So each level asks for counts within blocks by child only: a running sum over
+    the values of a block, and one over the keys of a tie.  Every level is a few groupings; no task holds a ranking's updates.
+    Rows without a ranking or a key go.
     """
-    ship(updates.sparkSession)
-    kinds = {c: t for c, t in updates.dtypes}
-    names = [*PLACES, *(f"old_{p}" for p in PLACES)]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ranking, out = Ranking(cutoff), []
-        for group, seq, k, v in frame.sort_values(version)[[by, version, key, metric]].itertuples(index=False):
-            if k is not None and (change := ranking.update(k, None if pd.isna(v) else v)) is not None:
-                out.append((group, seq, k, v, *change))
-        rows = pd.DataFrame(out, columns=[by, version, key, metric, *names])
-        return rows.astype(dict.fromkeys(names, "Int64"))
-
-    schema = f"{by} {kinds[by]}, {version} {kinds[version]}, {key} {kinds[key]}, {metric} {kinds[metric]}, " + ", ".join(f"{n} long" for n in names)
-    return updates.groupBy(by).applyInPandas(run, schema)
+    own = Window.partitionBy(by, key).orderBy(version)
+    value = F.when(F.col(metric) > cutoff, F.col(metric))
+    rows = updates.where(F.col(by).isNotNull() & F.col(key).isNotNull()).select(by, version, key, metric, value.alias("_new"), F.lag(value).over(own).alias("_old"))
+    rows = _numbered(rows.where("_new IS NOT NULL OR _old IS NOT NULL"), [by, version, key])
+    n = rows.agg(F.max("_i").alias("n")).first()["n"] or 0
+    levels = max(1, -(-n.bit_length() // 3))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("_new").alias("v"), F.lit(1).alias("d")), F.struct(F.lit(False).alias("new"), F.col("_old").alias("v"), F.lit(-1).alias("d"))))
+    points = rows.select(by, key, "_i", sides.alias("_p")).select(by, key, "_i", "_p.*").where("v IS NOT NULL")
+    each = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    each = each.withColumn("_block", F.expr("shiftright(_i, 3 * (_level + 1))")).withColumn("_child", F.expr("shiftright(_i, 3 * _level) & 7"))
+    block, sums = [by, "_level", "_block"], [f"_c{j}" for j in range(7)]
+    cells = each.groupBy(*block, "v", key).agg(*(F.sum(F.when(F.col("_child") == j, F.col("d")).otherwise(0)).alias(c) for j, c in enumerate(sums)))
+    above = Window.partitionBy(*block).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*block, "v").orderBy(_tie(key)).rowsBetween(Window.unboundedPreceding, -1)
+    values = cells.groupBy(*block, "v").agg(*(F.sum(c).alias(f"{c}t") for c in sums))
+    values = values.select(*block, "v", *(f"{c}t" for c in sums), *(F.coalesce(F.sum(f"{c}t").over(above), F.lit(0)).alias(f"{c}g") for c in sums))
+    cells = cells.select(*block, "v", key, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}b") for c in sums)).join(values, [*block, "v"])
+    earlier = lambda suffix: sum((F.when(F.col("_child") > j, F.col(f"{c}{suffix}")).otherwise(0) for j, c in enumerate(sums)), F.lit(0))
+    told = each.join(cells, [*block, "v", key]).groupBy("_i").agg(*(F.sum(F.when(F.col("new") == side, earlier(s))).alias(f"{name}_{s}") for side, name in ((True, "new"), (False, "old")) for s in "gbt"))
+    # a key's own last point counts for nothing in its new place
+    passed, stayed = (F.coalesce(t, F.lit(False)).cast("int") for t in (F.col("_old") > F.col("_new"), F.col("_old") >= F.col("_new")))
+    ranked, was = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    rank = F.col("new_g") - passed
+    places = (rank + F.col("new_b"), rank, F.col("new_g") + F.col("new_t") - stayed + 1)
+    old = (F.col("old_g") + F.col("old_b"), F.col("old_g"), F.col("old_g") + F.col("old_t"))
+    return rows.join(told, "_i").select(by, version, key, metric, *(F.when(ranked, p).alias(n) for n, p in zip(PLACES, places, strict=True)), *(F.when(was, p).alias(f"old_{n}") for n, p in zip(PLACES, old, strict=True)))
 
 
 def replay(changes: DataFrame, key: str, metric: str, by: str | None = "window_size", version: str = "seq_num") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.history import SERIES, downsampled, gap_filled
+
 
 def named(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Rows with the dimension's fields of key = id; Spark chooses the join by size."""
@@ -26,6 +28,14 @@ def with_history(page: DataFrame, history: DataFrame, key: str) -> DataFrame:
     return history.join(page.select(key).distinct(), key, "left_semi")
 
 
+def with_series(page: DataFrame, history: DataFrame, key: str, metric: str, last: Column, size: str = "24h") -> DataFrame:
+    """The page's rows with series: the gap-filled counts of the window size, oldest first, null for an entity without any."""
+    buckets, seconds, factor = SERIES[size]
+    points = downsampled(gap_filled(with_history(page, history, key), key, metric, last, buckets, seconds), key, buckets, factor)
+    lists = points.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("place"), "y"))), lambda p: p["y"]).alias("series"))
+    return page.join(lists, key, "left")
+
+
 def entity_page(entity: DataFrame, rankings: dict[str, DataFrame], key: str) -> DataFrame:
     """One row an entity: its fields, and its places in each window of each ranking, as an array of structs."""
     places = None

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Field, TableSpec
@@ -130,6 +130,16 @@ class Query:
             out = out.orderBy(*(F.desc(k) for k in self.spec.sorted_keys or self.spec.keys)).limit(self.most)
         return out
 
+    def read_ranking(self, live: DataFrame, key: str, metric: str, by: str | None = "window_size") -> DataFrame:
+        """Rows of a ranking that is made from live counts: places of the asked keys only where the point form serves, else the whole ranking, filtered."""
+        from ..operators import ranking as R
+
+        self.check_read()
+        if not self.point():
+            return self.read(R.snapshot(live, key, metric, by).drop("seq_num"), guard=False)
+        wanted = live.where(self.predicate).select(*([by] if by else []), key)
+        return self.read(R.points(live, wanted, key, metric, by), guard=False)
+
     def live(self, changes: DataFrame) -> DataFrame:
         """Change rows, of a batch or a stream, that match."""
         return changes.where(self.predicate)
@@ -141,6 +151,24 @@ def matched(changes: DataFrame, queries: Sequence[tuple[str, Query]]) -> DataFra
     return changes.withColumn("subscriptions", names).where(F.size("subscriptions") > 0)
 
 
+def subscribed(changes: DataFrame, subscriptions: DataFrame, key: str) -> DataFrame:
+    """Change rows (their key and the subscription) that match subscriptions in a table: name, branch, field, options (texts) or least and below.
+
+    A row matches a subscription if all filters of one branch do: filters with options join by field and value; the others by field.
+    """
+    subs = subscriptions.withColumn("_all", F.count("*").over(Window.partitionBy("name", "branch")))
+    fields = [c for c in changes.columns if c != key]
+    cells = changes.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))).alias("c")).select(key, "c.*")
+    one = subs.where("options IS NOT NULL").select("name", "branch", "_all", "field", F.explode(F.array_distinct("options")).alias("value"))
+    hits = cells.join(one, ["field", "value"]).select(key, "name", "branch", "_all", "field")
+    spans = subs.where("options IS NULL").select("name", "branch", "_all", "field", "least", "below")
+    number = F.try_to_number("value", F.lit("S999999999999999999")).cast("long")
+    inside = F.coalesce((F.col("least").isNull() | (number >= F.col("least"))) & (F.col("below").isNull() | (number < F.col("below"))), F.lit(False))
+    hits = hits.unionByName(cells.join(spans, "field").where(inside).select(key, "name", "branch", "_all", "field"))
+    met = hits.groupBy(key, "name", "branch").agg(F.count("*").alias("n"), F.max("_all").alias("_all")).where("n = _all")
+    return met.select(key, "name").distinct()
+
+
 def snapshot_plus_changes(snapshot: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of a snapshot brought up to date: changes no newer than the snapshot are dropped, then the newest of a key counts."""
     from ..operators.versioning import merge_rows

@@ -131,31 +131,31 @@ _add(
 
 
 def _updates(s: SparkSession, d: str) -> DataFrame:
-    """Star counts as a stream of versioned updates: the change log, numbered by time and key."""
-    rows = S.changes(H.stars(_ev(s, d)), "repo_id", "num_stars", {"1h": 3600, "24h": 86400}).where("changed_at < TIMESTAMP_NTZ'2024-01-04 00:00:00'")
-    return rows.select("window_size", "repo_id", (F.unix_micros(F.col("changed_at").cast("timestamp")) * 128 + F.col("repo_id")).alias("seq_num"), "num_stars")
+    """Star counts as a stream of versioned updates: the change log, by time, then key."""
+    rows = S.changes(H.stars(_ev(s, d)), "repo_id", "num_stars")
+    return rows.select("window_size", "repo_id", F.unix_seconds(F.col("changed_at").cast("timestamp")).alias("seq_num"), "num_stars")
 
 
 _UPDATES = f"""{EV}, b AS (SELECT repo_id, date_trunc('second', created_at) + INTERVAL 1 SECOND AS e, count(*) AS c FROM ev WHERE kind = 'watch' GROUP BY ALL),
- dl AS (SELECT window_size, repo_id, changed_at, sum(c) AS delta FROM (SELECT window_size, repo_id, e AS changed_at, c FROM b, sizes WHERE window_size IN ('1h', '24h') UNION ALL SELECT window_size, repo_id, e + s * INTERVAL 1 SECOND, -c FROM b, sizes WHERE window_size IN ('1h', '24h')) GROUP BY ALL HAVING sum(c) <> 0),
- up AS (SELECT window_size, repo_id, epoch_us(changed_at) * 128 + repo_id AS seq_num, CAST(sum(delta) OVER (PARTITION BY window_size, repo_id ORDER BY changed_at) AS BIGINT) AS num_stars, changed_at FROM dl)"""
-_LAST = "SELECT window_size, repo_id, arg_max(num_stars, seq_num) AS num_stars, max(seq_num) AS seq_num FROM up WHERE changed_at < TIMESTAMP '2024-01-04 00:00:00' GROUP BY window_size, repo_id"
+ dl AS (SELECT window_size, repo_id, changed_at, sum(c) AS delta FROM (SELECT window_size, repo_id, e AS changed_at, c FROM b, sizes UNION ALL SELECT window_size, repo_id, e + s * INTERVAL 1 SECOND, -c FROM b, sizes) GROUP BY ALL HAVING sum(c) <> 0),
+ up AS (SELECT window_size, repo_id, CAST(epoch(changed_at) AS BIGINT) AS seq_num, CAST(sum(delta) OVER (PARTITION BY window_size, repo_id ORDER BY changed_at) AS BIGINT) AS num_stars, changed_at FROM dl)"""
+_LAST = "SELECT window_size, repo_id, arg_max(num_stars, seq_num) AS num_stars, max(seq_num) AS seq_num FROM up GROUP BY window_size, repo_id"
 _RANK_LAST = _rank_sql(f"SELECT * FROM ({_LAST}) WHERE num_stars > 0", "repo_id", "num_stars", "window_size")
 _add("ranking_replay", lambda s, d: R.replay(R.exact_changes(_updates(s, d), "repo_id", "num_stars"), "repo_id", "num_stars").drop("seq_num"), f"{_UPDATES} SELECT window_size, repo_id, num_stars, row_number, rank, max_rank FROM ({_RANK_LAST})")
 _add(
     "ranking_changelog", lambda s, d: R.exact_changes(_updates(s, d), "repo_id", "num_stars").select("window_size", "seq_num", "repo_id", "num_stars", "row_number", "rank", "old_row_number", "old_rank"),
-    f"""{_UPDATES}, u AS (SELECT * FROM up WHERE changed_at < TIMESTAMP '2024-01-04 00:00:00'), iv AS (SELECT *, lead(seq_num) OVER (PARTITION BY window_size, repo_id ORDER BY seq_num) AS until, lag(num_stars) OVER (PARTITION BY window_size, repo_id ORDER BY seq_num) AS old FROM u),
+    f"""{_UPDATES}, u AS (SELECT * FROM up), iv AS (SELECT *, lead(seq_num) OVER (PARTITION BY window_size, repo_id ORDER BY seq_num) AS until, lag(num_stars) OVER (PARTITION BY window_size, repo_id ORDER BY seq_num) AS old FROM u),
  pl AS (SELECT a.window_size, a.seq_num, a.repo_id, a.num_stars, coalesce(a.old, 0) AS old,
  count(*) FILTER (WHERE b.num_stars > a.num_stars OR b.num_stars = a.num_stars AND b.repo_id < a.repo_id) AS row_number, count(*) FILTER (WHERE b.num_stars > a.num_stars) AS rank,
  count(*) FILTER (WHERE b.num_stars > coalesce(a.old, 0) OR b.num_stars = coalesce(a.old, 0) AND b.repo_id < a.repo_id) AS old_row_number, count(*) FILTER (WHERE b.num_stars > coalesce(a.old, 0)) AS old_rank
- FROM iv a LEFT JOIN iv b ON a.window_size = b.window_size AND b.repo_id <> a.repo_id AND b.seq_num < a.seq_num AND (b.until IS NULL OR b.until > a.seq_num) AND b.num_stars > 0 GROUP BY ALL)
+ FROM iv a LEFT JOIN iv b ON a.window_size = b.window_size AND b.repo_id <> a.repo_id AND (b.seq_num, b.repo_id) < (a.seq_num, a.repo_id) AND (b.until IS NULL OR (b.until, b.repo_id) > (a.seq_num, a.repo_id)) AND b.num_stars > 0 GROUP BY ALL)
  SELECT window_size, seq_num, repo_id, num_stars, CASE WHEN num_stars > 0 THEN row_number END AS row_number, CASE WHEN num_stars > 0 THEN rank END AS rank, CASE WHEN old > 0 THEN old_row_number END AS old_row_number, CASE WHEN old > 0 THEN old_rank END AS old_rank FROM pl WHERE num_stars > 0 OR old > 0""",
 )
 
 #: Raw events made of the rows of the events table: event_id modulo the number of rows here chooses type, payload, kind, and the description after the user (SQL).
 _REPO, _U = "'<repo{o' || user_id || '/r' || repo_id || '}{' || repo_id || '}>'", "'<user{u' || user_id || '}{' || user_id || '}>'"
 _IN = f"' in repository ' || {_REPO} || '.'"
-RAW: tuple[tuple[str, str, str, str], ...] = (
+RAW: tuple[tuple[str, str, str, str | None], ...] = (
     ("PushEvent", '{"ref":"refs/heads/b%d","size":2}', "push", f"' pushed 2 commits to repository ' || {_REPO} || ' branch <code{{b' || id || '}}>'"),
     ("WatchEvent", '{"action":"started","n":%d}', "watch", f"' starred the repository ' || {_REPO}"),
     ("CreateEvent", '{"ref_type":"repository","ref":null,"description":"d%d"}', "create_repo", f"' created the repository ' || {_REPO} || '.<quote{{d' || id || '}}>'"),
@@ -173,7 +173,17 @@ RAW: tuple[tuple[str, str, str, str], ...] = (
     ("CommitCommentEvent", '{"comment":{"html_url":"h%d#c","commit_id":"0123456789abcdef","body":"b"}}', "commit_comment", "' <link{commented}{h' || id || '#c}> on commit <link{#0123456789}{h' || id || '}>.' || chr(10) || '<quote{b}>'"),
     ("PublicEvent", '{"n":%d}', "other", f"'  made the repository ' || {_REPO} || ' public.'"),
     ("ReleaseEvent", '{"action":"published","release":{"html_url":"h%d","author":{"id":7,"login":"rel"}}}', "other", f"' published a <link{{release}}{{h' || id || '}}> for repository ' || {_REPO} || '.'"),
-    ("IssuesEvent", '{"action":"labeled","issue":{"html_url":"h%d","title":"t","user":{"id":8,"login":"iss"},"assignees":[{"id":9,"login":"as1"},{"login":"noid"}]}}', "other", f"' labeled an <link{{issue}}{{h' || id || '}}>' || {_IN} || '<quote{{t}}>'"),
+    ("PullRequestReviewEvent", '{"action":"created","review":{"html_url":"h%d","body":"b"},"pull_request":{"html_url":"p"}}', "other", f"' created a <link{{pull request review}}{{h' || id || '}}>' || {_IN} || '<quote{{b}}>'"),
+    ("MemberEvent", '{"action":"added","member":{"id":%d}}', "other", f"' added member <user{{}}{{' || id || '}}> for repository ' || {_REPO} || '.'"),
+    ("DiscussionEvent", '{"action":"created","discussion":{"html_url":"h%d","body":null}}', "other", f"' created a <link{{discussion}}{{h' || id || '}}>' || {_IN}"),
+    ("PullRequestReviewCommentEvent", '{"action":"created","comment":{"html_url":"c","body":"b"},"pull_request":{"html_url":"h%d"}}', "pull_comment", f"' <link{{commented}}{{c}}> on a <link{{pull request}}{{h' || id || '}}>' || {_IN} || '<quote{{b}}>'"),
+    ("PushEvent", '{"ref":"refs/heads/b%d","size":1}', "push", f"' pushed a commit to repository ' || {_REPO} || ' branch <code{{b' || id || '}}>'"),
+    ("PushEvent", '{"ref":"b%d"}', "push", f"' pushed to repository ' || {_REPO} || ' branch <code{{b' || id || '}}>'"),
+    ("IssuesEvent", '{"action":"reopened","issue":{"html_url":"h%d","title":"t","body":null}}', "issue_open", f"' reopened an <link{{issue}}{{h' || id || '}}>' || {_IN} || '<quote{{t}}>'"),
+    ("PullRequestEvent", '{"action":"closed","pull_request":{"html_url":"h%d","title":"t"}}', "pull_close", f"' closed a <link{{pull request}}{{h' || id || '}}>' || {_IN} || '<quote{{t}}>'"),
+    ("PullRequestEvent", '{"action":"synchronize","pull_request":{"html_url":"h%d","title":"t","body":"b"}}', "other", f"' synchronize a <link{{pull request}}{{h' || id || '}}>' || {_IN} || '<quote{{t' || chr(10) || chr(10) || 'b}}>'"),
+    ("StrangeEvent", '{"n":%d}', "other", None),
+    ("IssuesEvent", '{"action":"labeled","issue":{"html_url":"h%d","title":"t","user":{"id":8,"html_url":"w8","type":"Bot","login":"iss"},"assignees":[{"id":9,"login":"as1"},{"login":"noid"}]}}', "other", f"' labeled an <link{{issue}}{{h' || id || '}}>' || {_IN} || '<quote{{t}}>'"),
 )
 
 
@@ -199,27 +209,30 @@ def _typed(s: SparkSession, d: str) -> DataFrame:
 
 
 _CASE = "CASE id % " + str(len(RAW)) + " " + " ".join(f"WHEN {i} THEN '{r[2]}'" for i, r in enumerate(RAW)) + " END"
-_TEXT = "CASE id % " + str(len(RAW)) + " " + " ".join(f"WHEN {i} THEN {_U} || {_plain(r[3])}" for i, r in enumerate(RAW)) + " END"
-_add("kind_classify", lambda s, d: _typed(s, d).select("id", "kind", "user_id", "repo_id", "seq_num"), f"{EV} SELECT id, {_CASE} AS kind, user_id, repo_id, seq_num FROM ev")
+_TEXT = "CASE id % " + str(len(RAW)) + " " + " ".join(f"WHEN {i} THEN {_U} || {_plain(r[3])}" if r[3] else f"WHEN {i} THEN 'This is an unknown event type <code{{{r[0]}}}>.'" for i, r in enumerate(RAW)) + " END"
+_add("kind_classify", lambda s, d: _typed(s, d).select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "kind", "user_id", "repo_id", "seq_num"), f"{EV} SELECT id, date_trunc('second', created_at) AS created_at, {_CASE} AS kind, user_id, repo_id, seq_num FROM ev")
 _add("event_details", lambda s, d: X.detailed(_typed(s, d)).select("id", "kind", "details"), f"{EV} SELECT id, {_CASE} AS kind, {_TEXT} AS details FROM ev")
 _add(
     "description_parts", lambda s, d: X.detailed(_typed(s, d)).select("id", F.explode(E.markup_parts(F.col("details"))).alias("p")).groupBy("p.name").agg(F.count("*").alias("n")),
     f"{EV} SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_TEXT}, '<(user|repo|link|code|quote)\\{{[^}}]*\\}}(?:\\{{[^}}]*\\}})?>', 1)) AS name FROM ev) GROUP BY name",
 )
 _add("url_rewrite", lambda s, d: _ev(s, d).select("id", E.page_url(F.concat(F.lit("https://api.github.com/repos/a/"), "repo_id", F.lit("/pulls/"), "id")).alias("url")), f"{EV} SELECT id, 'https://github.com/a/' || repo_id || '/pull/' || id AS url FROM ev")
-_MENTIONS = f"""{EV}, ue AS (SELECT user_id AS id, 'u' || user_id AS username, 'a' || id AS avatar_url, seq_num FROM ev UNION ALL SELECT 7, 'rel', NULL, seq_num FROM ev WHERE id % {len(RAW)} = 16
- UNION ALL SELECT 8, 'iss', NULL, seq_num FROM ev WHERE id % {len(RAW)} = 17 UNION ALL SELECT 9, 'as1', NULL, seq_num FROM ev WHERE id % {len(RAW)} = 17)"""
-_add("user_mentions", lambda s, d: N.user_mentions(_typed(s, d)).select("id", "username", "avatar_url", "seq_num"), f"{_MENTIONS} SELECT * FROM ue")
-_REPOS = f"""{EV}, re AS (SELECT repo_id AS id, 'r' || repo_id AS reponame, 'o' || user_id || '/r' || repo_id AS fullname, 'x y' AS topics, id AS star_count, seq_num FROM ev
- UNION ALL SELECT id, NULL, 'x/y', NULL, NULL, seq_num FROM ev WHERE id % {len(RAW)} = 6)"""
-_add("repo_mentions", lambda s, d: N.repo_mentions(_typed(s, d)).select("id", "reponame", "fullname", "topics", "star_count", "seq_num"), f"{_REPOS} SELECT * FROM re")
+_AT = {r[0]: i for i, r in enumerate(RAW)} | {"labeled": len(RAW) - 1}
+_MENTIONS = f"""{EV}, ue AS (SELECT user_id AS id, 'u' || user_id AS username, 'a' || id AS avatar_url, NULL AS html_url, NULL AS user_type, seq_num FROM ev UNION ALL SELECT 7, 'rel', NULL, NULL, NULL, seq_num FROM ev WHERE id % {len(RAW)} = {_AT["ReleaseEvent"]}
+ UNION ALL SELECT 8, 'iss', NULL, 'w8', 'Bot', seq_num FROM ev WHERE id % {len(RAW)} = {_AT["labeled"]} UNION ALL SELECT 9, 'as1', NULL, NULL, NULL, seq_num FROM ev WHERE id % {len(RAW)} = {_AT["labeled"]}
+ UNION ALL SELECT id, NULL, NULL, NULL, NULL, seq_num FROM ev WHERE id % {len(RAW)} = {_AT["MemberEvent"]})"""
+_add("user_mentions", lambda s, d: N.user_mentions(_typed(s, d)), f"{_MENTIONS} SELECT * FROM ue")
+_REPO_NULLS = ", ".join(f"NULL AS {n}" for n in ("owner_id", "html_url", "homepage", "descr", "lang", "license", "is_fork", "is_archived", "fork_count", "issue_count"))
+_REPOS = f"""{EV}, re AS (SELECT repo_id AS id, 'r' || repo_id AS reponame, 'o' || user_id || '/r' || repo_id AS fullname, 'x y' AS topics, id AS star_count, seq_num, {_REPO_NULLS} FROM ev
+ UNION ALL SELECT id, NULL, 'x/y', NULL, NULL, seq_num, {_REPO_NULLS} FROM ev WHERE id % {len(RAW)} = {_AT["ForkEvent"]})"""
+_add("repo_mentions", lambda s, d: N.repo_mentions(_typed(s, d)), f"{_REPOS} SELECT * FROM re")
 _add(
     "users_merge", lambda s, d: V.merge_fields(V.with_versions(N.user_mentions(_typed(s, d)), ["username", "avatar_url"]), ["id"], ["username", "avatar_url"]),
     f"{_MENTIONS} SELECT id, arg_max(username, seq_num) AS username, arg_max(avatar_url, seq_num) FILTER (WHERE avatar_url IS NOT NULL) AS avatar_url, coalesce(max(seq_num) FILTER (WHERE username IS NOT NULL), 0) AS username_seq_num, coalesce(max(seq_num) FILTER (WHERE avatar_url IS NOT NULL), 0) AS avatar_url_seq_num, max(seq_num) AS seq_num FROM ue GROUP BY id",
 )
 _add(
-    "repos_merge", lambda s, d: V.merge_fields(V.with_versions(N.repo_mentions(_typed(s, d)), ["reponame", "fullname", "star_count"]), ["id"], ["reponame", "fullname", "star_count"]).select("id", "reponame", "star_count", "seq_num"),
-    f"{_REPOS} SELECT id, arg_max(reponame, seq_num) FILTER (WHERE reponame IS NOT NULL) AS reponame, arg_max(star_count, seq_num) FILTER (WHERE star_count IS NOT NULL) AS star_count, max(seq_num) AS seq_num FROM re GROUP BY id",
+    "repos_merge", lambda s, d: V.merge_fields(V.with_versions(N.repo_mentions(_typed(s, d)), ["reponame", "fullname", "star_count"]), ["id"], ["reponame", "fullname", "star_count"]).select("id", "reponame", "fullname", "star_count", "seq_num"),
+    f"{_REPOS} SELECT id, arg_max(reponame, seq_num) FILTER (WHERE reponame IS NOT NULL) AS reponame, arg_max(fullname, seq_num) AS fullname, arg_max(star_count, seq_num) FILTER (WHERE star_count IS NOT NULL) AS star_count, max(seq_num) AS seq_num FROM re GROUP BY id",
 )
 _add("row_merge", lambda s, d: V.merge_rows(_ev(s, d).select("user_id", "repo_id", "kind", "seq_num"), ["user_id"]), f"{EV} SELECT user_id, arg_max(repo_id, seq_num) AS repo_id, arg_max(kind, seq_num) AS kind, max(seq_num) AS seq_num FROM ev GROUP BY user_id")
 _add(
@@ -283,13 +296,13 @@ _SERIES = f"""{EV}, h AS (SELECT user_id, time_bucket(INTERVAL 300 SECOND, creat
 _add("series_gap_fill", _series, f"{_SERIES} SELECT * FROM se")
 _add("series_downsample", lambda s, d: H.downsampled(_series(s, d), "user_id", 288, 4), f"{_SERIES} SELECT user_id, CAST((287 - place) // 4 AS INTEGER) AS back, min(x) AS x, CASE WHEN count(*) FILTER (WHERE y IS NULL) = 0 THEN CAST(sum(y) AS BIGINT) END AS y FROM se GROUP BY ALL")
 _add(
-    "series_long", lambda s, d: H.gap_filled(H.tumbling(_ev(s, d).where("kind = 'watch'"), "kind"), "kind", "num_events", _literal("2024-01-30 23:55:00"), 30 * 288, 300, False).groupBy("kind", F.to_date("x").alias("day")).agg(F.sum("y").alias("y"), F.count("*").alias("n")),
-    f"{EV}, f AS (SELECT * FROM fan WHERE kind = 'all' AND id IN (SELECT id FROM ev WHERE kind = 'watch') OR kind = 'watch'), g AS (SELECT k.kind, TIMESTAMP '2024-01-01' + p * INTERVAL 300 SECOND AS x FROM (SELECT DISTINCT kind FROM f) k, range(8640) r(p)), h AS (SELECT kind, time_bucket(INTERVAL 300 SECOND, created_at, TIMESTAMP '1970-01-01') AS x, count(*) AS y FROM f GROUP BY ALL) SELECT g.kind, CAST(g.x AS DATE) AS day, CAST(sum(coalesce(y, 0)) AS BIGINT) AS y, count(*) AS n FROM g LEFT JOIN h ON g.kind = h.kind AND g.x = h.x GROUP BY ALL",
+    "series_long", lambda s, d: H.gap_filled(H.tumbling(_ev(s, d), "kind"), "kind", "num_events", _literal("2024-01-30 23:55:00"), 30 * 288, 300, False).groupBy("kind", F.to_date("x").alias("day")).agg(F.sum("y").alias("y"), F.count("*").alias("n")),
+    f"{EV}, f AS (SELECT * FROM fan), g AS (SELECT k.kind, TIMESTAMP '2024-01-01' + p * INTERVAL 300 SECOND AS x FROM (SELECT DISTINCT kind FROM f) k, range(8640) r(p)), h AS (SELECT kind, time_bucket(INTERVAL 300 SECOND, created_at, TIMESTAMP '1970-01-01') AS x, count(*) AS y FROM f GROUP BY ALL) SELECT g.kind, CAST(g.x AS DATE) AS day, CAST(sum(coalesce(y, 0)) AS BIGINT) AS y, count(*) AS n FROM g LEFT JOIN h ON g.kind = h.kind AND g.x = h.x GROUP BY ALL",
 )
-_PIVOT = ["push", "watch", "fork"]
+_PIVOT = [k for k in KINDS if k != "all"]
 _add(
     "series_pivot", lambda s, d: H.pivoted(H.tumbling(_ev(s, d), "kind"), _PIVOT),
-    f"{EV} SELECT time_bucket(INTERVAL 300 SECOND, created_at, TIMESTAMP '1970-01-01') AS ts_start, {', '.join(f'count(*) FILTER (WHERE kind = {chr(39)}{k}{chr(39)}) AS {chr(34)}{k}{chr(34)}' for k in _PIVOT)}, count(*) AS y FROM ev WHERE kind IN ('push', 'watch', 'fork') GROUP BY 1",
+    f"{EV} SELECT time_bucket(INTERVAL 300 SECOND, created_at, TIMESTAMP '1970-01-01') AS ts_start, {', '.join(f'count(*) FILTER (WHERE kind = {chr(39)}{k}{chr(39)}) AS {chr(34)}{k}{chr(34)}' for k in _PIVOT)}, count(*) AS y FROM ev GROUP BY 1",
 )
 _add("proportions", lambda s, d: H.proportions(_live("counts")(s, d), "24h"), f"{EV}, l AS (SELECT * FROM ({_live_sql('counts')}) WHERE window_size = '24h' AND kind <> 'all') SELECT kind, num_events, num_events / (SELECT sum(num_events) FROM l) AS share FROM l")
 _add("latest_time", lambda s, d: H.latest(H.tumbling(_ev(s, d), "kind")), f"{EV} SELECT max(time_bucket(INTERVAL 300 SECOND, created_at, TIMESTAMP '1970-01-01')) AS ts_start FROM ev")
@@ -320,7 +333,7 @@ _add(
     "global_search", lambda s, d: J.global_search(_customers(s, d), _parts(s, d), "1", 10),
     f"WITH {_PARTS} SELECT type, id, name FROM (SELECT 'user' AS type, c_custkey AS id, c_name AS name FROM customer WHERE contains(lower(c_name), '1') UNION ALL SELECT 'repo', id, fullname FROM pa WHERE contains(lower(reponame), '1') OR contains(lower(fullname), '1')) ORDER BY length(name), name, type, id LIMIT 10",
 )
-_add("name_score", lambda s, d: J.best_names(_parts(s, d).select("id", "reponame"), "reponame", "1", 15), f"WITH {_PARTS} SELECT id, reponame, 1 / (1 + abs(length(reponame) - 1)) AS score FROM pa WHERE contains(lower(reponame), '1') ORDER BY score DESC, reponame, id LIMIT 15")
+_add("name_score", lambda s, d: J.best_names(_parts(s, d).select("id", "reponame"), "reponame", "ring", 15), f"WITH {_PARTS} SELECT id, reponame, 1 / (1 + abs(length(reponame) - 4)) AS score FROM pa WHERE contains(lower(reponame), 'ring') ORDER BY score DESC, reponame, id LIMIT 15")
 _add(
     "out_of_orderness", lambda s, d: P.out_of_orderness(_ev(s, d).withColumn("created_at", F.col("created_at") - F.make_interval(secs=(F.col("id") * 7919 % 13)))),
     f"{EV}, t AS (SELECT seq_num, epoch_us(created_at - (id * 7919 % 13) * INTERVAL 1 SECOND) / 1000000.0 AS t FROM ev), de AS (SELECT max(t) OVER (ORDER BY seq_num) - t AS delay FROM t) SELECT quantile_cont(delay, 0.9) AS p90, quantile_cont(delay, 0.99) AS p99, quantile_cont(delay, 0.9975) AS p9975, quantile_cont(delay, 0.999) AS p999, max(delay) AS longest, count(*) FILTER (WHERE delay < 1) / count(*) AS under_1s, count(*) FILTER (WHERE delay < 5) / count(*) AS under_5s, count(*) FILTER (WHERE delay < 10) / count(*) AS under_10s, count(*) AS n FROM de",
@@ -328,8 +341,12 @@ _add(
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    from . import live_queries  # it adds its own to the list
+
+    return dict(live_queries.BASE._queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    from . import live_queries
+
+    return dict(live_queries.BASE._sql)

@@ -9,6 +9,24 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for checkpoints, set on the context; one of this machine where a local master names none (tests)."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    held = context._jsc.sc().getCheckpointDir()
+    return held.get() if held.isDefined() else named
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of any store that Spark writes to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once an application, wherever the driver was started."""
     context = spark.sparkContext

@@ -16,8 +16,18 @@ DRIVER_KINDS = {"click": "push", "purchase": "watch", "signup": "create_repo", "
 
 def from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed events from the driver's table: id, created_at, kind, user_id, repo_id, seq_num."""
+    return of_table(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream; created_at as a point in time, as watermarks want it."""
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a stream's folder may be one file here
+    return of_table(rows).withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
+def of_table(rows: DataFrame) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for p in DRIVER_KINDS.items() for x in p))
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select(
         F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("other")).alias("kind"), "user_id",
         F.get_json_object("props", "$.k").cast("long").alias("repo_id"), F.col("event_id").alias("seq_num"),
@@ -48,9 +58,15 @@ def archive_paths(base: str, start: datetime, end: datetime) -> list[str]:
 
 def archive(spark: SparkSession, base: str, start: datetime, end: datetime, missing_ok: bool = False) -> DataFrame:
     """Raw events of hourly archives.  A gzip file is one task, so rows are dealt out again after the scan."""
+    paths = archive_paths(base, start, end)
     if missing_ok:
-        spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
-    return spark.read.text(archive_paths(base, start, end)).select(F.col("value").alias("raw")).repartition(spark.sparkContext.defaultParallelism * 4)
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        there = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))
+        paths = [p for p in paths if there(p)]
+    if not paths:
+        return spark.createDataFrame([], "raw string")
+    return spark.read.text(paths).select(F.col("value").alias("raw")).repartition(spark.sparkContext.defaultParallelism * 4)
 
 
 def pages(spark: SparkSession, path: str, base_seq: int = 0) -> DataFrame:
@@ -59,6 +75,11 @@ def pages(spark: SparkSession, path: str, base_seq: int = 0) -> DataFrame:
     Later polls overlap earlier ones; the first poll that has an id counts.
     """
     rows = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"(\d+)-(\d+)\.json$", 1).cast("long").alias("poll"), F.regexp_extract(F.input_file_name(), r"(\d+)-(\d+)\.json$", 2).cast("long").alias("page"))
+    return flattened(rows, base_seq)
+
+
+def flattened(rows: DataFrame, base_seq: int = 0) -> DataFrame:
+    """The events of pages: value (a JSON array), poll, page."""
     items = rows.select("poll", "page", F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "event")).withColumn("id", J.number(F.col("event"), "$.id"))
     return number_polls(items, base_seq)
 
@@ -82,18 +103,20 @@ def rejects(decoded: DataFrame) -> DataFrame:
 
 def typed(decoded: DataFrame, archive_seq: str = "created") -> DataFrame:
     """id, created_at, kind, user_id, repo_id, seq_num, event.  Rows without a seq_num get the microseconds of created_at, or 0."""
-    v = F.col("event")
-    at = F.to_timestamp(J.text(v, "$.created_at"))
+    v, f = F.col("event"), E.Parts(F.col("_parts"))
+    rows = E.with_parts(decoded.where(v.isNotNull()), (*E.KIND_TEXTS, "created_at"), ("id", "actor.id", "repo.id", "seq_num"), (*E.KIND_PRESENT, "seq_num"), ())
+    at = F.to_timestamp(f.text("created_at"))
     own = F.unix_micros(at) if archive_seq == "created" else F.lit(0).cast("long")
-    return decoded.where(v.isNotNull()).select(
-        J.number(v, "$.id").alias("id"), at.alias("created_at"), E.classify(v).alias("kind"), J.number(v, "$.actor.id").alias("user_id"), J.number(v, "$.repo.id").alias("repo_id"),
-        F.when(J.has(v, "$.seq_num"), J.number(v, "$.seq_num")).otherwise(own).alias("seq_num"), v.alias("event"),
+    return rows.select(
+        f.number("id").alias("id"), at.alias("created_at"), E.classify(f).alias("kind"), f.number("actor.id").alias("user_id"), f.number("repo.id").alias("repo_id"),
+        F.when(f.has("seq_num"), f.number("seq_num")).otherwise(own).alias("seq_num"), v.alias("event"),
     )
 
 
 def detailed(events: DataFrame, strict: bool = True) -> DataFrame:
     """The events table: typed events with details."""
-    return events.withColumn("details", E.describe(F.col("event"), F.col("kind"), strict)).drop("event")
+    rows = E.with_parts(events)
+    return rows.select(*(c for c in events.columns if c != "event"), E.describe(E.Parts(F.col("_parts")), F.col("kind"), strict).alias("details"))
 
 
 def recent(events: DataFrame, as_of, days: int = 30) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stored tables: upserts into versioned parquet snapshots, change topics, and retention.
 
-A table is a folder of snapshots v=<n>, of which the highest complete one counts; an upsert reads it and writes the next,
-so no path is read and overwritten at once, and a batch that is applied again changes nothing.
+An upsert reads the last version of a table, or of the partitions that it touches, and writes the next, so no path is read and
+overwritten at once, and a batch that is applied again changes nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import versioning as V
+from ..runtime import delete
 from ..schema import TableSpec
 
 
@@ -33,35 +34,86 @@ def upserted(target: DataFrame | None, batch: DataFrame, spec: TableSpec) -> Dat
     return out.where(F.col(spec.drop_zero) != 0) if spec.drop_zero else out
 
 
+def merged(batch: DataFrame, spec: TableSpec) -> DataFrame:
+    """A batch with one row a key: the newest, or field by field; rows of metric zero stay, as they are news."""
+    if spec.per_field:
+        fields = spec.values
+        return V.merge_fields(batch if f"{fields[0]}_seq_num" in batch.columns else V.with_versions(batch, fields), spec.keys, fields)
+    return V.merge_rows(batch, spec.keys)
+
+
 class Store:
-    """Tables under one folder, on any file system that Spark reads."""
+    """Tables under one folder, on any file system that Spark reads.
+
+    A plain table is a folder of versions v=<n>, of which the highest complete one counts.  A partitioned one keeps versions of each
+    partition, p=<value>/v=<n>, so that an upsert reads and writes the partitions of its batch only, and retention removes folders.
+    The last version but one stays for readers that have begun.
+    """
+
+    KEEP = 2
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _children(self, path: str, prefix: str) -> list[str]:
+        p = self._path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
             return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return [n[len(prefix) :] for n in (x.getPath().getName() for x in fs.listStatus(p)) if n.startswith(prefix)]
 
-    def read(self, name: str) -> DataFrame | None:
-        versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/v={versions[-1]}") if versions else None
+    def _versions(self, name: str) -> list[int]:
+        root = f"{self.folder}/{name}"
+        fs = self._path(root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(v) for v in self._children(root, "v=") if fs.exists(self._path(f"{root}/v={v}/_SUCCESS")))
+
+    def partitions(self, name: str) -> list[str]:
+        return sorted(self._children(f"{self.folder}/{name}", "p="))
+
+    def read(self, name: str, before: int | None = None) -> DataFrame | None:
+        """The newest version, or the newest before one; of a partitioned table, that of each partition."""
+        parts = self.partitions(name)
+        paths = []
+        for part in [f"{name}/p={p}" for p in parts] or [name]:
+            versions = [v for v in self._versions(part) if before is None or v < before]
+            if versions:
+                paths.append(f"{self.folder}/{part}/v={versions[-1]}")
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def put(self, name: str, rows: DataFrame, version: int | None = None) -> None:
+        """Writes a version, by default the next one, then drops versions that no reader needs."""
+        have = self._versions(name)
+        version = version if version is not None else (have[-1] + 1 if have else 0)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
+        for old in [v for v in have if v < version][: 1 - self.KEEP or None]:
+            delete(self.spark, f"{self.folder}/{name}/v={old}")
 
     def upsert(self, batch: DataFrame, spec: TableSpec, partition_by: str | None = None) -> None:
-        versions = self._versions(spec.name)
-        rows = upserted(self.read(spec.name), clean_text(batch), spec)
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.folder}/{spec.name}/v={versions[-1] + 1 if versions else 0}")
+        """Merges a batch into a table.  partition_by: a key, or an expression of keys, that splits the table."""
+        rows = clean_text(batch)
+        if partition_by is None:
+            self.put(spec.name, upserted(self.read(spec.name), rows, spec))
+            return
+        rows = rows.withColumn("_part", F.expr(partition_by).cast("string")).persist()
+        for part in sorted(r["_part"] or "" for r in rows.select("_part").distinct().collect()):  # the partitions that a batch touches are few
+            name = f"{spec.name}/p={part}"
+            own = rows.where(F.coalesce("_part", F.lit("")) == part).drop("_part")
+            self.put(name, upserted(self.read(name), own, spec))
+        rows.unpersist()
 
     def retain(self, spec: TableSpec, time: str, as_of, days: int) -> None:
         """Drops rows older than `days` before as_of."""
-        rows = retained(self.read(spec.name), time, as_of, days)
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{spec.name}/v={self._versions(spec.name)[-1] + 1}")
+        self.put(spec.name, retained(self.read(spec.name), time, as_of, days))
+
+    def drop_partitions(self, name: str, below: str) -> list[str]:
+        """Removes the partitions whose value sorts before `below`, without reading them."""
+        old = [p for p in self.partitions(name) if p < below]
+        for p in old:
+            delete(self.spark, f"{self.folder}/{name}/p={p}")
+        return old
 
 
 def retained(rows: DataFrame, time: str, as_of, days: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import history as H
 from ..operators import ranking as R
@@ -17,7 +17,7 @@ from ..operators import sliding as S
 from ..runtime import ship
 from ..schema import TABLES, WINDOW_SIZES, TableSpec
 from ..sources import events as E
-from ..sources.tables import Store, topic_rows
+from ..sources.tables import Store, merged, ordered_topic_rows, topic_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT_OF_ORDER = 10
@@ -93,14 +93,24 @@ class SlidingCounts(StatefulProcessor):
         buckets = {k[0]: v[0] for k, v in self.buckets.iterator()}
         told = self.told.get()[0] if self.told.exists() else None
         upto = timerValues.getCurrentWatermarkInMs() // 1000
-        times = sorted({t for e in buckets for t in (e, *(e + s for s in self.sizes.values())) if (told is None or t > told) and t <= upto})
-        last = self._counts(buckets, told) if told is not None else dict.fromkeys(self.sizes, 0)
+        moves: dict[int, dict[str, int]] = {}
+        for e, c in buckets.items():  # a bucket adds where it ends, and takes away when it leaves a window
+            for n, s in self.sizes.items():
+                for t, d in ((e, c), (e + s, -c)):
+                    if (told is None or t > told) and t <= upto:
+                        at = moves.setdefault(t, {})
+                        at[n] = at.get(n, 0) + d
+        times = sorted(moves)
+        now = self._counts(buckets, told) if told is not None else dict.fromkeys(self.sizes, 0)
         for t in times:
-            now = self._counts(buckets, t)
-            changed = {n: c for n, c in now.items() if c != last[n]}
+            changed = {}
+            for n, d in moves[t].items():
+                if d:
+                    now[n] += d
+                    changed[n] = now[n]
             if changed:
                 yield self._rows(key[0], t, changed)
-            last, told = now, t
+            told = t
         if times:
             self.told.update((told,))
         old = [e for e in buckets if told is not None and e <= told - max(self.sizes.values())]
@@ -133,61 +143,145 @@ def numbered(batch: DataFrame, batch_id: int, key: list[str], trigger_ms: int =
     return assign_sequence(rows, key, [F.col(c) for c in sorted(c for c in rows.columns if c != "seq_num")], trigger_ms * 1000 + batch_id * 1_000_000)
 
 
-def table_writer(store: Store, spec: TableSpec, publish=None):
-    """A foreachBatch function: the batch is merged in itself and into the table, then its changes are published (key, value)."""
+def table_writer(store: Store, spec: TableSpec, publish=None, since_ms: int = 0):
+    """A foreachBatch function: the batch is merged in itself and into the table; then the rows that the table took are published (key, value).
+
+    A batch that is tried again stores and publishes the same.  since_ms: when the job was first started, below which no number lies.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = numbered(batch, batch_id, spec.keys).persist()
+        rows = merged(numbered(batch, batch_id, spec.keys, since_ms), spec).persist()
+        before = store.read(spec.name)
         store.upsert(rows, spec)
         if publish is not None:  # after the table, so that no one hears of what isn't stored
-            publish(topic_rows(rows, spec), batch_id)
+            newer = rows
+            if before is not None:
+                old = before.select(*spec.keys, F.col("seq_num").alias("_stored"))
+                newer = rows.join(old, spec.keys, "left").where(F.col("_stored").isNull() | (F.col("seq_num") >= F.col("_stored"))).drop("_stored")
+            publish(topic_rows(newer, spec), batch_id)
         rows.unpersist()
 
     return write
 
 
-def live_tables(store: Store, as_of=None):
+class Numbers(StatefulProcessor):
+    """Sequence numbers of one key's rows: from the greater of `base` and its last number + 1; a key unheard of for `ttl_ms` is forgotten."""
+
+    def __init__(self, key: str, order: str, base: int, ttl_ms: int):
+        self.key, self.order, self.base, self.ttl_ms = key, order, base, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", StructType([StructField("seq", LongType())]), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        start = max(self.base, self.last.get()[0] + 1 if self.last.exists() else 0)
+        self.last.update((start + len(frame) - 1,))
+        yield frame.assign(seq_num=range(start, start + len(frame)))
+
+    def close(self) -> None:
+        pass
+
+
+class Updates(StatefulProcessor):
+    """The updates of one key that bring a field something newer; what is known of a key is forgotten after `ttl_ms`."""
+
+    def __init__(self, key: str, fields: list[str], version: str, ttl_ms: int):
+        self.key, self.fields, self.version, self.ttl_ms = key, fields, version, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", StructType([StructField(f, StringType()) for f in self.fields]), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values([self.version, *self.fields], kind="stable", na_position="first")
+        known, keep = list(self.known.get()) if self.known.exists() else [None] * len(self.fields), []
+        for row in frame[self.fields].itertuples(index=False):
+            said = [None if pd.isna(x) else str(x) for x in row]
+            keep.append(any(x is not None and x != k for x, k in zip(said, known, strict=True)))
+            known = [k if x is None else x for x, k in zip(said, known, strict=True)]
+        self.known.update(tuple(known))
+        yield frame[keep]
+
+    def close(self) -> None:
+        pass
+
+
+def _by_key(rows: DataFrame, key: str, job: StatefulProcessor, schema: str) -> DataFrame:
+    ship(rows.sparkSession)
+    return rows.groupBy(key).transformWithStateInPandas(job, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+
+
+def numbered_stream(rows: DataFrame, key: str, order: str, base: int = 0, ttl_ms: int = 3_600_000) -> DataFrame:
+    """rows with seq_num, counted by key.  Needs the RocksDB state store."""
+    return _by_key(rows, key, Numbers(key, order, base, ttl_ms), ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", seq_num long")
+
+
+def update_stream(rows: DataFrame, key: str, fields: list[str], version: str = "seq_num", ttl_ms: int = 3_600_000) -> DataFrame:
+    """rows that differ in some field from what is known of their key.  Needs the RocksDB state store."""
+    return _by_key(rows, key, Updates(key, fields, version, ttl_ms), ", ".join(f"{c} {t}" for c, t in rows.dtypes))
+
+
+def publish_to_topic(servers: str, topic: str):
+    """A publish function that sends key and value to a topic."""
+
+    def publish(rows: DataFrame, batch_id: int) -> None:
+        rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+    return publish
+
+
+def publish_to_files(folder: str):
+    """A publish function that writes a folder a batch; a batch that is tried again writes its own once more."""
+
+    def publish(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return publish
+
+
+def live_tables(store: Store, as_of=None, publish=None, only: tuple[str, ...] = ("counts", "users", "repos", "stars", "trending")):
     """A foreachBatch function over typed events: live counts, trending scores and the diffs of their rankings for each micro-batch.
 
-    The batch's events join those of the widest window; a micro-batch is a block of changes.
+    The batch's events join those of the widest window; a micro-batch is a block of changes.  Every table is the version of
+    its batch, made from those before it, so a batch that is tried again gives the same tables and the same changes; versions
+    that no batch can need any more go.  publish(name, rows, batch_id) gets the ranking changes, in order.  `only` names the rankings.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         events = batch.persist()
-        store.upsert(events, TABLES["events"]) if "details" in events.columns else None
-        past = store.read("recent")
+        past = store.read("recent", before=batch_id)
         both = events if past is None else past.unionByName(events.select(*past.columns)).dropDuplicates(["id"])
         end = as_of if as_of is not None else both.agg(F.date_trunc("second", F.max("created_at")).alias("m")).first()["m"]
         if end is None:
             return
         end = F.lit(str(end)).cast("timestamp_ntz") + F.make_interval(secs=F.lit(1)) if as_of is None else F.lit(as_of).cast("timestamp_ntz")
         recent = both.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).where(F.col("created_at") >= end - F.make_interval(secs=F.lit(max(WINDOW_SIZES.values()))))
-        _replace(store, "recent", recent)
+        store.put("recent", recent, batch_id)
         recent = store.read("recent")
+
+        def ranked(name: str, live: DataFrame, ranking: DataFrame, key: str, metric: str, by: str | None) -> None:
+            before = store.read(f"{name}_ranking", before=batch_id)
+            store.put(f"{name}_live", live, batch_id)
+            store.put(f"{name}_ranking", ranking, batch_id)
+            changes = R.diff(ranking.limit(0) if before is None else before, ranking, key, metric, by)
+            store.put(f"{name}_ranking_changes", changes, batch_id)
+            if publish is not None:
+                spec = TABLES[f"{name}_ranking"]
+                publish(name, ordered_topic_rows(store.read(f"{name}_ranking_changes").withColumn("seq_num", F.lit(batch_id).cast("long")), spec), batch_id)
+
         for name, key, metric, rows in (("counts", "kind", "num_events", recent), ("users", "user_id", "num_events", recent), ("repos", "repo_id", "num_events", recent), ("stars", "repo_id", "num_stars", H.stars(recent))):
+            if name not in only:
+                continue
             live = S.snapshot(rows, key, end, metric)
-            _ranked(store, name, R.snapshot(live, key, metric, all_versions=name != "counts"), key, metric, "window_size")
-            _replace(store, f"{name}_live", live)
-        scores = S.trending(S.snapshot(H.stars(recent), "repo_id", end, "num_stars"))
-        _ranked(store, "trending", R.snapshot(scores, "repo_id", "trending_score", None), "repo_id", "trending_score", None)
-        _replace(store, "trending_live", scores)
+            ranked(name, live, R.snapshot(live, key, metric, all_versions=name != "counts"), key, metric, "window_size")
+        if "trending" in only:
+            scores = S.trending(S.snapshot(H.stars(recent), "repo_id", end, "num_stars"))
+            ranked("trending", scores, R.snapshot(scores, "repo_id", "trending_score", None), "repo_id", "trending_score", None)
         events.unpersist()
 
     return write
 
 
-def _replace(store: Store, name: str, rows: DataFrame) -> None:
-    versions = store._versions(name)
-    rows.write.mode("overwrite").parquet(f"{store.folder}/{name}/v={versions[-1] + 1 if versions else 0}")
-
-
-def _ranked(store: Store, name: str, ranking: DataFrame, key: str, metric: str, by: str | None) -> None:
-    before = store.read(f"{name}_ranking")
-    if before is not None:
-        _replace(store, f"{name}_ranking_changes", R.diff(before, ranking, key, metric, by))
-    _replace(store, f"{name}_ranking", ranking)
-
-
 def backfill(raw: DataFrame, store: Store) -> None:
     """The batch job over an archive: users, repositories and the four coarse histories, by the functions of the live jobs."""
     from ..operators import entities as N

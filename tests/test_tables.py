@@ -33,21 +33,36 @@ def test_ranking_changes(spark, updates, rows):
     assert changes(spark, updates) == rows
 
 
-def test_random_updates_keep_the_invariants(spark):
-    rng = random.Random(0)
-    updates = [(f"id{rng.randrange(16)}", rng.randrange(200)) for _ in range(800)]
-    ranking, values = R.Ranking(), {}
+def brute_log(updates):
+    """One update at a time, all places counted anew."""
+    values, out = {}, []
+
+    def places(k):
+        if k not in values:
+            return None, None, None
+        above = sum(v > values[k] for v in values.values())
+        tied = sorted(n for n, v in values.items() if v == values[k])
+        return above + tied.index(k), above, above + len(tied)
+
     for k, v in updates:
-        ranking.update(k, v)
-        values[k] = v
-        rows = sorted(((-x, n) for n, x in values.items() if x > 0))
-        assert ranking.rows == rows
-        for i, (x, n) in enumerate(rows):
-            row, rank, most = ranking.places(n)
-            assert row == i and rank <= row < most and all((rows[j][0] == x) == (rank <= j < most) for j in range(len(rows)))
+        old = places(k)
+        values.pop(k, None)
+        if v is not None and v > 0:
+            values[k] = v
+        new = places(k)
+        if new[0] is not None or old[0] is not None:
+            out.append((k, v, *new, *old))
+    return out, values
+
+
+def test_random_updates_equal_one_at_a_time(spark):
+    rng = random.Random(0)
+    updates = [(f"id{rng.randrange(16)}", rng.choice([None, *range(12)])) for _ in range(700)]
+    want, values = brute_log(updates)
+    assert changes(spark, updates) == want
     frame = spark.createDataFrame([("5m", i, k, v) for i, (k, v) in enumerate(updates)], RANKED)
     got = R.replay(R.exact_changes(frame, "id", "value"), "id", "value").orderBy("row_number").collect()
-    assert [(-r.value, r.id) for r in got] == ranking.rows
+    assert [(-r.value, r.id) for r in got] == sorted((-v, k) for k, v in values.items())
 
 
 def brute_changes(rows, sizes):
