@@ -50,12 +50,29 @@ class Parts:
         return self.of[_named("s", path)]
 
 
+def _leaves(paths: set[str]) -> str:
+    """The type of a struct with a VARIANT at each path."""
+    tree: dict = {}
+    for p in sorted(paths):
+        at = tree
+        for name in p.split("."):
+            at = at.setdefault(name, {})
+    told = lambda t: f"struct<{', '.join(f'{n}: {told(x)}' for n, x in t.items())}>" if t else "variant"
+    return told(tree)
+
+
 def with_parts(events: DataFrame, texts=TEXTS, numbers=NUMBERS, present=PRESENT, quoted=QUOTED, name: str = "_parts") -> DataFrame:
-    """events (with event, a VARIANT) and a struct of the fields at these paths.  A generator keeps the optimizer from reading a field wherever it is used."""
-    v = F.col("event")
-    fields = [J.text(v, f"$.{p}").alias(_named("t", p)) for p in texts] + [J.number(v, f"$.{p}").alias(_named("n", p)) for p in numbers]
-    fields += [J.has(v, f"$.{p}").alias(_named("h", p)) for p in present] + [J.is_text(v, f"$.{p}").alias(_named("s", p)) for p in quoted]
-    return events.select("*", F.explode(F.array(F.struct(*fields))).alias(name))
+    """events (with event, a VARIANT) and a struct of the fields at these paths.
+
+    One cast takes the event apart.  Generators keep the optimizer from doing so, or reading a field, wherever one is used.
+    """
+    paths = {*texts, *numbers, *present, *quoted}
+    inner = {p for p in paths if any(q.startswith(f"{p}.") for q in paths)}
+    rows = events.select("*", F.explode(F.array(F.try_variant_get("event", "$", _leaves(paths - inner)))).alias("_leaves"))
+    leaf = lambda p: J.node(F.col("event"), f"$.{p}") if p in inner else F.col(f"_leaves.{p}")
+    fields = [J.text(leaf(p), "$").alias(_named("t", p)) for p in texts] + [J.number(leaf(p), "$").alias(_named("n", p)) for p in numbers]
+    fields += [leaf(p).isNotNull().alias(_named("h", p)) for p in present] + [J.is_text(leaf(p), "$").alias(_named("s", p)) for p in quoted]
+    return rows.select("*", F.explode(F.array(F.struct(*fields))).alias(name)).drop("_leaves")
 
 
 def classify(f: Parts) -> Column:
