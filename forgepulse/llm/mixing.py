@@ -55,8 +55,9 @@ def position(x: Column, start: Column, end: Column) -> Column:
 def mixing_plan(df: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, share: float = 1.5, most: int = 2, per_bucket: int = 2000) -> DataFrame:
     """One row per row of df (doc_id, text, source): doc_id, size, source_size, target, taken, position and row_key.
 
-    taken is what the source's demand takes of the document, whole passes first; a source's taken words add up to its
-    target, rounded down.  position is where its first word is asked for (null if nothing is taken).  Null text has size 0; the
+    A source's demand is the integral of its schedule; at the end of training it is the target, rounded down.  The source's words stand in
+    line, pass after pass, and taken is what that demand reaches of the document.  position is where the demand comes to its
+    first word (null if nothing is taken); rows are range-sorted by it.  Null text has size 0; the
     null source comes last; equal rows are documents of their own; a null id is ordered as the word null; an empty table
     gives an empty one; other columns are ignored.  The order within a source is by the id's MD5, so that reruns agree.
     """
@@ -65,8 +66,8 @@ def mixing_plan(df: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHE
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), key.alias("row_key"))
     rows = rows.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).checkpoint()
     # prefix sums in two steps: of buckets of draws, then within each bucket, so that a large source fills many tasks
-    digits = 1
-    while 16**digits * per_bucket < rows.count():
+    digits, n = 1, rows.count()
+    while 16**digits * per_bucket < n:
         digits += 1
     rows = rows.withColumn("bucket", F.substring("draw", 1, digits))
     goal = targets(rows, weights, share, most)
@@ -85,27 +86,30 @@ def mixing_plan(df: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHE
     x = F.when(words > 0, start / words)
     where = position(x, _repeating(tuple(float(a) for a, _ in schedules), F.col("place")), _repeating(tuple(float(b) for _, b in schedules), F.col("place")))
     taken = (passes * F.col("size") + more).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, where).alias("position"), "row_key", start.alias("start"), words.alias("words"), F.col("place"))
+    out = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, where).alias("position"), "row_key", start.alias("start"), words.alias("words"), F.col("place"))
+    return out.repartitionByRange(C.parallelism(df.sparkSession), "position", "row_key").sortWithinPartitions("position", "row_key")
 
 
 def mix(df: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, share: float = 1.5, most: int = 2) -> DataFrame:
     """The rows of df that the mix takes, with df's columns, once for each pass, range-sorted by training position.
 
-    A document that is taken in part gives its first words, joined by one space.  Equal rows share what they take alike,
-    rounded down.  Documents without words are never asked for, and go.
+    A document that is taken in part gives its first words, joined by one space.  Rows of one id, source and text stand in line one
+    after another; their copies are those of one of them (whose other columns count), as many as the demand reaches of all.  Words taken equal
+    the plan's.  Documents without words are never asked for, and go.  Columns of df named _mix_... are not kept apart.
     """
-    plan = mixing_plan(df, weights, schedules, share, most)
     start, end = (_repeating(tuple(float(s[i]) for s in schedules), F.col("place")) for i in (0, 1))
-    plan = plan.where("taken > 0").groupBy(F.col("row_key").alias("_mix_key")).agg(
-        F.first("size").alias("_mix_size"), F.floor(F.sum("taken") / F.count("*")).alias("_mix_taken"), F.min("start").alias("_mix_start"), F.first("words").alias("_mix_words"), F.max("source_size").alias("_mix_source"), F.first(start).alias("_mix_a"), F.first(end).alias("_mix_b")
-    )
+    plan = mixing_plan(df, weights, schedules, share, most).groupBy(F.col("row_key").alias("_mix_key")).agg(
+        F.first("size").alias("_mix_size"), F.count("*").alias("_mix_rows"), F.sum("taken").alias("_mix_taken"), F.min("start").alias("_mix_start"), F.first("words").alias("_mix_words"), F.max("source_size").alias("_mix_source"), F.first(start).alias("_mix_a"), F.first(end).alias("_mix_b")
+    ).where("_mix_taken > 0")
     names = df.columns
-    out = df.withColumn("_mix_key", F.xxhash64("doc_id", "source", "text")).join(plan, "_mix_key")
-    passes = F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
-    out = out.withColumn("_mix_pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-    left = F.least(F.col("_mix_taken") - F.col("_mix_pass") * F.col("_mix_size"), F.col("_mix_size"))
+    # a group of equal rows is one row before it is moved
+    out = df.withColumn("_mix_key", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["_mix_key"]).join(plan, "_mix_key")
+    copies = F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("long")
+    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    left = F.least(F.col("_mix_taken") - F.col("_mix_copy") * F.col("_mix_size"), F.col("_mix_size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(C.WORD), F.lit(0)), 1, F.greatest(left, F.lit(1)).cast("int")), " ")
-    place = position((F.col("_mix_start") + F.col("_mix_pass") * F.col("_mix_source")) / F.col("_mix_words"), F.col("_mix_a"), F.col("_mix_b"))
+    lap, turn = F.floor(F.col("_mix_copy") / F.col("_mix_rows")), F.col("_mix_copy") % F.col("_mix_rows")
+    place = position((F.col("_mix_start") + turn * F.col("_mix_size") + lap * F.col("_mix_source")) / F.col("_mix_words"), F.col("_mix_a"), F.col("_mix_b"))
     out = out.withColumn("_mix_position", place).withColumn("text", F.when(left < F.col("_mix_size"), cut).otherwise(F.col("text")))
     parts = C.parallelism(df.sparkSession)
     return out.repartitionByRange(parts, "_mix_position").sortWithinPartitions("_mix_position", "_mix_key").select(*names)

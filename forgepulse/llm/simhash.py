@@ -173,7 +173,7 @@ def _classes(df: DataFrame, shingle: int, budget: int) -> DataFrame:
     parts = C.parallelism(df.sparkSession)
     turned = F.array(*(F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})") if r else F.col("fp") for r in range(0, 64, BLOCK)))
     keys = nodes.select(F.col("fp").alias("node"), F.posexplode(turned).alias("turn", "key"))
-    placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})")).select("turn", "key", "node").sortWithinPartitions("turn")
+    placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})")).select("turn", "key", "node").sortWithinPartitions("turn", "key")
     least = components(placed.mapInArrow(_links_by_turn(budget), "u long, v long"))
     named = nodes.join(least, nodes["fp"] == least["node"], "left").select("fp", "dk", F.coalesce("least", "fp").alias("least"))
     component = named.groupBy("least").agg(F.min("dk").alias("component"))
@@ -209,22 +209,25 @@ def _single(rows: DataFrame, df: DataFrame) -> DataFrame:
     return rows.join(ids, "_dk", "left_anti").unionByName(again).select(*df.columns)
 
 
-def _links_by_turn(budget: int):
-    """Rows of one turn after another, each its own trie."""
+def _links_by_turn(budget: int, most: int = 200_000):
+    """Rows in order of turn and key, whole subtrees of a block at a time, as many as make up about `most` rows."""
     one = _links(budget)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, size = None, [], 0
         for batch in frames:
-            turns = batch.column("turn").to_numpy()
-            edge = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)]
+            block = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - BLOCK)
+            tree = batch.column("turn").to_numpy().astype(np.int64) << BLOCK | block.astype(np.int64)
+            edge = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
             for a, b in zip(edge, edge[1:], strict=False):
                 if a == b:
                     continue
-                if turns[a] != now:
+                if held and tree[a] != now and (size > most or tree[a] >> BLOCK != now >> BLOCK):
                     yield from one(iter(held))
-                    now, held = turns[a], []
+                    held, size = [], 0
+                now = tree[a]
                 held.append(batch.slice(a, b - a))
+                size += b - a
         yield from one(iter(held))
 
     return run

@@ -52,5 +52,22 @@ def test_mix_takes_what_the_plan_says(spark, small):
         out = mix(df)
         assert out.columns == df.columns
         words = sum(len(WORD.findall(r.text or "")) for r in out.collect())
-        assert abs(words - sum(r.taken for r in plan)) <= 2
+        assert words == sum(r.taken for r in plan)
     assert mix(empty(spark)).count() == 0
+
+
+def test_equal_rows_take_what_the_plan_says(spark):
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = []
+        for i in range(rng.randint(3, 12)):
+            rows += [(rng.choice([None, i, 1]), " ".join("w" * rng.randint(0, 9)), rng.choice(["a", "b", None]))] * rng.choice([1, 1, 2, 7])
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        plan = mixing_plan(df).collect()
+        got = [len(WORD.findall(r.text)) for r in mix(df).collect()]
+        assert sum(got) == sum(r.taken for r in plan)
+    seven = spark.createDataFrame([(1, "one two three four five six seven eight nine", "a")] * 7 + [(2, " ".join("w" * 30), "b")], "doc_id long, text string, source string")
+    plan = sum(r.taken for r in mixing_plan(seven).collect() if r.doc_id == 1)
+    assert sum(len(WORD.findall(r.text)) for r in mix(seven).collect() if r.doc_id == 1) == plan
