@@ -1,26 +1,32 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline: a set-similarity self-join by prefixes.
+"""Near copies for the pipeline: operator 9's trie join of SimHashes proposes pairs, an exact Jaccard similarity decides, and a
+set-similarity join by prefixes adds the similar pairs whose SimHashes lie further apart.
 
 Two sets with a similarity of t or more share a shingle of their prefixes, the first n - ceil(t * n) + 1 of n in one order
 for all sets; the order puts shingles that a sample finds common last, which changes the cost and no result.  Equal sets are
-one node.  Candidates are held against the sets themselves, after a bound from parity bitmaps that drops no similar pair.
+one node.  Candidates are held against the texts themselves, after a bound from parity bitmaps that drops no similar pair.
 Of a prefix key's sets all are first paired with one of them; after that only sets in different components are paired.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .simhash import _single, components, lower_ascii
+from .simhash import _single, components, fingerprint, lower_ascii, trie_links
 
-#: 64-bit words of a parity bitmap.
-WORDS = 32
+#: Bits of the map of wanted rows, by which texts that nobody asks for stay where they are; a full map only lets more through.
+MAP_BITS = 1 << 23
+#: Sets that a task remembers to have sent whole; a further copy goes without its keys and bitmap.
+REMEMBERED = 1 << 18
 #: One in so many texts is asked for common shingles; at least so many of them hold one; at most so many shingles are told to tasks.
 SAMPLE, COMMON, TOLD = 16, 4, 100_000
 
@@ -42,10 +48,20 @@ def signature(hashes: np.ndarray) -> int:
     return int(C.mix(np.array([total], dtype=np.uint64) + np.uint64(len(hashes)))[0])
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bit i tells whether an odd number of hashes falls on i; two bitmaps differ in no more bits than their sets in elements."""
-    bits = np.bincount((hashes >> np.uint64(7)) & np.uint64(64 * WORDS - 1), minlength=64 * WORDS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+def parity(hashes: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of hashes falls on i: two to four bits an element, a power of two of them.
+
+    Two bitmaps of one size differ in no more bits than their sets in elements; `apart` folds the larger one.
+    """
+    size = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    bits = np.bincount((hashes >> np.uint64(7)) & np.uint64(size - 1), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ."""
+    a, b = (np.frombuffer(z, dtype=np.uint64) for z in sorted((x, y), key=len))
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
@@ -71,33 +87,78 @@ def _every(width: int):
 
 def _sets(width: int, similarity: float, common: np.ndarray):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in frames:
             if not batch.num_rows:
                 continue
             sets = [shingles(d, width) for d in C.raw_texts(batch.column("text"))]
-            sig = np.array([signature(s) for s in sets], dtype=np.uint64)
-            columns = [batch.column("dk"), batch.column("row_key"), pa.array(C.signed(sig)), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, _long_lists([parity(s).view(np.uint64) for s in sets]), _long_lists([prefix(s, similarity, common) for s in sets])], names=["dk", "row_key", "sig", "n", "bits", "keys"])
+            sig = [signature(s) for s in sets]
+            new = []
+            for x in sig:
+                new.append(x not in sent)
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(x)
+            prints = np.fromiter((fingerprint(lower_ascii(d).split(), width) if n else 0 for d, n in zip(C.raw_texts(batch.column("text")), new, strict=True)), dtype=np.uint64, count=len(new))
+            prints = pa.array(C.signed(prints), mask=~np.array(new))
+            bits = [parity(s) if n else None for s, n in zip(sets, new, strict=True)]
+            keys = [prefix(s, similarity, common) if n else s[:0] for s, n in zip(sets, new, strict=True)]
+            columns = [batch.column("dk"), batch.column("row_key"), pa.array(C.signed(np.array(sig, dtype=np.uint64))), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, prints, pa.array(bits, pa.binary()), _long_lists(keys)], names=["dk", "row_key", "sig", "n", "fp", "bits", "keys"])
 
     return run
 
 
-def _whole(width: int):
+def _map_of(rows: DataFrame):
+    """A function of row keys: true for those of rows, and for some others.  The map has MAP_BITS bits, whatever there is."""
+    at = F.col("row_key").bitwiseAND(F.lit(MAP_BITS - 1))
+    marks = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row_key & 63 as int))")).alias("marks")).collect()
+    words = np.zeros(MAP_BITS // 64, dtype=np.int64)
+    for r in marks:
+        words[r.word] = r.marks
+    words = words.view(np.uint64)
+
+    def asked(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy() & (MAP_BITS - 1)
+        return pd.Series((words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return F.pandas_udf(asked, "boolean")
+
+
+def _packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor().compress
+    for batch in frames:
+        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array([pack(d.tobytes()) for d in C.raw_texts(batch.column("text"))], pa.binary())], names=["sig", "packed"])
+
+
+def _possible(similarity: float):
+    """Pairs whose bitmaps do not rule out the similarity."""
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            sets = [shingles(d, width).tobytes() for d in C.raw_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sets, pa.binary())], names=["sig", "whole"])
+            most = (1 - similarity) / (1 + similarity) * (batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()) + 1e-9
+            bits = zip(*(batch.column(c).to_pylist() for c in ("bits_u", "bits_v")), strict=True)
+            keep = [apart(x, y) <= m for (x, y), m in zip(bits, most, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _similar(similarity: float):
+def _similar(width: int, similarity: float):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last = zstandard.ZstdDecompressor().decompress, {}
+
+        def held(packed: bytes) -> np.ndarray:
+            if packed not in last:
+                if len(last) >= 16:
+                    last.pop(next(iter(last)))
+                last[packed] = shingles(np.frombuffer(unpack(packed), dtype=np.uint8), width)
+            return last[packed]
+
         for batch in frames:
-            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             keep = []
-            for a, b in zip(x, y, strict=True):
-                a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True):
+                a, b = held(x), held(y)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -105,10 +166,11 @@ def _similar(similarity: float):
     return run
 
 
-def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """The rows of df (doc_id, text), with its columns, that have the least id of their component.
 
-    Texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked, all such pairs;
+    Texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked, all such pairs
+    (those within `budget` bits of SimHash by the trie join, the others by shared prefixes);
     texts without words (null too) have the empty set and are linked.  Of equal rows one stays; rows with one id, or none,
     meet by their texts alone.  64-bit hashes stand for shingles and for sets.
     """
@@ -118,30 +180,47 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     asked = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     often = asked.mapInArrow(_every(shingle), "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(TOLD)
     common = np.array([r.h for r in often.select("h").collect()], dtype=np.int64).view(np.uint64)
-    rows = docs.mapInArrow(_sets(shingle, similarity, common), "dk long, row_key long, sig long, n long, bits array<long>, keys array<long>")
+    folder = f"{C.shared_folder(spark)}/near-{uuid.uuid4().hex}"
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    sets = stored(docs.mapInArrow(_sets(shingle, similarity, common), "dk long, row_key long, sig long, n long, fp long, bits binary, keys array<long>"), "sets")
     one = F.struct("dk", "row_key").alias("first")
-    nodes = rows.groupBy("sig").agg(F.min(one).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")).checkpoint()
+    nodes = stored(sets.groupBy("sig").agg(F.min(one).alias("first"), F.first("n").alias("n"), F.first("fp", ignorenulls=True).alias("fp"), F.first("bits", ignorenulls=True).alias("bits")), "nodes")
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
-    keyed = nodes.select(F.explode("keys").alias("key"), "sig", "n").repartition(C.parallelism(spark), "key")
+    # copies that several tasks sent are one again here, in the tasks of their keys
+    keyed = sets.select(F.explode("keys").alias("key"), "sig", "n").repartition(C.parallelism(spark), "key").dropDuplicates(["key", "sig"])
     members = keyed.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    members = keyed.join(members, "key").checkpoint()
-    ends = nodes.select("sig", "n", "bits", "first")
+    members = stored(keyed.join(members, "key").sortWithinPartitions("key", "sig"), "members")
+    C.delete(spark, f"{folder}/sets")  # what is needed of it stands in nodes and members
+    ends = nodes.select("sig", "n", "bits")
+
+    def asked_texts(touched: DataFrame) -> DataFrame:
+        """sig and packed text of the asked nodes; the map keeps most other texts out of the shuffle, the join the rest."""
+        texts = docs.where(_map_of(touched)("row_key"))
+        return texts.join(touched, ["dk", "row_key"]).dropDuplicates(["dk", "row_key"]).select("sig", "text").mapInArrow(_packed, "sig long, packed binary").checkpoint()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (u, v) that are similar."""
         a, b = (ends.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "uv")
-        apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        most = (1 - similarity) / (1 + similarity) * (F.col("n_u") + F.col("n_v")) + 1e-9
-        left = pairs.distinct().join(a, "u").join(b, "v").where(apart <= most).select("u", "v").checkpoint()
-        touched = left.select(F.col("u").alias("sig")).union(left.select("v")).distinct().join(ends, "sig").select("sig", F.col("first.row_key").alias("row_key"), F.col("first.dk").alias("dk"))
-        whole = docs.join(touched, ["dk", "row_key"]).select("sig", "text").dropDuplicates(["sig"]).mapInArrow(_whole(shingle), "sig long, whole binary").checkpoint()
-        sets = left.join(whole.select(F.col("sig").alias("u"), F.col("whole").alias("x")), "u").join(whole.select(F.col("sig").alias("v"), F.col("whole").alias("y")), "v")
-        return sets.select("u", "v", "x", "y").mapInArrow(_similar(similarity), "u long, v long").checkpoint()
-
-    links = verified(members.where((F.col("sig") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("u"), F.col("sig").alias("v")))
+        left = pairs.distinct().join(a, "u").join(b, "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(_possible(similarity), "u long, v long").checkpoint()
+        touched = left.select(F.col("u").alias("sig")).union(left.select("v")).distinct().join(nodes.select("sig", "first"), "sig").select("sig", "first.dk", "first.row_key").checkpoint()
+        texts = asked_texts(touched)
+        both = left.join(texts.select(F.col("sig").alias("u"), F.col("packed").alias("x")), "u").join(texts.select(F.col("sig").alias("v"), F.col("packed").alias("y")), "v")
+        return both.select("u", "v", "x", "y").mapInArrow(_similar(shingle, similarity), "u long, v long").checkpoint()
+
+    # sets of one SimHash are paired with the least of them, and those of near SimHashes with each other
+    prints = nodes.groupBy("fp").agg(F.min("sig").alias("rep")).checkpoint()
+    same = nodes.join(prints, "fp").where("rep < sig").select(F.col("rep").alias("u"), F.col("sig").alias("v"))
+    reps = [prints.select(F.col("fp").alias(k), F.col("rep").alias(f"rep_{k}")) for k in "uv"]
+    near = trie_links(prints, budget).join(reps[0], "u").join(reps[1], "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
+    sharing = members.where((F.col("sig") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("u"), F.col("sig").alias("v"))
+    links = verified(same.union(near).union(sharing))
     least = components(links).checkpoint()
     named = members.select("key", "sig", "n").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("least", "sig").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b AND c > 2").select("key")
@@ -153,6 +232,11 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     rest = verified(more.join(done, ["u", "v"], "left_anti"))
     least = components(links.union(rest))
     kept = nodes.join(least, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("least", "sig").alias("label")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.dk").alias("_dk"), F.col("first.row_key").alias("_row_key"))
-    stays = df.withColumn("_dk", C.doc_key()).withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    return _single(stays.join(kept, ["_dk", "_row_key"], "left_semi"), df)
+    kept = kept.select(F.col("first.dk").alias("_dk"), F.col("first.row_key").alias("_row_key")).checkpoint()
+    C.delete(spark, folder)
+    # rows outside the map of those that go stay where they are; the others are told apart by a join
+    gone = docs.select("dk", "row_key").join(kept, (F.col("dk") == F.col("_dk")) & (F.col("row_key") == F.col("_row_key")), "left_anti")
+    rows = df.withColumn("_dk", C.doc_key()).withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    may_go = _map_of(gone)("_row_key")
+    stays = rows.where(~may_go).unionByName(rows.where(may_go).join(kept, ["_dk", "_row_key"], "left_semi").select(*rows.columns))
+    return _single(stays, df)

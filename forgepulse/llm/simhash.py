@@ -161,6 +161,15 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("v").agg(F.min("u").alias("least")).withColumnRenamed("v", "node")
 
 
+def trie_links(nodes: DataFrame, budget: int) -> DataFrame:
+    """(u, v): links between the distinct fingerprints fp of nodes that differ in `budget` bits or fewer; of each task a spanning forest."""
+    turned = F.array(*(F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})") if r else F.col("fp") for r in range(0, 64, BLOCK)))
+    keys = nodes.select(F.col("fp").alias("node"), F.posexplode(turned).alias("turn", "key"))
+    parts = C.parallelism(nodes.sparkSession)
+    placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})")).select("turn", "key", "node").sortWithinPartitions("turn", "key")
+    return placed.mapInArrow(_links_by_turn(budget), "u long, v long")
+
+
 def _classes(df: DataFrame, shingle: int, budget: int) -> DataFrame:
     """doc_id, dk, row_key (of id and text), fp, least (the least fingerprint reachable) and component (the least dk reachable) of each row.
 
@@ -170,11 +179,7 @@ def _classes(df: DataFrame, shingle: int, budget: int) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), C.doc_key().alias("dk"), F.xxhash64("doc_id", "text").alias("row_key"), C.text_col().alias("text"))
     prints = docs.mapInArrow(_fingerprints(shingle), "doc_id long, dk long, row_key long, fp long").checkpoint()
     nodes = prints.groupBy("fp").agg(F.min("dk").alias("dk")).checkpoint()
-    parts = C.parallelism(df.sparkSession)
-    turned = F.array(*(F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})") if r else F.col("fp") for r in range(0, 64, BLOCK)))
-    keys = nodes.select(F.col("fp").alias("node"), F.posexplode(turned).alias("turn", "key"))
-    placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})")).select("turn", "key", "node").sortWithinPartitions("turn", "key")
-    least = components(placed.mapInArrow(_links_by_turn(budget), "u long, v long"))
+    least = components(trie_links(nodes, budget))
     named = nodes.join(least, nodes["fp"] == least["node"], "left").select("fp", "dk", F.coalesce("least", "fp").alias("least"))
     component = named.groupBy("least").agg(F.min("dk").alias("component"))
     return prints.join(named.drop("dk").join(component, "least"), "fp")
