@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import documents, prepare
+from forgepulse.llm.common import delete, documents, prepare, shared_folder
 from forgepulse.llm.mixing import mix
 from forgepulse.llm.near_copies import keep_one_of_near
 from forgepulse.llm.packing import pack
@@ -48,11 +48,17 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what the others return is written to the shared folder and read again."""
+    """The last stage's rows; what the others return is written to the shared folder and read again.
+
+    A stage's files go once the next stage's are written; the last ones stay, as the returned rows are read from them.
+    """
     prepare(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

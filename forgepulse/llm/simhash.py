@@ -155,7 +155,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: u and its smaller neighbours are tied to the least of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v")).where("u < v").distinct().checkpoint()
-        moved = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
+        # both are distinct, so an edge in one of them alone has a sum other than zero
+        moved = small.withColumn("side", F.lit(1)).unionByName(edges.withColumn("side", F.lit(-1))).groupBy("u", "v").agg(F.sum("side").alias("side")).where("side <> 0").limit(1).count()
         edges = small
         if not moved:
             return edges.groupBy("v").agg(F.min("u").alias("least")).withColumnRenamed("v", "node")
