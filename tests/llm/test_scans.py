@@ -84,3 +84,15 @@ def test_licenses(spark, small):
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1].labels == "gpl-3" and got[2].labels == "mit" and got[3].labels == "" and (got[4].n_base, got[4].first_word, got[4].last_word) == (3, 0, 6)
     assert license_scan(empty(spark)).count() == 0
+
+
+def test_whole_notices_and_verified_spans(spark):
+    from forgepulse.llm.license_scan import NOTICES
+
+    whole = {label: max((t for b, t in NOTICES if b == label), key=len) for label, _ in NOTICES}
+    texts = [(i, f"some words before it. {t.capitalize()}. and after") for i, t in enumerate(whole.values())]
+    # every seventh word is another one, and one place of a template again and again
+    texts += [(100, " ".join("other" if i % 7 == 6 else w for i, w in enumerate(whole["zlib"].split()))), (101, "in the software " * 200), (102, "copies of the software and " * 100)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1 for i, label in enumerate(whole))
+    assert got[100].labels == got[101].labels == got[102].labels == ""
