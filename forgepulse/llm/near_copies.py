@@ -4,7 +4,8 @@ set-similarity join by prefixes adds the similar pairs whose SimHashes lie furth
 Two sets with a similarity of t or more share a shingle of their prefixes, the first n - ceil(t * n) + 1 of n in one order
 for all sets; the order puts shingles that a sample finds common last, which changes the cost and no result.  Equal sets are
 one node.  Candidates are held against the texts themselves, after a bound from parity bitmaps that drops no similar pair.
-Of a prefix key's sets all are first paired with one of them; after that only sets in different components are paired.
+Of a prefix key's sets all are first paired with one of them, then with some drawn by hash, if in other components; after
+that only sets in different components are paired.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MAP_BITS = 1 << 23
 REMEMBERED = 1 << 18
 #: One in so many texts is asked for common shingles; at least so many of them hold one; at most so many shingles are told to tasks.
 SAMPLE, COMMON, TOLD = 16, 4, 100_000
+#: Sets drawn from a key in each round.
+PIVOTS = 4
 
 
 def shingles(data: np.ndarray, width: int) -> np.ndarray:
@@ -166,13 +169,14 @@ def _similar(width: int, similarity: float):
     return run
 
 
-def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3, rounds: int = 1) -> DataFrame:
     """The rows of df (doc_id, text), with its columns, that have the least id of their component.
 
     Texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked, all such pairs
     (those within `budget` bits of SimHash by the trie join, the others by shared prefixes);
     texts without words (null too) have the empty set and are linked.  Of equal rows one stays; rows with one id, or none,
-    meet by their texts alone.  64-bit hashes stand for shingles and for sets.
+    meet by their texts alone.  64-bit hashes stand for shingles and for sets.  `rounds` of drawn pairs come before all
+    others that are left; they change the cost and no result.
     """
     spark = df.sparkSession
     C.prepare(spark)
@@ -221,14 +225,31 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     near = trie_links(prints, budget).join(reps[0], "u").join(reps[1], "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
     sharing = members.where((F.col("sig") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("u"), F.col("sig").alias("v"))
     links = verified(same.union(near).union(sharing))
-    least = components(links).checkpoint()
-    named = members.select("key", "sig", "n").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("least", "sig").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b AND c > 2").select("key")
-    named = named.join(mixed, "key", "left_semi")
-    x, y = (named.select("key", F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"label_{s}")) for s in "uv")
-    more = x.join(y, "key").where((F.col("label_u") < F.col("label_v")) & fits(F.col("n_u"), F.col("n_v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     # the pairs of the first round were decided there
     done = members.select(F.col("pivot").alias("u"), F.col("sig").alias("v")).where("u < v")
+
+    def unsettled() -> DataFrame:
+        """key, sig, n, label: the members of keys whose sets are not all in one component yet."""
+        least = components(links).checkpoint()
+        named = members.select("key", "sig", "n").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("least", "sig").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b AND c > 2").select("key")
+        return named.join(mixed, "key", "left_semi")
+
+    for turn in range(rounds):
+        named = unsettled()
+        drawn = [F.min(F.struct(F.xxhash64("sig", "key", F.lit(turn * PIVOTS + i)).alias("draw"), "sig", "n", "label")) for i in range(PIVOTS)]
+        pivots = named.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("p")).select("key", F.explode("p").alias("p"))
+        pairs = named.join(pivots, "key").where((F.col("label") != F.col("p.label")) & fits(F.col("n"), F.col("p.n"))).select(F.least("sig", "p.sig").alias("u"), F.greatest("sig", "p.sig").alias("v"))
+        pairs = pairs.distinct().join(done, ["u", "v"], "left_anti").checkpoint()
+        links = links.union(verified(pairs))
+        done = done.union(pairs)
+    named = unsettled()
+    x, y = (named.select("key", F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"label_{s}")) for s in "uv")
+    more = x.join(y, "key").where((F.col("label_u") < F.col("label_v")) & fits(F.col("n_u"), F.col("n_v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "n_u", "n_v")
+    # a pair that is not decided yet meets at all keys that its prefixes share; what else it shares lies behind one of the prefixes
+    behind = [F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("n_u", "n_v")]
+    needed = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")) - 1e-9
+    more = more.groupBy("u", "v").agg(F.count("*").alias("met"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v")).where(F.col("met") + F.greatest(*behind) >= needed).select("u", "v")
     rest = verified(more.join(done, ["u", "v"], "left_anti"))
     least = components(links.union(rest))
     kept = nodes.join(least, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("least", "sig").alias("label")).agg(F.min("first").alias("first"))
