@@ -133,7 +133,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_key(name: str = "doc_id") -> Column:
     """A document's place in the order of ids: null comes before every id."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)))
+    return F.coalesce(F.col(name).cast("long"), doc_key_of_null())
+
+
+def doc_key_of_null() -> Column:
+    return F.lit(-(2**63))
+
+
+def dealt_anew(name: str) -> Column:
+    """The same values as a column of its own: a join on it deals out both sides anew, and only then may AQE split a hot key of the other side."""
+    return F.greatest(name, name).alias(name)
 
 
 def text_col(name: str = "text") -> Column:

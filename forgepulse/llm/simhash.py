@@ -149,12 +149,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct().checkpoint()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(C.dealt_anew("u"), "m")
         # large-star: each larger neighbour of u is tied to the least of u and its neighbours
         large = edges.join(near, "u").select(F.col("m").alias("u"), "v")
         # small-star: u and its smaller neighbours are tied to the least of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v")).where("u < v").distinct().checkpoint()
+        small = large.join(low.select(C.dealt_anew("v"), "m"), "v").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v")).where("u < v").distinct().checkpoint()
         # both are distinct, so an edge in one of them alone has a sum other than zero
         moved = small.withColumn("side", F.lit(1)).unionByName(edges.withColumn("side", F.lit(-1))).groupBy("u", "v").agg(F.sum("side").alias("side")).where("side <> 0").limit(1).count()
         edges = small
