@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import shared_folder
+from ..runtime import dealt_anew, shared_folder
 from ..schema import kind_order
 
 PLACES = ("row_number", "rank", "max_rank")
@@ -18,19 +21,20 @@ def _tie(key: str) -> Column:
 def snapshot(live: DataFrame, key: str, metric: str, by: str | None = "window_size", all_versions: bool = True) -> DataFrame:
     """Zero-based row_number and rank, and max_rank (the end of the tie group), by metric descending, key ascending; metric > 0.
 
-    Decomposed by ties, so that no task sorts a whole ranking: few distinct metrics are summed up in order, then rows are
-    numbered within their tie group.  seq_num is the ranking's version: the greatest of all rows, or of the ranked ones.
+    All rankings are one order, cut by range into tasks of equal size, however many rows a ranking or a tie group has: places are counted
+    along it, and a tie group starts at its least place.  seq_num is the ranking's version: the greatest of all rows, or of the ranked ones.
     """
     part = [by] if by else []
     ranked = live.where(F.col(metric) > 0)
-    ties = ranked.groupBy(*part, metric).agg(F.count("*").alias("_ties"))
-    order = Window.partitionBy(*part).orderBy(F.desc(metric)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ties = ties.withColumn("max_rank", F.sum("_ties").over(order)).withColumn("rank", F.col("max_rank") - F.col("_ties")).drop("_ties")
-    inside = F.row_number().over(Window.partitionBy(*part, metric).orderBy(_tie(key))) - 1
-    rows = ranked.drop("seq_num").withColumn("_inside", inside).join(ties, [*part, metric])
+    placed = _numbered(ranked.select(*part, key, metric), [*part, F.desc(metric), _tie(key)])
+    ties = placed.groupBy(*part, metric).agg(F.min("_i").alias("rank"), F.count("*").alias("_ties")).select(*part, dealt_anew(metric), "rank", (F.col("rank") + F.col("_ties")).alias("max_rank"))
+    # one row for each ranking
+    starts = placed.groupBy(*part).agg(F.min("_i").alias("_start"))
     version = (live if all_versions else ranked).groupBy(*part).agg(F.max("seq_num").alias("seq_num"))
-    rows = rows.join(F.broadcast(version), part) if part else rows.crossJoin(F.broadcast(version))  # a row for each window size
-    return rows.select(*part, key, metric, (F.col("rank") + F.col("_inside")).alias("row_number"), "rank", "max_rank", "seq_num")
+    heads = starts.join(version, part) if part else starts.crossJoin(version)
+    rows = placed.join(ties, [*part, metric])
+    rows = rows.join(F.broadcast(heads), part) if part else rows.crossJoin(F.broadcast(heads))
+    return rows.select(*part, key, metric, *((F.col(c) - F.col("_start")).alias(n) for c, n in (("_i", "row_number"), ("rank", "rank"), ("max_rank", "max_rank"))), "seq_num")
 
 
 def points(live: DataFrame, wanted: DataFrame, key: str, metric: str, by: str | None = "window_size", limit: int = 1000) -> DataFrame:
@@ -67,31 +71,60 @@ def diff(before: DataFrame, after: DataFrame, key: str, metric: str, by: str | N
     return out.where(~F.col(metric).eqNullSafe(F.col("old_metric"))).select(*part, key, metric, *PLACES, *(f"old_{p}" for p in PLACES))
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with _i, their place in the order, from 0: sorted partitions are counted, and each starts where those before it end."""
+def _in_order(rows: DataFrame, order: list) -> DataFrame:
+    """rows sorted in tasks of a range each, with _part and _id, which grow along the order; stored, so that the cuts stay."""
     shared_folder(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright("_id", 33)
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return placed.checkpoint().withColumn("_part", F.shiftright("_id", 33))
+
+
+def _numbered(rows: DataFrame, order: list) -> DataFrame:
+    """rows with _i, their place in the order, from 0: sorted partitions are counted, and each starts where those before it end."""
+    placed = _in_order(rows, order)
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    placed = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row a partition
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    placed = placed.join(F.broadcast(starts), "_part")  # a row a partition
     return placed.withColumn("_i", F.col("_start") + F.col("_id").bitwiseAND(F.lit(2**33 - 1))).drop("_id", "_part", "_start")
 
 
-def exact_changes(updates: DataFrame, key: str, metric: str, by: str = "window_size", version: str = "seq_num", cutoff: int = 0) -> DataFrame:
+def _ahead(rows: DataFrame, group: list[str], order: list, sums: list[str]) -> DataFrame:
+    """rows with <sum>b for each of sums: its total over the rows of the group that come before.
+
+    Sums run within the sorted partitions first; a partition's rows of one group then get what the partitions before it hold of that group: a row for each group and
+    partition, as many as there are of either together.  So a group may have any number of rows.
+    """
+    placed = _in_order(rows, [*group, *order])
+    inside = Window.partitionBy("_part", *group).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part", *group).agg(*(F.sum(c).alias(c) for c in sums))
+    totals = totals.select("_part", *group, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    placed = placed.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}b") for c in sums)).join(totals, ["_part", *group])
+    return placed.select(*rows.columns, *((F.col(f"{c}b") + F.col(f"_{c}")).alias(f"{c}b") for c in sums))
+
+
+#: Updates of a block, as bits, up to which a tie group of a block is numbered in one window.
+SMALL = 18
+
+
+def exact_changes(
+    updates: DataFrame, key: str, metric: str, by: str = "window_size", version: str = "seq_num", cutoff: int = 0, state: RankingState | None = None
+) -> DataFrame:
     """The log of one update at a time, by version, then key: new places and, as old_*, those before; null where unranked.
 
     An update adds a point (value, key) and takes the key's last one away; its place is what earlier updates added, less what
     they took, above it.  Times are cut into blocks within blocks, eight to each: an update is above another's time if, in some
     block that holds both, its child block comes first.  So each level asks for counts within blocks by child only: a running sum over
-    the values of a block, and one over the keys of a tie.  Every level is a few groupings; no task holds a ranking's updates.
-    Rows without a ranking or a key go.
+    the values of a block, and one over the keys of a tie.  Every level is a few groupings; a tie group of a large block is cut by ranges of keys.
+    state: the rankings that earlier updates led to, from which places start.  Rows without a ranking or a key go.
     """
     own = Window.partitionBy(by, key).orderBy(version)
     value = F.when(F.col(metric) > cutoff, F.col(metric))
-    rows = updates.where(F.col(by).isNotNull() & F.col(key).isNotNull()).select(by, version, key, metric, value.alias("_new"), F.lag(value).over(own).alias("_old"))
-    rows = _numbered(rows.where("_new IS NOT NULL OR _old IS NOT NULL"), [by, version, key])
+    rows = updates.where(F.col(by).isNotNull() & F.col(key).isNotNull()).select(by, version, key, metric, value.alias("_new"), F.lag(value).over(own).alias("_old"), F.row_number().over(own).alias("_nth"))
+    if state is not None:
+        was = state.points.select(by, key, F.col("value").alias("_was"))
+        rows = rows.join(was, [by, key], "left").withColumn("_old", F.when(F.col("_nth") == 1, F.col("_was")).otherwise(F.col("_old"))).drop("_was")
+    rows = _numbered(rows.drop("_nth").where("_new IS NOT NULL OR _old IS NOT NULL"), [by, version, key])
     n = rows.agg(F.max("_i").alias("n")).first()["n"] or 0
     levels = max(1, -(-n.bit_length() // 3))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("_new").alias("v"), F.lit(1).alias("d")), F.struct(F.lit(False).alias("new"), F.col("_old").alias("v"), F.lit(-1).alias("d"))))
@@ -101,19 +134,91 @@ def exact_changes(updates: DataFrame, key: str, metric: str, by: str = "window_s
     block, sums = [by, "_level", "_block"], [f"_c{j}" for j in range(7)]
     cells = each.groupBy(*block, "v", key).agg(*(F.sum(F.when(F.col("_child") == j, F.col("d")).otherwise(0)).alias(c) for j, c in enumerate(sums)))
     above = Window.partitionBy(*block).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*block, "v").orderBy(_tie(key)).rowsBetween(Window.unboundedPreceding, -1)
     values = cells.groupBy(*block, "v").agg(*(F.sum(c).alias(f"{c}t") for c in sums))
     values = values.select(*block, "v", *(f"{c}t" for c in sums), *(F.coalesce(F.sum(f"{c}t").over(above), F.lit(0)).alias(f"{c}g") for c in sums))
-    cells = cells.select(*block, "v", key, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}b") for c in sums)).join(values, [*block, "v"])
+    few = SMALL // 3
+    before = Window.partitionBy(*block, "v").orderBy(_tie(key)).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cells.where(F.col("_level") < few).select(*block, "v", key, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}b") for c in sums))
+    if levels > few:
+        ahead = ahead.unionByName(_ahead(cells.where(F.col("_level") >= few), [*block, "v"], [_tie(key)], sums).select(*ahead.columns))
+    cells = ahead.join(values, [*block, "v"])
     earlier = lambda suffix: sum((F.when(F.col("_child") > j, F.col(f"{c}{suffix}")).otherwise(0) for j, c in enumerate(sums)), F.lit(0))
     told = each.join(cells, [*block, "v", key]).groupBy("_i").agg(*(F.sum(F.when(F.col("new") == side, earlier(s))).alias(f"{name}_{s}") for side, name in ((True, "new"), (False, "old")) for s in "gbt"))
+    rows = rows.join(told, "_i")
+    if state is not None:
+        known = state.counts_at(points.select(by, "v", key).distinct())
+        for side in ("new", "old"):
+            mine = known.select(by, F.col("v").alias(f"_{side}"), key, *(F.col(c).alias(f"_s{c}") for c in "gbt"))
+            rows = rows.join(mine, [by, f"_{side}", key], "left")
+            rows = rows.withColumns({f"{side}_{c}": F.col(f"{side}_{c}") + F.coalesce(f"_s{c}", F.lit(0)) for c in "gbt"}).drop(*(f"_s{c}" for c in "gbt"))
     # a key's own last point counts for nothing in its new place
     passed, stayed = (F.coalesce(t, F.lit(False)).cast("int") for t in (F.col("_old") > F.col("_new"), F.col("_old") >= F.col("_new")))
     ranked, was = F.col("_new").isNotNull(), F.col("_old").isNotNull()
     rank = F.col("new_g") - passed
     places = (rank + F.col("new_b"), rank, F.col("new_g") + F.col("new_t") - stayed + 1)
     old = (F.col("old_g") + F.col("old_b"), F.col("old_g"), F.col("old_g") + F.col("old_t"))
-    return rows.join(told, "_i").select(by, version, key, metric, *(F.when(ranked, p).alias(n) for n, p in zip(PLACES, places, strict=True)), *(F.when(was, p).alias(f"old_{n}") for n, p in zip(PLACES, old, strict=True)))
+    return rows.select(by, version, key, metric, *(F.when(ranked, p).alias(n) for n, p in zip(PLACES, places, strict=True)), *(F.when(was, p).alias(f"old_{n}") for n, p in zip(PLACES, old, strict=True)))
+
+
+#: Keys of a block, as bits: a ranking has a key once, so a block of one value has at most this many points.
+KEYS = 12
+
+
+@dataclass(frozen=True)
+class RankingState:
+    """Rankings between batches: points (by, key, value), and how many points each value has in each block of keys (by, v, block, n).
+
+    Places of a batch's points come from the counts, and from the points of their own blocks.
+    """
+
+    points: DataFrame
+    counts: DataFrame
+    key: str
+    by: str = "window_size"
+
+    def _block(self) -> Column:
+        """Blocks in the order of keys: of whole numbers 2**KEYS each, of texts those with one beginning."""
+        if self.key == "kind":
+            return F.lit(0).cast("long")
+        whole = dict(self.points.dtypes)[self.key] in ("tinyint", "smallint", "int", "bigint")
+        return F.shiftright(F.col(self.key).cast("long"), KEYS) if whole else F.substring(self.key, 1, 3)
+
+    @staticmethod
+    def of(points: DataFrame, key: str, metric: str, by: str = "window_size") -> RankingState:
+        """The state of a ranking's rows, or of none; counts are made from the points."""
+        state = RankingState(points.select(by, key, F.col(metric).alias("value")), points, key, by)
+        counts = state.points.select(by, F.col("value").alias("v"), state._block().alias("block")).groupBy(by, "v", "block").agg(F.count("*").alias("n"))
+        return RankingState(state.points, counts, key, by)
+
+    def counts_at(self, asked: DataFrame) -> DataFrame:
+        """asked (by, v, key, each once) with g, t and b: points of greater values, of that value, and of that value with a lesser key."""
+        by, key = self.by, self.key
+        asked = asked.withColumn("block", self._block()).checkpoint()
+        zero = F.lit(0).cast("long").alias("n")
+        values = self.counts.groupBy(by, "v").agg(F.sum("n").alias("n")).unionByName(asked.select(by, "v", zero).distinct()).groupBy(by, "v").agg(F.sum("n").alias("t"))
+        greater = Window.partitionBy(by).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+        values = values.withColumn("g", F.coalesce(F.sum("t").over(greater), F.lit(0)))
+        met = asked.select(by, "v").distinct()
+        blocks = self.counts.join(met, [by, "v"], "left_semi").select(by, "v", "block", "n").unionByName(asked.select(by, "v", "block", zero).distinct()).groupBy(by, "v", "block").agg(F.sum("n").alias("n"))
+        lesser = Window.partitionBy(by, "v").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select(by, "v", "block", F.coalesce(F.sum("n").over(lesser), F.lit(0)).alias("ahead"))
+        near = self.points.select(by, F.col("value").alias("v"), key, self._block().alias("block")).join(asked.select(by, "v", "block").distinct(), [by, "v", "block"], "left_semi")
+        near = near.withColumn("n", F.lit(1).cast("long")).withColumn("asked", F.lit(0)).unionByName(asked.select(by, "v", key, "block", zero, F.lit(1).alias("asked")))
+        near = near.groupBy(by, "v", "block", key).agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+        inside = Window.partitionBy(by, "v", "block").orderBy(_tie(key)).rowsBetween(Window.unboundedPreceding, -1)
+        near = near.withColumn("here", F.coalesce(F.sum("n").over(inside), F.lit(0))).where("asked = 1")
+        return near.join(blocks, [by, "v", "block"]).join(values, [by, "v"]).select(by, "v", key, "g", "t", (F.col("ahead") + F.col("here")).alias("b"))
+
+    def after(self, updates: DataFrame, metric: str, version: str = "seq_num", cutoff: int = 0) -> RankingState:
+        """The state behind the updates; counts change by what they add and take."""
+        by, key = self.by, self.key
+        last = updates.where(F.col(by).isNotNull() & F.col(key).isNotNull()).groupBy(by, key).agg(F.max_by(F.struct(F.when(F.col(metric) > cutoff, F.col(metric)).alias("value")), version).alias("_last"))
+        both = self.points.join(last, [by, key], "full").select(by, key, F.col("value").alias("_old"), F.when(F.col("_last").isNotNull(), F.col("_last.value")).otherwise(F.col("value")).alias("value"), F.col("_last").isNotNull().alias("_moved"))
+        both = both.checkpoint()
+        sides = F.explode(F.array(F.struct(F.col("value").alias("v"), F.lit(1).cast("long").alias("n")), F.struct(F.col("_old").alias("v"), F.lit(-1).cast("long").alias("n"))))
+        moves = both.where("_moved").select(by, self._block().alias("block"), sides.alias("s")).select(by, "s.v", "block", "s.n").where("v IS NOT NULL")
+        counts = self.counts.select(by, "v", "block", "n").unionByName(moves).groupBy(by, "v", "block").agg(F.sum("n").alias("n")).where("n <> 0")
+        return RankingState(both.where("value IS NOT NULL").select(by, key, "value"), counts, key, by)
 
 
 def replay(changes: DataFrame, key: str, metric: str, by: str | None = "window_size", version: str = "seq_num") -> DataFrame:
@@ -121,3 +226,30 @@ def replay(changes: DataFrame, key: str, metric: str, by: str | None = "window_s
     part = [by] if by else []
     last = changes.groupBy(*part, key).agg(F.max_by(metric, version).alias(metric), F.max(version).alias("seq_num"))
     return snapshot(last.where(F.col(metric) > 0), key, metric, by)
+
+
+def broken(changes: DataFrame, key: str, metric: str, by: str = "window_size", version: str = "seq_num", cutoff: int = 0) -> DataFrame:
+    """The rows of a log that can't stand where they are, with `problem`: why.
+
+    A change's old places must be where the changes before it left its key, and its new ones those of its metric.  Both are counted from the
+    log's metrics alone; a key that comes or goes has no places on that side, and a row_number lies in its tie group.
+    """
+    old = [f"old_{p}" for p in PLACES]
+    value = F.when(F.col(metric) > cutoff, F.col(metric))
+    had = F.lag(value).over(Window.partitionBy(by, key).orderBy(version))
+    right = exact_changes(changes.select(by, version, key, metric), key, metric, by, version, cutoff).select(by, version, key, *(F.col(c).alias(f"_{c}") for c in (*PLACES, *old)))
+    rows = changes.select(by, version, key, metric, *PLACES, *old, had.alias("_had")).join(right, [by, version, key], "left")
+    every = lambda tests: reduce(lambda a, b: a & b, tests)
+    none = lambda names: every(F.col(n).isNull() for n in names)
+    same = lambda names: every(F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names)
+    inside = lambda pre: F.coalesce((F.col(f"{pre}rank") <= F.col(f"{pre}row_number")) & (F.col(f"{pre}row_number") < F.col(f"{pre}max_rank")), F.lit(True))
+    problem = (
+        F.when(F.col("_had").isNull() & ~none(old), "a new key has old places")
+        .when(F.col("_had").isNotNull() & none(old), "a ranked key has no old places")
+        .when(value.isNull() & ~none(PLACES), "a key that goes has new places")
+        .when(value.isNotNull() & none(PLACES), "a ranked key has no new places")
+        .when(~inside("") | ~inside("old_"), "row_number is outside its tie group")
+        .when(~same(old), "old places aren't where the log had left the key")
+        .when(~same(PLACES), "new places aren't those of the metric")
+    )
+    return rows.withColumn("problem", problem).where("problem IS NOT NULL").select(by, version, key, metric, *PLACES, *old, "problem")

@@ -6,7 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get() if held.isDefined() else named
 
 
+def dealt_anew(name: str) -> Column:
+    """The same values as a column of its own: a join on it deals out both sides anew, and only then may AQE split a hot key of the other side."""
+    return F.greatest(name, name).alias(name)
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Removes a folder of any store that Spark writes to."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
