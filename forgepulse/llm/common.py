@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import dealt_anew as dealt_anew
 from ..runtime import ship
 
 #: White space of the word rules: space and \x09 to \x0D.
@@ -140,9 +141,15 @@ def doc_key_of_null() -> Column:
     return F.lit(-(2**63))
 
 
-def dealt_anew(name: str) -> Column:
-    """The same values as a column of its own: a join on it deals out both sides anew, and only then may AQE split a hot key of the other side."""
-    return F.greatest(name, name).alias(name)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def text_col(name: str = "text") -> Column:

@@ -98,12 +98,13 @@ def mix(df: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, s
     the plan's.  Documents without words are never asked for, and go.  Columns of df named _mix_... are not kept apart.
     """
     start, end = (_repeating(tuple(float(s[i]) for s in schedules), F.col("place")) for i in (0, 1))
-    plan = mixing_plan(df, weights, schedules, share, most).groupBy(F.col("row_key").alias("_mix_key")).agg(
+    plan = mixing_plan(df, weights, schedules, share, most).groupBy(F.col("doc_id").alias("_mix_id"), F.col("row_key").alias("_mix_plan")).agg(
         F.first("size").alias("_mix_size"), F.count("*").alias("_mix_rows"), F.sum("taken").alias("_mix_taken"), F.min("start").alias("_mix_start"), F.first("words").alias("_mix_words"), F.max("source_size").alias("_mix_source"), F.first(start).alias("_mix_a"), F.first(end).alias("_mix_b")
     ).where("_mix_taken > 0")
     names = df.columns
     # a group of equal rows is one row before it is moved
-    out = df.withColumn("_mix_key", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["_mix_key"]).join(plan, "_mix_key")
+    one = df.withColumn("_mix_key", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["doc_id", "_mix_key"])
+    out = one.join(plan, (F.col("_mix_key") == F.col("_mix_plan")) & F.col("doc_id").eqNullSafe(F.col("_mix_id")))
     copies = F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("long")
     out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     left = F.least(F.col("_mix_taken") - F.col("_mix_copy") * F.col("_mix_size"), F.col("_mix_size"))

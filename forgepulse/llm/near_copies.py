@@ -4,8 +4,9 @@ set-similarity join by prefixes adds the similar pairs whose SimHashes lie furth
 Two sets with a similarity of t or more share a shingle of their prefixes, the first n - ceil(t * n) + 1 of n in one order
 for all sets; the order puts shingles that a sample finds common last, which changes the cost and no result.  Equal sets are
 one node.  Candidates are held against the texts themselves, after a bound from parity bitmaps that drops no similar pair.
-Of a prefix key's sets all are first paired with one of them, then with some drawn by hash, if in other components; after
-that only sets in different components are paired.
+Of a prefix key's sets all are first paired with one of them; after that only sets in different components are paired.  Either way a pair
+counts at a key only if what is left of both sets from the key on could make them similar: so it does at the first key that they share.
+As shingles of one set alone come first, sets that share too little meet behind that point, and a large group of them makes no pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .simhash import _single, components, fingerprint, lower_ascii, trie_links
+from .simhash import components, fingerprint, lower_ascii, single, trie_links
 
 #: Bits of the map of wanted rows, by which texts that nobody asks for stay where they are; a full map only lets more through.
 MAP_BITS = 1 << 23
@@ -30,7 +31,7 @@ MAP_BITS = 1 << 23
 REMEMBERED = 1 << 18
 #: One in so many texts is asked for common shingles; at least so many of them hold one; at most so many shingles are told to tasks.
 SAMPLE, COMMON, TOLD = 16, 4, 100_000
-#: Sets drawn from a key in each round.
+#: A key's sets are paired with the same one of them for about one key in so many.
 PIVOTS = 4
 
 
@@ -115,10 +116,9 @@ def _sets(width: int, similarity: float, common: np.ndarray):
 def _map_of(rows: DataFrame):
     """A function of row keys: true for those of rows, and for some others.  The map has MAP_BITS bits, whatever there is."""
     at = F.col("row_key").bitwiseAND(F.lit(MAP_BITS - 1))
-    marks = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row_key & 63 as int))")).alias("marks")).collect()
+    marks = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row_key & 63 as int))")).alias("marks")).toArrow()
     words = np.zeros(MAP_BITS // 64, dtype=np.int64)
-    for r in marks:
-        words[r.word] = r.marks
+    words[marks.column("word").to_numpy()] = marks.column("marks").to_numpy()
     words = words.view(np.uint64)
 
     def asked(keys: pd.Series) -> pd.Series:
@@ -169,21 +169,21 @@ def _similar(width: int, similarity: float):
     return run
 
 
-def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3, rounds: int = 1) -> DataFrame:
+def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
     """The rows of df (doc_id, text), with its columns, that have the least id of their component.
 
     Texts whose sets of `shingle`-word shingles have a Jaccard similarity of `similarity` or more are linked, all such pairs
     (those within `budget` bits of SimHash by the trie join, the others by shared prefixes);
     texts without words (null too) have the empty set and are linked.  Of equal rows one stays; rows with one id, or none,
-    meet by their texts alone.  64-bit hashes stand for shingles and for sets.  `rounds` of drawn pairs come before all
-    others that are left; they change the cost and no result.
+    meet by their texts alone.  64-bit hashes stand for shingles and for sets.  An empty table gives an empty one;
+    other columns stay, whatever their names.
     """
     spark = df.sparkSession
     C.prepare(spark)
     docs = df.select(C.doc_key().alias("dk"), F.xxhash64("doc_id", "text").alias("row_key"), C.text_col().alias("text"))
     asked = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     often = asked.mapInArrow(_every(shingle), "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(TOLD)
-    common = np.array([r.h for r in often.select("h").collect()], dtype=np.int64).view(np.uint64)
+    common = often.select("h").toArrow().column("h").to_numpy().view(np.uint64)
     folder = f"{C.shared_folder(spark)}/near-{uuid.uuid4().hex}"
 
     def stored(rows: DataFrame, name: str) -> DataFrame:
@@ -197,9 +197,15 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
+    def may_be(n_a: Column, left_a: Column, n_b: Column, left_b: Column) -> Column:
+        """Two sets whose first common key has so many elements from it on may be similar."""
+        return F.least(left_a, left_b) >= similarity / (1 + similarity) * (n_a + n_b) - 1e-9
+
     # copies that several tasks sent are one again here, in the tasks of their keys
-    keyed = sets.select(F.explode("keys").alias("key"), "sig", "n").repartition(C.parallelism(spark), "key").dropDuplicates(["key", "sig"])
-    members = keyed.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    keyed = sets.select(F.posexplode("keys").alias("at", "key"), "sig", "n").select("key", "sig", "n", (F.col("n") - F.col("at")).alias("left"))
+    keyed = keyed.repartition(C.parallelism(spark), "key").dropDuplicates(["key", "sig"])
+    pivot = F.min(F.struct(F.xxhash64("sig", F.pmod("key", F.lit(PIVOTS))), "sig", "n", "left")).alias("p")
+    members = keyed.groupBy("key").agg(pivot, F.count("*").alias("c")).where("c > 1").select("key", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.left").alias("pivot_left"))
     members = stored(keyed.join(members, "key").sortWithinPartitions("key", "sig"), "members")
     C.delete(spark, f"{folder}/sets")  # what is needed of it stands in nodes and members
     ends = nodes.select("sig", "n", "bits")
@@ -223,41 +229,27 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     same = nodes.join(prints, "fp").where("rep < sig").select(F.col("rep").alias("u"), F.col("sig").alias("v"))
     reps = [prints.select(F.col("fp").alias(k), F.col("rep").alias(f"rep_{k}")) for k in "uv"]
     near = trie_links(prints, budget).join(reps[0], "u").join(reps[1], "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
-    sharing = members.where((F.col("sig") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("u"), F.col("sig").alias("v"))
+    with_pivot = fits(F.col("n"), F.col("pivot_n")) & may_be(F.col("n"), F.col("left"), F.col("pivot_n"), F.col("pivot_left"))
+    sharing = members.where((F.col("sig") != F.col("pivot")) & with_pivot).select(F.least("pivot", "sig").alias("u"), F.greatest("pivot", "sig").alias("v"))
     links = verified(same.union(near).union(sharing))
-    # the pairs of the first round were decided there
-    done = members.select(F.col("pivot").alias("u"), F.col("sig").alias("v")).where("u < v")
-
-    def unsettled() -> DataFrame:
-        """key, sig, n, label: the members of keys whose sets are not all in one component yet."""
-        least = components(links).checkpoint()
-        named = members.select("key", "sig", "n").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("least", "sig").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b AND c > 2").select("key")
-        return named.join(mixed, "key", "left_semi")
-
-    for turn in range(rounds):
-        named = unsettled()
-        drawn = [F.min(F.struct(F.xxhash64("sig", "key", F.lit(turn * PIVOTS + i)).alias("draw"), "sig", "n", "label")) for i in range(PIVOTS)]
-        pivots = named.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("p")).select("key", F.explode("p").alias("p"))
-        pairs = named.join(pivots, "key").where((F.col("label") != F.col("p.label")) & fits(F.col("n"), F.col("p.n"))).select(F.least("sig", "p.sig").alias("u"), F.greatest("sig", "p.sig").alias("v"))
-        pairs = pairs.distinct().join(done, ["u", "v"], "left_anti").checkpoint()
-        links = links.union(verified(pairs))
-        done = done.union(pairs)
-    named = unsettled()
-    x, y = (named.select("key", F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"label_{s}")) for s in "uv")
-    more = x.join(y, "key").where((F.col("label_u") < F.col("label_v")) & fits(F.col("n_u"), F.col("n_v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "n_u", "n_v")
-    # a pair that is not decided yet meets at all keys that its prefixes share; what else it shares lies behind one of the prefixes
-    behind = [F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("n_u", "n_v")]
-    needed = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")) - 1e-9
-    more = more.groupBy("u", "v").agg(F.count("*").alias("met"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v")).where(F.col("met") + F.greatest(*behind) >= needed).select("u", "v")
-    rest = verified(more.join(done, ["u", "v"], "left_anti"))
+    # members of keys whose sets are not all in one component yet
+    least = components(links).checkpoint()
+    named = members.select("key", "sig", "n", "left", "pivot").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "left", "pivot", F.coalesce("least", "sig").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b AND c > 2").select("key")
+    named = named.join(mixed, "key", "left_semi")
+    x, y = (named.select("key", "pivot" if s == "u" else F.lit(0).alias("_"), *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "left", "label"))) for s in "uv")
+    apart_still = (F.col("label_u") < F.col("label_v")) & (F.col("sig_u") != F.col("pivot")) & (F.col("sig_v") != F.col("pivot"))
+    more = x.join(y, "key").where(apart_still & fits(F.col("n_u"), F.col("n_v")) & may_be(F.col("n_u"), F.col("left_u"), F.col("n_v"), F.col("left_v")))
+    more = more.select(F.least("sig_u", "sig_v").alias("u"), F.greatest("sig_u", "sig_v").alias("v"))
+    rest = verified(more)
     least = components(links.union(rest))
     kept = nodes.join(least, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("least", "sig").alias("label")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.dk").alias("_dk"), F.col("first.row_key").alias("_row_key")).checkpoint()
+    kept = kept.select(F.col("first.dk").alias("dk"), F.col("first.row_key").alias("row_key")).checkpoint()
     C.delete(spark, folder)
     # rows outside the map of those that go stay where they are; the others are told apart by a join
-    gone = docs.select("dk", "row_key").join(kept, (F.col("dk") == F.col("_dk")) & (F.col("row_key") == F.col("_row_key")), "left_anti")
-    rows = df.withColumn("_dk", C.doc_key()).withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    may_go = _map_of(gone)("_row_key")
-    stays = rows.where(~may_go).unionByName(rows.where(may_go).join(kept, ["_dk", "_row_key"], "left_semi").select(*rows.columns))
-    return _single(stays, df)
+    gone = docs.select("dk", "row_key").join(kept, ["dk", "row_key"], "left_anti")
+    dk, row_key = names = C.free_names(df, "dk", "row_key")
+    rows = df.withColumn(dk, C.doc_key()).withColumn(row_key, F.xxhash64("doc_id", "text"))
+    may_go = _map_of(gone)(row_key)
+    stays = rows.where(~may_go).unionByName(rows.where(may_go).join(kept.toDF(*names), names, "left_semi").select(*rows.columns))
+    return single(stays, df, names)

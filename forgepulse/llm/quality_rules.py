@@ -112,7 +112,7 @@ def quality_rules(df: DataFrame, max_loss: float = 0.5) -> DataFrame:
 
 
 def keep_quality(df: DataFrame, max_loss: float = 0.5) -> DataFrame:
-    """The rows of df that quality_rules keeps, with df's columns; lines that fail are gone from text."""
+    """The rows of df that quality_rules keeps, with df's columns, whatever their names; lines that fail are gone from text."""
     text = C.text_col()
 
     def judged(w: Column) -> Column:
@@ -123,5 +123,6 @@ def keep_quality(df: DataFrame, max_loss: float = 0.5) -> DataFrame:
         return F.when((n >= 10) & (100 * repeat_words(w) <= 20 * n), enough)
 
     # a row number that the filter asks for keeps the optimizer from working out the text once more in the filter
-    rows = df.select("*", let(words_of(text), judged).alias("_cleaned"), F.monotonically_increasing_id().alias("_row"))
-    return rows.where(F.col("_cleaned").isNotNull() & (F.col("_row") >= 0)).withColumn("text", F.col("_cleaned")).select(*df.columns)
+    cleaned, row = C.free_names(df, "cleaned", "row")
+    rows = df.select("*", let(words_of(text), judged).alias(cleaned), F.monotonically_increasing_id().alias(row))
+    return rows.where(F.col(cleaned).isNotNull() & (F.col(row) >= 0)).withColumn("text", F.col(cleaned)).select(*df.columns)

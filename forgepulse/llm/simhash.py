@@ -199,20 +199,21 @@ def simhash_near_dedup(df: DataFrame, shingle: int = 3, budget: int = 3) -> Data
 
 
 def keep_one_of_each(df: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of df, with its columns, that have the least id of their component; of equal rows one stays, and of rows with one id and different texts one a component."""
+    """The rows of df, with its columns, that have the least id of their component; of equal rows one stays, and of rows with one id and different texts one a component.  Other columns stay, whatever their names."""
+    dk, row_key = names = C.free_names(df, "dk", "row_key")
     first = F.min(F.struct("dk", "row_key")).alias("first")
-    kept = _classes(df, shingle, budget).groupBy("least").agg(first).select(F.col("first.dk").alias("_dk"), F.col("first.row_key").alias("_row_key"))
-    named = df.withColumn("_dk", C.doc_key()).withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    return _single(named.join(kept, ["_dk", "_row_key"], "left_semi"), df)
+    kept = _classes(df, shingle, budget).groupBy("least").agg(first).select(F.col("first.dk").alias(dk), F.col("first.row_key").alias(row_key))
+    named = df.withColumn(dk, C.doc_key()).withColumn(row_key, F.xxhash64("doc_id", "text"))
+    return single(named.join(kept, names, "left_semi"), df, names)
 
 
-def _single(rows: DataFrame, df: DataFrame) -> DataFrame:
-    """Equal ids and texts stand in one task already; only ids that are met again are told apart there."""
-    ids = df.groupBy(C.doc_key().alias("_dk")).count().where("count > 1").select("_dk")
+def single(rows: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
+    """One row of those with equal id and text hash (the named columns), with df's columns.  They stand in one task already; only ids that are met again are told apart there."""
+    ids = df.groupBy(C.doc_key().alias(names[0])).count().where("count > 1").select(names[0])
     if not ids.take(1):
         return rows.select(*df.columns)
-    again = rows.join(ids, "_dk", "left_semi").dropDuplicates(["_dk", "_row_key"])
-    return rows.join(ids, "_dk", "left_anti").unionByName(again).select(*df.columns)
+    again = rows.join(ids, names[0], "left_semi").dropDuplicates(names)
+    return rows.join(ids, names[0], "left_anti").unionByName(again).select(*df.columns)
 
 
 def _links_by_turn(budget: int, most: int = 200_000):

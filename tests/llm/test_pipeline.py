@@ -70,3 +70,19 @@ def test_run(spark, small):
     for r in rows:
         fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
     assert rows and max(fills.values()) <= 1024
+
+
+def test_clashing_columns_stay(spark):
+    """Columns that are named like those that the stages make for themselves."""
+    from pyspark.sql import functions as F
+
+    from forgepulse.llm.mixing import mix
+    from forgepulse.llm.near_copies import keep_one_of_near
+
+    names = ("dk", "_dk", "row_key", "_row_key", "cleaned", "_cleaned", "row", "_row", "label", "sig", "n")
+    df = awkward(spark).drop("n").withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    for keep in (keep_quality, keep_one_of_each, keep_one_of_near, mix):
+        out = keep(df)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
