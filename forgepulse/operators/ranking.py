@@ -26,7 +26,7 @@ def snapshot(live: DataFrame, key: str, metric: str, by: str | None = "window_si
     """
     part = [by] if by else []
     ranked = live.where(F.col(metric) > 0)
-    placed = _numbered(ranked.select(*part, key, metric), [*part, F.desc(metric), _tie(key)])
+    placed = numbered(ranked.select(*part, key, metric), [*part, F.desc(metric), _tie(key)])
     ties = placed.groupBy(*part, metric).agg(F.min("_i").alias("rank"), F.count("*").alias("_ties")).select(*part, dealt_anew(metric), "rank", (F.col("rank") + F.col("_ties")).alias("max_rank"))
     # one row for each ranking
     starts = placed.groupBy(*part).agg(F.min("_i").alias("_start"))
@@ -79,7 +79,7 @@ def _in_order(rows: DataFrame, order: list) -> DataFrame:
     return placed.checkpoint().withColumn("_part", F.shiftright("_id", 33))
 
 
-def _numbered(rows: DataFrame, order: list) -> DataFrame:
+def numbered(rows: DataFrame, order: list) -> DataFrame:
     """rows with _i, their place in the order, from 0: sorted partitions are counted, and each starts where those before it end."""
     placed = _in_order(rows, order)
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +124,7 @@ def exact_changes(
     if state is not None:
         was = state.points.select(by, key, F.col("value").alias("_was"))
         rows = rows.join(was, [by, key], "left").withColumn("_old", F.when(F.col("_nth") == 1, F.col("_was")).otherwise(F.col("_old"))).drop("_was")
-    rows = _numbered(rows.drop("_nth").where("_new IS NOT NULL OR _old IS NOT NULL"), [by, version, key])
+    rows = numbered(rows.drop("_nth").where("_new IS NOT NULL OR _old IS NOT NULL"), [by, version, key])
     n = rows.agg(F.max("_i").alias("n")).first()["n"] or 0
     levels = max(1, -(-n.bit_length() // 3))
     sides = F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("_new").alias("v"), F.lit(1).alias("d")), F.struct(F.lit(False).alias("new"), F.col("_old").alias("v"), F.lit(-1).alias("d"))))

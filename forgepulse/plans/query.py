@@ -151,20 +151,58 @@ def matched(changes: DataFrame, queries: Sequence[tuple[str, Query]]) -> DataFra
     return changes.withColumn("subscriptions", names).where(F.size("subscriptions") > 0)
 
 
+#: Ranges are told apart as far as this; what lies beyond meets at its edge and is compared there.
+EDGE = 2**62
+
+
+def intervals(least: Column, below: Column) -> Column:
+    """The dyadic intervals (level, prefix) that a range of whole numbers [least, below) is made of, two a level at most; a null side is open.
+
+    A number v is in the range if, for one of them, v shifted right by the level is the prefix.
+    """
+    low = F.least(F.greatest(F.coalesce(least, F.lit(-EDGE)), F.lit(-EDGE)), F.lit(EDGE))
+    high = F.least(F.greatest(F.coalesce(below, F.lit(EDGE + 1)), F.lit(-EDGE + 1)), F.lit(EDGE + 1))
+    start = lambda x: F.call_function("shiftright", low - 1, x) + 1  # noqa: E731  rounded up
+    end = lambda x: F.call_function("shiftright", high, x)
+    at = lambda x, p, there: F.when((start(x) < end(x)) & there, F.struct(x.alias("level"), p.alias("prefix")))
+    odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+    levels = F.sequence(F.lit(0), F.lit(62))
+    both = F.transform(levels, lambda x: F.array(at(x, start(x), odd(start(x))), at(x, end(x) - 1, odd(end(x)))))
+    return F.filter(F.flatten(both), lambda x: x.isNotNull())
+
+
 def subscribed(changes: DataFrame, subscriptions: DataFrame, key: str) -> DataFrame:
     """Change rows (their key and the subscription) that match subscriptions in a table: name, branch, field, options (texts) or least and below.
 
-    A row matches a subscription if all filters of one branch do: filters with options join by field and value; the others by field.
+    A row matches a subscription if all filters of one branch do.  Filters with options join by field and value; ranges are cut into dyadic intervals, some
+    sixty at most, and join by field, level and prefix, so a value meets the ranges that hold it and no others.  Only fields and levels that
+    subscriptions name are taken apart.  A filter without any bound holds for each value that is a whole number.
     """
     subs = subscriptions.withColumn("_all", F.count("*").over(Window.partitionBy("name", "branch")))
-    fields = [c for c in changes.columns if c != key]
-    cells = changes.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))).alias("c")).select(key, "c.*")
     one = subs.where("options IS NOT NULL").select("name", "branch", "_all", "field", F.explode(F.array_distinct("options")).alias("value"))
-    hits = cells.join(one, ["field", "value"]).select(key, "name", "branch", "_all", "field")
-    spans = subs.where("options IS NULL").select("name", "branch", "_all", "field", "least", "below")
-    number = F.try_to_number("value", F.lit("S999999999999999999")).cast("long")
-    inside = F.coalesce((F.col("least").isNull() | (number >= F.col("least"))) & (F.col("below").isNull() | (number < F.col("below"))), F.lit(False))
-    hits = hits.unionByName(cells.join(spans, "field").where(inside).select(key, "name", "branch", "_all", "field"))
+    spans = subs.where("options IS NULL").select("name", "branch", "_all", "field", "least", "below", F.explode(intervals(F.col("least"), F.col("below"))).alias("_i"))
+    spans = spans.select("name", "branch", "_all", "field", "least", "below", "_i.level", "_i.prefix")
+
+    def cells(fields: list[str]) -> DataFrame:
+        known = [c for c in changes.columns if c != key and c in fields]
+        if not known:
+            return changes.limit(0).select(key, F.lit("").alias("field"), F.lit("").alias("value"))
+        return changes.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in known))).alias("c")).select(key, "c.*")
+
+    # a few names and numbers, as many as there are columns and levels
+    said = [r["field"] for r in one.select("field").distinct().collect()]
+    steps: dict[str, list[int]] = {}
+    for r in spans.select("field", "level").distinct().collect():
+        steps.setdefault(r["field"], []).append(r["level"])
+    hits = cells(said).join(one, ["field", "value"]).select(key, "name", "branch", "_all", "field")
+    number = F.try_to_number("value", F.lit("S999999999999999999999")).cast("decimal(21,0)")
+    whole = F.greatest(F.least(number, F.lit(EDGE).cast("decimal(21,0)")), F.lit(-EDGE).cast("decimal(21,0)")).cast("long")
+    ranged = cells(list(steps)).withColumn("_n", number).withColumn("_v", whole).where("_n IS NOT NULL")
+    if steps:
+        levels = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, sorted(x))) for p in steps.items() for x in p))[F.col("field")]
+        ranged = ranged.withColumn("level", F.explode(levels)).withColumn("prefix", F.expr("shiftright(_v, level)"))
+        inside = F.coalesce((F.col("least").isNull() | (F.col("_n") >= F.col("least"))) & (F.col("below").isNull() | (F.col("_n") < F.col("below"))), F.lit(False))
+        hits = hits.unionByName(ranged.join(spans, ["field", "level", "prefix"]).where(inside).select(key, "name", "branch", "_all", "field"))
     met = hits.groupBy(key, "name", "branch").agg(F.count("*").alias("n"), F.max("_all").alias("_all")).where("n = _all")
     return met.select(key, "name").distinct()
 

@@ -5,17 +5,19 @@ Two queries, as deduplication and windows want different watermarks and Spark ke
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..operators import history as H
 from ..operators import ranking as R
 from ..operators import sliding as S
 from ..runtime import ship
-from ..schema import TABLES, WINDOW_SIZES, TableSpec
+from ..schema import TABLES, WINDOW_SIZES, Field, TableSpec
 from ..sources import events as E
 from ..sources.tables import Store, merged, ordered_topic_rows, topic_rows
 
@@ -28,6 +30,54 @@ def deduplicated(stream: DataFrame, delay: str = "30 minutes") -> DataFrame:
     return stream.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+class Seen(StatefulProcessor):
+    """Rows of an id not seen before, or not for `ms` of the stream's time; each sight, of a repeat too, starts that time anew.
+
+    A repeat has the time of its first event, so the time of a sight is the watermark's, or the event's own where that is later.
+    """
+
+    def __init__(self, ms: int):
+        self.ms = ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", StructType([StructField("ms", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        now, known = timerValues.getCurrentWatermarkInMs(), self.until.exists()
+        until, first = self.until.get()[0] if known else 0, None
+        for frame in rows:
+            if not known and len(frame):
+                top = frame.sort_values("seq_num", kind="stable").iloc[:1]
+                first = top if first is None or top["seq_num"].iloc[0] < first["seq_num"].iloc[0] else first
+            latest = int(frame["created_at"].astype("datetime64[ns]").max().value // 1_000_000) if len(frame) else 0
+            until = max(until, max(now, latest) + self.ms)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.until.update((until,))
+        self.handle.registerTimer(until)
+        if first is not None:
+            yield first
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.until.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def seen_once(stream: DataFrame, minutes: int = 30) -> DataFrame:
+    """Each id once, of the rows of a micro-batch that of the least seq_num; an id is remembered until `minutes` after its last sight.
+
+    deduplicated() is cheaper and forgets an id that long after its first sight.  Needs the RocksDB state store.
+    """
+    ship(stream.sparkSession)
+    schema = ", ".join(f"{c} {t}" for c, t in stream.dtypes)
+    keyed = stream.withWatermark("created_at", f"{OUT_OF_ORDER} seconds").groupBy("id")
+    return keyed.transformWithStateInPandas(Seen(minutes * 60_000), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 def silver(raw: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Typed events of a raw stream, deduplicated, into parquet."""
     rows = deduplicated(E.typed(E.decode(raw)).withColumn("event", F.to_json("event")))
@@ -43,83 +93,157 @@ def tumbling_stream(events: DataFrame, key: str, seconds: int = 300, metric: str
 class SlidingCounts(StatefulProcessor):
     """Counts of one key in windows that end each second, for several sizes.
 
-    State: events by the second in which they end, and the last second told.  A timer at the next second that matters
-    (a bucket that comes in or goes out of a window) tells the windows that changed.  Late events count while the widest window
-    still has their second, and are told at the last told second; those of a key without state count at any age.
+    State: the counts of all sizes at the last second told, and the events by the second in which they end, in chunks of a minute that are linked in
+    order of time.  A bucket moves the counts when it comes in and once for each size when it goes out; each of these fronts has a cursor to the
+    chunk where it stands, so that a call reads the chunks that move and no others, however many the windows hold.  A timer at the
+    next second that matters tells the windows that changed.  Late events count while the widest window
+    still has their second, and are told at the last told second; those of a key without state count at any age.  A chunk goes when the last front has
+    passed it, and with the last one all that is known of the key: a key's state ends `widest` after its last event, by event time.
     """
 
+    CHUNK = 60
+    NEVER = -(2**62)
+
     def __init__(self, key: str, key_type, sizes: dict[str, int]):
         self.key, self.sizes, self.key_type = key, sizes, key_type
+        #: How far behind its second a bucket meets each front: it comes in at once, and goes out after each size.
+        self.fronts = [0, *sizes.values()]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        one = lambda n: StructType([StructField(n, LongType())])
-        self.buckets = handle.getMapState("buckets", one("end"), one("n"))
-        self.told = handle.getValueState("told", one("second"))
-
-    def _counts(self, buckets: dict[int, int], at: int) -> dict[str, int]:
-        return {n: sum(c for e, c in buckets.items() if at - s < e <= at) for n, s in self.sizes.items()}
-
-    def _plan(self, buckets: dict[int, int], after: int | None) -> None:
-        """One timer: the next second at which a bucket enters or leaves a window."""
+        longs = ArrayType(LongType())
+        self.chunks = handle.getMapState("chunks", StructType([StructField("chunk", LongType())]), StructType([StructField(n, t) for n, t in (("before", LongType()), ("after", LongType()), ("ends", longs), ("counts", longs))]))
+        self.head = handle.getValueState("head", StructType([StructField(n, t) for n, t in (("told", LongType()), ("first", LongType()), ("last", LongType()), ("totals", longs), ("cursors", longs), ("next", longs))]))
+
+    def _load(self) -> None:
+        self.held: dict[int, list] = {}
+        self.dirty: set[int] = set()
+        if self.head.exists():
+            told, first, last, totals, cursors, nexts = self.head.get()
+            self.told, self.first, self.last, self.totals, self.cursors, self.next = told, first, last, list(totals), list(cursors), list(nexts)
+        else:
+            self.told, self.first, self.last = self.NEVER, None, None
+            self.totals, self.cursors, self.next = [0] * len(self.sizes), [None] * len(self.fronts), [None] * len(self.fronts)
+
+    def _chunk(self, at: int) -> list:
+        """before, after, ends and counts of a chunk."""
+        if at not in self.held:
+            before, after, ends, counts = self.chunks.getValue((at,))
+            self.held[at] = [before, after, list(ends), list(counts)]
+        return self.held[at]
+
+    def _store(self) -> None:
+        """Writes what has changed, and sets one timer."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        times = [t for e in buckets for t in (e, *(e + s for s in self.sizes.values())) if after is None or t > after]
-        if times:
-            self.handle.registerTimer(min(times) * 1000)
+        if self.first is None:
+            self.head.clear()
+            return
+        for at in self.dirty:
+            self.chunks.updateValue((at,), tuple(self.held[at]))
+        self.head.update((self.told, self.first, self.last, self.totals, self.cursors, self.next))
+        self.handle.registerTimer(min(t for t in self.next if t is not None) * 1000)
+
+    def _place(self, at: int) -> list:
+        """The chunk, put in order between the others if it is new; new ones are looked for from the last one back."""
+        before, after = self.last, None
+        while before is not None and before > at:
+            before, after = self._chunk(before)[0], before
+        if before == at:
+            return self._chunk(at)
+        self.held[at] = [before, after, [], []]
+        for other, side in ((before, 1), (after, 0)):
+            if other is not None:
+                self._chunk(other)[side] = at
+                self.dirty.add(other)
+        self.first = at if before is None else self.first
+        self.last = at if after is None else self.last
+        return self.held[at]
 
     def _rows(self, key, at: int, counts: dict[str, int]) -> pd.DataFrame:
         return pd.DataFrame({self.key: [key] * len(counts), "window_size": list(counts), "changed_at": pd.to_datetime([at] * len(counts), unit="s"), "n": list(counts.values())})
 
     def handleInputRows(self, key, rows, timerValues):
-        buckets = {k[0]: v[0] for k, v in self.buckets.iterator()}
-        told = self.told.get()[0] if self.told.exists() else None
-        widest, late = max(self.sizes.values()), {}
+        self._load()
+        late: dict[str, int] = {}
+        widest = max(self.sizes.values())
         for frame in rows:
-            ends = frame["created_at"].astype("int64") // 1_000_000_000 + 1 if str(frame["created_at"].dtype).endswith("ns]") else frame["created_at"].astype("datetime64[ns]").astype("int64") // 1_000_000_000 + 1
-            for e, n in ends.value_counts().items():
-                if told is not None and e <= told - widest:
+            ends = frame["created_at"].astype("datetime64[ns]").astype("int64") // 1_000_000_000 + 1
+            for e, n in ends.value_counts().sort_index().items():
+                e, n = int(e), int(n)
+                if e <= self.told - widest:
                     continue
-                buckets[int(e)] = buckets.get(int(e), 0) + int(n)
-                self.buckets.updateValue((int(e),), (buckets[int(e)],))
-                if told is not None and e <= told:
-                    late[int(e)] = int(n)
-        self._plan(buckets, told)
+                at = e // self.CHUNK
+                chunk = self._place(at)
+                self.dirty.add(at)
+                if e in chunk[2]:
+                    chunk[3][chunk[2].index(e)] += n
+                else:
+                    chunk[2].append(e)
+                    chunk[3].append(n)
+                for i, (name, size) in enumerate(self.sizes.items()):
+                    if self.told - size < e <= self.told:
+                        self.totals[i] += n
+                        late[name] = self.totals[i]
+                for f, off in enumerate(self.fronts):
+                    if e + off > self.told:  # the front has yet to meet it
+                        self.next[f] = e + off if self.next[f] is None else min(self.next[f], e + off)
+                        self.cursors[f] = at if self.cursors[f] is None else min(self.cursors[f], at)
+        if self.first is not None:
+            self._store()
         if late:
-            counts = self._counts(buckets, told)
-            yield self._rows(key[0], told, {n: c for n, c in counts.items() if any(told - self.sizes[n] < e for e in late)})
+            yield self._rows(key[0], self.told, late)
+
+    def _advance(self, f: int, upto: int, moves: dict[int, list[int]]) -> None:
+        """Takes a front on to `upto`: what it meets goes to moves; the cursor stays at the chunk of what it meets next."""
+        off, at = self.fronts[f], self.cursors[f]
+        self.next[f] = None
+        while at is not None:
+            _, after, ends, counts = self._chunk(at)
+            for e, n in zip(ends, counts, strict=True):
+                t = e + off
+                if self.told < t <= upto:
+                    move = moves.setdefault(t, [0] * len(self.sizes))
+                    for i in range(len(self.sizes)) if f == 0 else (f - 1,):
+                        move[i] += n if f == 0 else -n
+                elif t > upto:
+                    self.next[f] = t if self.next[f] is None else min(self.next[f], t)
+            if self.next[f] is not None:
+                break
+            at = after
+        self.cursors[f] = at
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        buckets = {k[0]: v[0] for k, v in self.buckets.iterator()}
-        told = self.told.get()[0] if self.told.exists() else None
+        self._load()
         upto = timerValues.getCurrentWatermarkInMs() // 1000
-        moves: dict[int, dict[str, int]] = {}
-        for e, c in buckets.items():  # a bucket adds where it ends, and takes away when it leaves a window
-            for n, s in self.sizes.items():
-                for t, d in ((e, c), (e + s, -c)):
-                    if (told is None or t > told) and t <= upto:
-                        at = moves.setdefault(t, {})
-                        at[n] = at.get(n, 0) + d
-        times = sorted(moves)
-        now = self._counts(buckets, told) if told is not None else dict.fromkeys(self.sizes, 0)
-        for t in times:
+        moves: dict[int, list[int]] = {}
+        for f in range(len(self.fronts)):
+            if self.next[f] is not None and self.next[f] <= upto:
+                self._advance(f, upto, moves)
+        out = []
+        for t in sorted(moves):
             changed = {}
-            for n, d in moves[t].items():
-                if d:
-                    now[n] += d
-                    changed[n] = now[n]
+            for i, name in enumerate(self.sizes):
+                if moves[t][i]:
+                    self.totals[i] += moves[t][i]
+                    changed[name] = self.totals[i]
             if changed:
-                yield self._rows(key[0], t, changed)
-            told = t
-        if times:
-            self.told.update((told,))
-        old = [e for e in buckets if told is not None and e <= told - max(self.sizes.values())]
-        for e in old:
-            self.buckets.removeKey((e,))
-            del buckets[e]
-        if not buckets:
-            self.told.clear()
-        self._plan(buckets, told)
+                out.append(self._rows(key[0], t, changed))
+            self.told = t
+        left = [c for c in self.cursors if c is not None]
+        while self.first is not None and (not left or self.first < min(left)):
+            after = self._chunk(self.first)[1]
+            self.chunks.removeKey((self.first,))
+            self.dirty.discard(self.first)
+            del self.held[self.first]
+            self.first = after
+            if after is not None:
+                self._chunk(after)[0] = None
+                self.dirty.add(after)
+            else:
+                self.last = None
+        self._store()
+        yield from out
 
     def close(self) -> None:
         pass
@@ -143,27 +267,73 @@ def numbered(batch: DataFrame, batch_id: int, key: list[str], trigger_ms: int =
     return assign_sequence(rows, key, [F.col(c) for c in sorted(c for c in rows.columns if c != "seq_num")], trigger_ms * 1000 + batch_id * 1_000_000)
 
 
-def table_writer(store: Store, spec: TableSpec, publish=None, since_ms: int = 0):
+def table_writer(store: Store, spec: TableSpec, publish=None, since_ms: int | None = None, partition_by: str | None = None, job: str = "job"):
     """A foreachBatch function: the batch is merged in itself and into the table; then the rows that the table took are published (key, value).
 
-    A batch that is tried again stores and publishes the same.  since_ms: when the job was first started, below which no number lies.
+    partition_by: an expression of keys; only the partitions of a batch's rows are read and written.  A batch that is tried again stores and
+    publishes the same; a job that starts over with a new checkpoint needs a new name.  since_ms: when the job was first started, below which no number
+    lies; the store keeps it where it isn't given.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = merged(numbered(batch, batch_id, spec.keys, since_ms), spec).persist()
-        before = store.read(spec.name)
-        store.upsert(rows, spec)
+        since = store.since(spec.name) if since_ms is None else since_ms
+        rows = merged(numbered(batch, batch_id, spec.keys, since), spec).persist()
+        before = store.upsert(rows, spec, partition_by, f"{job}:{batch_id}")
         if publish is not None:  # after the table, so that no one hears of what isn't stored
             newer = rows
             if before is not None:
                 old = before.select(*spec.keys, F.col("seq_num").alias("_stored"))
-                newer = rows.join(old, spec.keys, "left").where(F.col("_stored").isNull() | (F.col("seq_num") >= F.col("_stored"))).drop("_stored")
+                newer = rows.join(old, spec.keys, "left").where(F.col("_stored").isNull() | (F.col("seq_num") > F.col("_stored"))).drop("_stored")
             publish(topic_rows(newer, spec), batch_id)
         rows.unpersist()
 
     return write
 
 
+def days_writer(store: Store, name: str = "events", days: int = 30, time: str = "created_at"):
+    """A foreachBatch function: rows are appended by day, and days older than `days` before the newest one go, in the same step.
+
+    Nothing is rewritten, and a batch that is tried again takes the place of its first try, so a restart neither loses nor doubles rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        newest = rows.agg(F.date_format(F.max(time), "yyyy-MM-dd").alias("d")).first()["d"]
+        known = max((p.split(".b")[0] for p in store.partitions(name)), default=newest)
+        if newest is not None:
+            last = max(newest, known)
+            oldest = (date.fromisoformat(last) - timedelta(days=days)).isoformat()
+            store.append(name, rows, batch_id, f"date_format({time}, 'yyyy-MM-dd')", oldest)
+        rows.unpersist()
+
+    return write
+
+
+def ranking_writer(store: Store, name: str, key: str, metric: str, by: str = "window_size", publish=None):
+    """A foreachBatch function over metric updates (ranking, key, metric, seq_num): the exact log of a ranking's changes, one update at a time.
+
+    A batch's places start from the state that the batches before it led to: points, and counts by value and block of keys, each a version of its
+    batch.  So a batch costs what it touches and a pass over the points, not the log; one that is tried again gives the same rows.
+    The log is appended to by batch; publish(rows, batch_id) gets the batch's rows, numbered in order.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(by, key, metric, "seq_num").persist()
+        points, counts = (store.read(f"{name}_{t}", before=batch_id) for t in ("points", "counts"))
+        state = R.RankingState.of(rows.limit(0), key, metric, by) if points is None else R.RankingState(points, counts, key, by)
+        log = R.exact_changes(rows, key, metric, by, state=state)
+        store.append(f"{name}_log", log, batch_id)
+        after = state.after(rows, metric)
+        store.put(f"{name}_points", after.points, batch_id)
+        store.put(f"{name}_counts", after.counts, batch_id)
+        if publish is not None:
+            spec = TABLES[f"{name}_ranking"]
+            publish(ordered_topic_rows(log, spec, by), batch_id)
+        rows.unpersist()
+
+    return write
+
+
 class Numbers(StatefulProcessor):
     """Sequence numbers of one key's rows: from the greater of `base` and its last number + 1; a key unheard of for `ttl_ms` is forgotten."""
 
@@ -194,18 +364,48 @@ class Updates(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         frame = pd.concat(list(rows)).sort_values([self.version, *self.fields], kind="stable", na_position="first")
-        known, keep = list(self.known.get()) if self.known.exists() else [None] * len(self.fields), []
-        for row in frame[self.fields].itertuples(index=False):
-            said = [None if pd.isna(x) else str(x) for x in row]
-            keep.append(any(x is not None and x != k for x, k in zip(said, known, strict=True)))
-            known = [k if x is None else x for x, k in zip(said, known, strict=True)]
-        self.known.update(tuple(known))
-        yield frame[keep]
+        said = frame[self.fields].astype(object).where(frame[self.fields].notna(), None).map(lambda x: None if x is None else str(x))
+        known = pd.DataFrame([list(self.known.get()) if self.known.exists() else [None] * len(self.fields)], columns=self.fields, dtype=object)
+        last = pd.concat([known, said]).ffill()  # what is known before each row, and at the end
+        told = last.iloc[-1]
+        self.known.update(tuple(None if pd.isna(x) else x for x in told))
+        yield frame[(said.notna().to_numpy() & (said.to_numpy() != last.iloc[:-1].to_numpy())).any(axis=1)]
 
     def close(self) -> None:
         pass
 
 
+class Trending(StatefulProcessor):
+    """The weighted sum of a repository's star counts, told after each second at which one of them changed; counts are forgotten `ttl_ms` after they were last met."""
+
+    def __init__(self, weights: dict[str, int], ttl_ms: int):
+        self.weights, self.ttl_ms = weights, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", StructType([StructField("size", StringType())]), StructType([StructField("n", LongType())]), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values(["changed_at", "num_stars"], kind="stable")
+        known = {k[0]: v[0] for k, v in self.counts.iterator()}
+        wide = frame.pivot_table(index="changed_at", columns="window_size", values="num_stars", aggfunc="last").reindex(columns=list(self.weights))
+        wide = pd.concat([pd.DataFrame([[known.get(w) for w in self.weights]], columns=wide.columns, dtype="float64"), wide]).ffill().fillna(0)
+        for w, n in wide.iloc[-1].items():  # written anew, so that the time of all starts again
+            if n:
+                self.counts.updateValue((w,), (int(n),))
+            elif w in known:
+                self.counts.removeKey((w,))
+        score = (wide.iloc[1:] * pd.Series(self.weights)).sum(axis=1).astype("int64")
+        yield pd.DataFrame({"repo_id": key[0], "changed_at": score.index, "trending_score": score.to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
+def trending_stream(star_changes: DataFrame, weights: dict[str, int] = S.TREND_WEIGHTS, ttl_ms: int = 48 * 3_600_000) -> DataFrame:
+    """repo_id, changed_at, trending_score from a stream of star counts (repo_id, window_size, changed_at, num_stars).  Needs the RocksDB state store."""
+    return _by_key(star_changes, "repo_id", Trending(dict(weights), ttl_ms), "repo_id long, changed_at timestamp, trending_score long")
+
+
 def _by_key(rows: DataFrame, key: str, job: StatefulProcessor, schema: str) -> DataFrame:
     ship(rows.sparkSession)
     return rows.groupBy(key).transformWithStateInPandas(job, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
@@ -239,25 +439,34 @@ def publish_to_files(folder: str):
     return publish
 
 
+#: The events of the widest window; a row with an id that is there already is the same event.
+RECENT = TableSpec("recent", (Field("created_at", str, "sorted"), Field("id", int, "sorted"), Field("seq_num", int)))
+
+
 def live_tables(store: Store, as_of=None, publish=None, only: tuple[str, ...] = ("counts", "users", "repos", "stars", "trending")):
     """A foreachBatch function over typed events: live counts, trending scores and the diffs of their rankings for each micro-batch.
 
-    The batch's events join those of the widest window; a micro-batch is a block of changes.  Every table is the version of
-    its batch, made from those before it, so a batch that is tried again gives the same tables and the same changes; versions
-    that no batch can need any more go.  publish(name, rows, batch_id) gets the ranking changes, in order.  `only` names the rankings.
+    The batch's events join those of the widest window, which are kept by hour: only the hours of a batch are written anew, and hours that no
+    window reaches go.  A micro-batch is a block of changes.  Every table is the version of its batch, made from those before it, so a batch that is
+    tried again gives the same tables and the same changes; versions that no batch can need any more go.  publish(name, rows, batch_id) gets the ranking changes, in order.  `only` names the rankings.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = batch.persist()
-        past = store.read("recent", before=batch_id)
-        both = events if past is None else past.unionByName(events.select(*past.columns)).dropDuplicates(["id"])
-        end = as_of if as_of is not None else both.agg(F.date_trunc("second", F.max("created_at")).alias("m")).first()["m"]
-        if end is None:
+        events = batch.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).persist()
+        newest = as_of if as_of is not None else events.agg(F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("m")).first()["m"]
+        if newest is None and store.read("recent") is None:
+            events.unpersist()
             return
-        end = F.lit(str(end)).cast("timestamp_ntz") + F.make_interval(secs=F.lit(1)) if as_of is None else F.lit(as_of).cast("timestamp_ntz")
-        recent = both.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).where(F.col("created_at") >= end - F.make_interval(secs=F.lit(max(WINDOW_SIZES.values()))))
-        store.put("recent", recent, batch_id)
-        recent = store.read("recent")
+        if newest is not None:
+            oldest = datetime.fromisoformat(str(newest)) - timedelta(seconds=max(WINDOW_SIZES.values()), hours=1)
+            store.upsert(events, RECENT, "date_format(created_at, 'yyyy-MM-dd-HH')", f"live:{batch_id}", oldest.strftime("%Y-%m-%d-%H"))
+        kept = store.read("recent")
+        if as_of is None:
+            end = kept.agg(F.date_trunc("second", F.max("created_at")).alias("m")).first()["m"]
+            end = F.lit(str(end)).cast("timestamp_ntz") + F.make_interval(secs=F.lit(1))
+        else:
+            end = F.lit(as_of).cast("timestamp_ntz")
+        recent = kept.where(F.col("created_at") >= end - F.make_interval(secs=F.lit(max(WINDOW_SIZES.values()))))
 
         def ranked(name: str, live: DataFrame, ranking: DataFrame, key: str, metric: str, by: str | None) -> None:
             before = store.read(f"{name}_ranking", before=batch_id)

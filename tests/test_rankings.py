@@ -50,7 +50,7 @@ def test_large_ties_and_blocks_of_whole_numbers(spark, monkeypatch):
 
 def test_a_tie_group_is_cut_into_even_tasks(spark):
     rows = spark.range(4000).select(F.lit("5m").alias("window_size"), (F.col("id") * 7919 % 4001).alias("user_id"), F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(1).alias("num_events"), F.col("id").alias("seq_num"))
-    placed = R._numbered(rows.where("num_events > 0").select("window_size", "user_id", "num_events"), ["window_size", F.desc("num_events"), "user_id"])
+    placed = R.numbered(rows.where("num_events > 0").select("window_size", "user_id", "num_events"), ["window_size", F.desc("num_events"), "user_id"])
     sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
     got = {(r.user_id, r.row_number, r.rank, r.max_rank) for r in R.snapshot(rows, "user_id", "num_events").collect()}
