@@ -131,6 +131,8 @@ class Store:
         root = f"{self.folder}/{name}"
         self._write_text(f"{root}/m={n}.json", json.dumps(manifest))
         have = self._manifests(name)
+        if manifest["mark"] is not None and len(have) > 1 and self._manifest(name, have[-2])["mark"] == manifest["mark"]:
+            delete(self.spark, f"{root}/m={have.pop(-2)}.json")  # the first try of this batch
         kept = {(d, p) for m in have[-self.KEEP :] for p, d in self._manifest(name, m)["parts"].items()}
         folders = {d for d, _ in kept}
         for m in have[: -self.KEEP]:

@@ -33,18 +33,19 @@ def deduplicated(stream: DataFrame, delay: str = "30 minutes") -> DataFrame:
 class Seen(StatefulProcessor):
     """Rows of an id not seen before, or not for `ms` of the stream's time; each sight, of a repeat too, starts that time anew.
 
-    A repeat has the time of its first event, so the time of a sight is the watermark's, or the event's own where that is later.
+    A repeat has the time of its first event, so the time of a sight is the stream's clock, or the event's own where that is later.  The watermark runs
+    `behind` that clock, so that the engine takes no first event for late; timers are set as much earlier.
     """
 
-    def __init__(self, ms: int):
-        self.ms = ms
+    def __init__(self, ms: int, behind: int):
+        self.ms, self.behind = ms, behind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.until = handle.getValueState("until", StructType([StructField("ms", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        now, known = timerValues.getCurrentWatermarkInMs(), self.until.exists()
+        now, known = timerValues.getCurrentWatermarkInMs() + self.behind, self.until.exists()
         until, first = self.until.get()[0] if known else 0, None
         for frame in rows:
             if not known and len(frame):
@@ -55,7 +56,7 @@ class Seen(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.until.update((until,))
-        self.handle.registerTimer(until)
+        self.handle.registerTimer(until - self.behind)
         if first is not None:
             yield first
 
@@ -67,15 +68,16 @@ class Seen(StatefulProcessor):
         pass
 
 
-def seen_once(stream: DataFrame, minutes: int = 30) -> DataFrame:
+def seen_once(stream: DataFrame, minutes: int = 30, late_days: int = 31) -> DataFrame:
     """Each id once, of the rows of a micro-batch that of the least seq_num; an id is remembered until `minutes` after its last sight.
 
-    deduplicated() is cheaper and forgets an id that long after its first sight.  Needs the RocksDB state store.
+    The clock is the newest created_at, less OUT_OF_ORDER; only rows `late_days` behind it are dropped.  deduplicated() is cheaper, and forgets an id
+    that long after its first sight.  Needs the RocksDB state store.
     """
     ship(stream.sparkSession)
     schema = ", ".join(f"{c} {t}" for c, t in stream.dtypes)
-    keyed = stream.withWatermark("created_at", f"{OUT_OF_ORDER} seconds").groupBy("id")
-    return keyed.transformWithStateInPandas(Seen(minutes * 60_000), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    keyed = stream.withWatermark("created_at", f"{OUT_OF_ORDER + late_days * 86400} seconds").groupBy("id")
+    return keyed.transformWithStateInPandas(Seen(minutes * 60_000, late_days * 86_400_000), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def silver(raw: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -96,7 +98,8 @@ class SlidingCounts(StatefulProcessor):
     State: the counts of all sizes at the last second told, and the events by the second in which they end, in chunks of a minute that are linked in
     order of time.  A bucket moves the counts when it comes in and once for each size when it goes out; each of these fronts has a cursor to the
     chunk where it stands, so that a call reads the chunks that move and no others, however many the windows hold.  A timer at the
-    next second that matters tells the windows that changed.  Late events count while the widest window
+    next second that matters tells the windows that changed.  behind: seconds by which the watermark runs behind the time that windows close at, so that
+    the engine drops no row that a window still holds; timers are set as much earlier.  Late events count while the widest window
     still has their second, and are told at the last told second; those of a key without state count at any age.  A chunk goes when the last front has
     passed it, and with the last one all that is known of the key: a key's state ends `widest` after its last event, by event time.
     """
@@ -104,8 +107,8 @@ class SlidingCounts(StatefulProcessor):
     CHUNK = 60
     NEVER = -(2**62)
 
-    def __init__(self, key: str, key_type, sizes: dict[str, int]):
-        self.key, self.sizes, self.key_type = key, sizes, key_type
+    def __init__(self, key: str, key_type, sizes: dict[str, int], behind: int = 0):
+        self.key, self.sizes, self.key_type, self.behind = key, sizes, key_type, behind
         #: How far behind its second a bucket meets each front: it comes in at once, and goes out after each size.
         self.fronts = [0, *sizes.values()]
 
@@ -142,7 +145,7 @@ class SlidingCounts(StatefulProcessor):
         for at in self.dirty:
             self.chunks.updateValue((at,), tuple(self.held[at]))
         self.head.update((self.told, self.first, self.last, self.totals, self.cursors, self.next))
-        self.handle.registerTimer(min(t for t in self.next if t is not None) * 1000)
+        self.handle.registerTimer((min(t for t in self.next if t is not None) - self.behind) * 1000)
 
     def _place(self, at: int) -> list:
         """The chunk, put in order between the others if it is new; new ones are looked for from the last one back."""
@@ -215,7 +218,7 @@ class SlidingCounts(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self._load()
-        upto = timerValues.getCurrentWatermarkInMs() // 1000
+        upto = timerValues.getCurrentWatermarkInMs() // 1000 + self.behind
         moves: dict[int, list[int]] = {}
         for f in range(len(self.fronts)):
             if self.next[f] is not None and self.next[f] <= upto:
@@ -250,13 +253,14 @@ class SlidingCounts(StatefulProcessor):
 
 
 def sliding_stream(events: DataFrame, key: str, sizes: dict[str, int] = WINDOW_SIZES) -> DataFrame:
-    """key, window_size, changed_at, n: changes of sliding counts.  Needs the RocksDB state store."""
+    """key, window_size, changed_at, n: changes of sliding counts, by a clock that runs OUT_OF_ORDER behind; rows late by more than the widest window are gone.  Needs the RocksDB state store."""
     ship(events.sparkSession)
     rows = H.fan_out(events) if key == "kind" else events
     kind = dict(rows.dtypes)[key]
-    keyed = rows.withWatermark("created_at", f"{OUT_OF_ORDER} seconds").groupBy(key)
+    widest = max(sizes.values())
+    keyed = rows.withWatermark("created_at", f"{OUT_OF_ORDER + widest} seconds").groupBy(key)
     schema = f"{key} {kind}, window_size string, changed_at timestamp, n long"
-    return keyed.transformWithStateInPandas(SlidingCounts(key, kind, sizes), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    return keyed.transformWithStateInPandas(SlidingCounts(key, kind, sizes, widest), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
 
 def numbered(batch: DataFrame, batch_id: int, key: list[str], trigger_ms: int = 0) -> DataFrame:
