@@ -4,7 +4,8 @@ set-similarity join by prefixes adds the similar pairs whose SimHashes lie furth
 Two sets with a similarity of t or more share a shingle of their prefixes, the first n - ceil(t * n) + 1 of n in one order
 for all sets; the order puts shingles that a sample finds common last, which changes the cost and no result.  Equal sets are
 one node.  Candidates are held against the texts themselves, after a bound from parity bitmaps that drops no similar pair.
-Of a prefix key's sets all are first paired with one of them; after that only sets in different components are paired.  Either way a pair
+Of a prefix key's sets all are first paired with one of them, or with some where they are many; after that only sets in different components
+are paired.  Either way a pair
 counts at a key only if what is left of both sets from the key on could make them similar: so it does at the first key that they share.
 As shingles of one set alone come first, sets that share too little meet behind that point, and a large group of them makes no pairs.
 """
@@ -31,8 +32,8 @@ MAP_BITS = 1 << 23
 REMEMBERED = 1 << 18
 #: One in so many texts is asked for common shingles; at least so many of them hold one; at most so many shingles are told to tasks.
 SAMPLE, COMMON, TOLD = 16, 4, 100_000
-#: A key's sets are paired with the same one of them for about one key in so many.
-PIVOTS = 4
+#: A key with more than MANY sets has PIVOTS that all are paired with before those in different components are; changes the cost and no result.
+MANY, PIVOTS = 64, 12
 
 
 def shingles(data: np.ndarray, width: int) -> np.ndarray:
@@ -204,8 +205,8 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     # copies that several tasks sent are one again here, in the tasks of their keys
     keyed = sets.select(F.posexplode("keys").alias("at", "key"), "sig", "n").select("key", "sig", "n", (F.col("n") - F.col("at")).alias("left"))
     keyed = keyed.repartition(C.parallelism(spark), "key").dropDuplicates(["key", "sig"])
-    pivot = F.min(F.struct(F.xxhash64("sig", F.pmod("key", F.lit(PIVOTS))), "sig", "n", "left")).alias("p")
-    members = keyed.groupBy("key").agg(pivot, F.count("*").alias("c")).where("c > 1").select("key", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.left").alias("pivot_left"))
+    drawn = lambda j: F.min(F.struct(F.xxhash64("sig", F.lit(j)), "sig", "n", "left"))  # noqa: E731  much the same for all keys of a group of sets
+    members = keyed.groupBy("key").agg(drawn(0).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", "c", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.left").alias("pivot_left"))
     members = stored(keyed.join(members, "key").sortWithinPartitions("key", "sig"), "members")
     C.delete(spark, f"{folder}/sets")  # what is needed of it stands in nodes and members
     ends = nodes.select("sig", "n", "bits")
@@ -231,7 +232,11 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     near = trie_links(prints, budget).join(reps[0], "u").join(reps[1], "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
     with_pivot = fits(F.col("n"), F.col("pivot_n")) & may_be(F.col("n"), F.col("left"), F.col("pivot_n"), F.col("pivot_left"))
     sharing = members.where((F.col("sig") != F.col("pivot")) & with_pivot).select(F.least("pivot", "sig").alias("u"), F.greatest("pivot", "sig").alias("v"))
-    links = verified(same.union(near).union(sharing))
+    many = members.where(F.col("c") > MANY)
+    pivots = many.groupBy("key").agg(F.array(*map(drawn, range(1, PIVOTS))).alias("p")).select("key", F.explode(F.array_distinct("p")).alias("p"))
+    with_drawn = fits(F.col("n"), F.col("p.n")) & may_be(F.col("n"), F.col("left"), F.col("p.n"), F.col("p.left"))
+    drawn_pairs = many.join(pivots, "key").where((F.col("sig") != F.col("p.sig")) & with_drawn).select(F.least("sig", "p.sig").alias("u"), F.greatest("sig", "p.sig").alias("v")).distinct().checkpoint()
+    links = verified(same.union(near).union(sharing).union(drawn_pairs))
     # members of keys whose sets are not all in one component yet
     least = components(links).checkpoint()
     named = members.select("key", "sig", "n", "left", "pivot").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "left", "pivot", F.coalesce("least", "sig").alias("label"))
@@ -241,7 +246,7 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     apart_still = (F.col("label_u") < F.col("label_v")) & (F.col("sig_u") != F.col("pivot")) & (F.col("sig_v") != F.col("pivot"))
     more = x.join(y, "key").where(apart_still & fits(F.col("n_u"), F.col("n_v")) & may_be(F.col("n_u"), F.col("left_u"), F.col("n_v"), F.col("left_v")))
     more = more.select(F.least("sig_u", "sig_v").alias("u"), F.greatest("sig_u", "sig_v").alias("v"))
-    rest = verified(more)
+    rest = verified(more.distinct().join(drawn_pairs, ["u", "v"], "left_anti"))
     least = components(links.union(rest))
     kept = nodes.join(least, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("least", "sig").alias("label")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.dk").alias("dk"), F.col("first.row_key").alias("row_key")).checkpoint()
