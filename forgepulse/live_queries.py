@@ -13,7 +13,7 @@ from .operators import ranking as R
 from .operators import sliding as S
 from .plans import enrich as J
 from .plans.query import Query, subscribed
-from .queries import _CASE, _OLDNEW, _add, _ev, _literal, _live, _live_sql, _parts, _ranking, _ranking_sql, _typed, AS_OF, EARLIER, EV, ORDER, RAW, raw_events
+from .queries import _CASE, _log, _OLDNEW, _updates, _add, _ev, _literal, _live, _live_sql, _parts, _ranking, _ranking_sql, _typed, AS_OF, EARLIER, EV, ORDER, RAW, raw_events
 from .runtime import shared_folder
 from .schema import TABLES
 from .sources import events as X
@@ -59,10 +59,10 @@ _add("stream_silver", stream_silver, f"{EV} SELECT id, date_trunc('second', crea
 
 
 def stream_table(s: SparkSession, d: str) -> DataFrame:
-    """Tumbling counts as a stream, upserted into a table by day, and published; the rows of the table."""
+    """Tumbling counts as a stream, upserted into a table that is kept by day, and published; the rows of the table."""
     folder = scratch(s)
     store = T.Store(s, f"{folder}/tables")
-    _to_end(L.tumbling_stream(X.table_stream(s, d), "user_id"), "update", L.table_writer(store, TABLES["users_history"], L.publish_to_files(f"{folder}/topic")), folder)
+    _to_end(L.tumbling_stream(X.table_stream(s, d), "user_id"), "update", L.table_writer(store, TABLES["users_history"], L.publish_to_files(f"{folder}/topic"), partition_by="date_format(ts_start, 'yyyy-MM-dd')"), folder)
     rows = store.read("users_history")
     return rows.select("user_id", F.col("ts_start").cast("timestamp_ntz").alias("ts_start"), F.col("ts_end").cast("timestamp_ntz").alias("ts_end"), "num_events")
 
@@ -97,6 +97,89 @@ _add(
 )
 
 
+def stream_late(s: SparkSession, d: str) -> DataFrame:
+    """Sliding counts of stars in two runs: a fifth of the stars of 20 hours come with the second, hours late; the changes told from then on."""
+    folder = scratch(s)
+    stars = H.stars(_ev(s, d))
+    early, late = F.col("created_at") < _literal(AS_OF), (F.col("created_at") >= _literal(AS_OF) - F.expr("INTERVAL 20 HOURS")) & (F.col("id") % 5 == 0)
+    for rows in (stars.where(early & ~late), stars.where(~early | late)):
+        rows.withColumn("created_at", F.col("created_at").cast("timestamp")).write.mode("append").parquet(f"{folder}/in")
+        stream = s.readStream.schema("id long, created_at timestamp, kind string, user_id long, repo_id long, seq_num long").parquet(f"{folder}/in")
+        _to_end(L.sliding_stream(stream, "repo_id"), "update", _files(folder), folder)
+    told = s.read.parquet(f"{folder}/out").select("window_size", "repo_id", F.col("changed_at").cast("timestamp_ntz").alias("changed_at"), F.col("n").alias("num_stars"))
+    return told.where(F.col("changed_at") > _literal(AS_OF))
+
+
+_add("stream_late", stream_late, f"SELECT * FROM ({BASE._sql['stream_sliding']}) WHERE changed_at > TIMESTAMP '{AS_OF}'")
+
+
+def stream_trending(s: SparkSession, d: str) -> DataFrame:
+    """Two streams: sliding counts of stars, and from their changes the trending scores, by state."""
+    folder = scratch(s)
+    _to_end(L.sliding_stream(H.stars(X.table_stream(s, d)), "repo_id"), "update", _files(folder), folder)
+    told = s.readStream.schema("repo_id long, window_size string, changed_at timestamp, n long").parquet(f"{folder}/out/batch=*").withColumnRenamed("n", "num_stars")
+    _to_end(L.trending_stream(told), "append", _files(f"{folder}/scores"), f"{folder}/scores", idle=False)
+    return s.read.parquet(f"{folder}/scores/out").select("repo_id", F.col("changed_at").cast("timestamp_ntz").alias("changed_at"), "trending_score")
+
+
+_WATCHED = "(SELECT max(ts) - INTERVAL 10 SECOND FROM events WHERE event_type = 'purchase')"
+_add("stream_trending", stream_trending, f"SELECT * FROM ({BASE._sql['trending_changelog']}) WHERE changed_at <= {_WATCHED}")
+
+
+def stream_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Events in two runs, a third of them again in each: those of the first go, of the second only those whose time is not over."""
+    folder = scratch(s)
+    e = _ev(s, d).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    again = e.where("id % 3 = 0").withColumn("seq_num", F.col("seq_num") + 1_000_000)
+    for rows in (e.unionByName(again), again):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = s.readStream.schema("id long, created_at timestamp, kind string, user_id long, repo_id long, seq_num long").parquet(f"{folder}/in")
+        _to_end(L.seen_once(stream), "append", _files(folder), folder)
+    return s.read.parquet(f"{folder}/out").select("id", "kind", "seq_num")
+
+
+_add("stream_dedup", stream_dedup, f"{EV} SELECT id, kind, seq_num FROM ev UNION ALL SELECT id, kind, seq_num + 1000000 FROM ev WHERE id % 3 = 0 AND epoch_ms(created_at) + 1800000 <= (SELECT max(epoch_ms(created_at)) - 10000 FROM ev)")
+
+
+def stream_days(s: SparkSession, d: str) -> DataFrame:
+    """Events appended by day in three batches, the second tried twice, with a week's retention."""
+    store = T.Store(s, scratch(s))
+    write = L.days_writer(store, days=7)
+    for n in (0, 1, 1, 2):
+        write(_ev(s, d).where(F.col("id") % 3 == n), n)
+    store.compact("events", "9")
+    return store.read("events").select("id", "created_at", "kind", "user_id", "repo_id", "seq_num")
+
+
+_add("stream_days", stream_days, f"{EV} SELECT id, created_at, kind, user_id, repo_id, seq_num FROM ev WHERE CAST(created_at AS DATE) >= (SELECT CAST(max(created_at) AS DATE) - 7 FROM ev)")
+
+
+def stream_ranking(s: SparkSession, d: str) -> DataFrame:
+    """The exact log of the stars' ranking over three micro-batches, the second tried twice: each starts from the state of those before it."""
+    store = T.Store(s, scratch(s))
+    write = L.ranking_writer(store, "stars", "repo_id", "num_stars")
+    rows = _updates(s, d)
+    first, second = (F.unix_seconds(F.lit(t).cast("timestamp")) for t in (EARLIER, AS_OF))
+    at = F.when(F.col("seq_num") < first, 0).when(F.col("seq_num") < second, 1).otherwise(2)
+    for n in (0, 1, 1, 2):
+        write(rows.where(at == n), n)
+    return store.read("stars_log").select("window_size", "seq_num", "repo_id", "num_stars", "row_number", "rank", "old_row_number", "old_rank")
+
+
+_add("stream_ranking", stream_ranking, BASE._sql["ranking_changelog"])
+
+
+def ranking_check(s: SparkSession, d: str) -> DataFrame:
+    """A log with wrong places in some rows: the rows that the check tells."""
+    log = _log(s, d).checkpoint()
+    wrong = (F.col("seq_num") % 50 == 0) & F.col("old_rank").isNotNull()
+    bad = log.withColumns({f"old_{p}": F.when(wrong, F.col(f"old_{p}") + 1).otherwise(F.col(f"old_{p}")) for p in R.PLACES})
+    return R.broken(bad, "repo_id", "num_stars").select("window_size", "seq_num", "repo_id", "old_rank", "problem")
+
+
+_add("ranking_check", ranking_check, f"SELECT window_size, seq_num, repo_id, old_rank + 1 AS old_rank, 'old places aren''t where the log had left the key' AS problem FROM ({BASE._sql['ranking_changelog']}) WHERE seq_num % 50 = 0 AND old_rank IS NOT NULL")
+
+
 def stream_numbers(s: SparkSession, d: str) -> DataFrame:
     folder = scratch(s)
     _to_end(L.numbered_stream(X.table_stream(s, d).select("user_id", "id"), "user_id", "id", 5000), "append", _files(folder), folder, idle=False)
@@ -116,39 +199,66 @@ _add("stream_updates", stream_updates, f"{EV} SELECT user_id, kind, seq_num FROM
 
 
 def archive_backfill(s: SparkSession, d: str) -> DataFrame:
-    """The batch job over raw events: what it stored of the kinds' history."""
+    """The batch job over raw events: what it stored of the four histories."""
     folder = scratch(s)
     store = T.Store(s, folder)
     L.backfill(raw_events(s, d), store)
-    return store.read("counts_history").select("kind", F.col("ts_start").cast("timestamp_ntz").alias("ts_start"), "num_events")
+    out = None
+    for name, (key, metric, _, _) in BASE.ENTITIES.items():
+        rows = store.read(f"{name}_history").select(F.lit(name).alias("history"), F.col(key).cast("string").alias("key"), F.col("ts_start").cast("timestamp_ntz").alias("ts_start"), F.col(metric).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-_add("archive_backfill", archive_backfill, f"{EV}, k AS (SELECT created_at, {_CASE} AS kind FROM ev) SELECT kind, {BUCKET.format(n=300, c='created_at')} AS ts_start, count(*) AS num_events FROM (SELECT * FROM k UNION ALL SELECT created_at, 'all' FROM k) GROUP BY ALL")
+_EACH = {"counts": ("kind", "(SELECT * FROM k UNION ALL SELECT created_at, 'all', user_id, repo_id FROM k)"), "users": ("user_id", "k"), "repos": ("repo_id", "k"), "stars": ("repo_id", "(SELECT * FROM k WHERE kind = 'watch')")}
+_add(
+    "archive_backfill", archive_backfill,
+    f"{EV}, k AS (SELECT created_at, {_CASE} AS kind, user_id, repo_id FROM ev) " + " UNION ALL ".join(f"SELECT '{n}' AS history, CAST({k} AS VARCHAR) AS key, {BUCKET.format(n=300, c='created_at')} AS ts_start, count(*) AS n FROM {rows} GROUP BY ALL" for n, (k, rows) in _EACH.items()),
+)
 
 
 def live_jobs(s: SparkSession, d: str) -> DataFrame:
-    """Two micro-batches of the live job, the second tried twice: the changes of the users' ranking between them."""
+    """Two micro-batches of the live job, the second tried twice: the changes of all five rankings between them."""
     store = T.Store(s, scratch(s))
-    write = L.live_tables(store, only=("users",))
+    write = L.live_tables(store)
     e = _ev(s, d).where(f"created_at < TIMESTAMP_NTZ'{AS_OF}'")
     early = F.col("created_at") < _literal(EARLIER)
     write(e.where(early), 0)
     for _ in range(2):
         write(e.where(~early), 1)
-    return store.read("users_ranking_changes").select("window_size", "user_id", "num_events", "row_number", "rank", "old_row_number", "old_rank")
+    out = None
+    for name, (key, metric) in _RANKINGS.items():
+        rows = store.read(f"{name}_ranking_changes")
+        by = F.col("window_size") if "window_size" in rows.columns else F.lit("-")
+        rows = rows.select(F.lit(name).alias("ranking"), by.alias("window_size"), F.col(key).cast("string").alias("key"), F.col(metric).alias("metric"), "row_number", "rank", "old_row_number", "old_rank")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_RANKINGS = {n: (k, m) for n, (k, m, _, _) in BASE.ENTITIES.items()} | {"trending": ("repo_id", "trending_score")}
 
 
-def _until(before: str) -> str:
+def _until(name: str, before: str) -> str:
     end = f"(SELECT date_trunc('second', max(created_at)) + INTERVAL 1 SECOND FROM ev WHERE created_at < TIMESTAMP '{before}')"
-    live = f"SELECT window_size, user_id, count(*) AS num_events, max(seq_num) AS seq_num FROM ev e, sizes WHERE created_at < {end} AND created_at >= {end} - s * INTERVAL 1 SECOND GROUP BY window_size, user_id"
-    return BASE._rank_sql(live, "user_id", "num_events", "window_size")
+    source = "stars" if name == "trending" else name
+    key, metric, _, rows = BASE.ENTITIES[source]
+    live = f"SELECT window_size, {key}, count(*) AS {metric}, max(seq_num) AS seq_num FROM {rows} e, sizes WHERE created_at < {end} AND created_at >= {end} - s * INTERVAL 1 SECOND GROUP BY window_size, {key}"
+    if name != "trending":
+        return BASE._rank_sql(live, key, metric, "window_size")
+    score = f"SELECT repo_id, CAST(sum(num_stars * CASE window_size WHEN '5m' THEN 10 WHEN '1h' THEN 5 WHEN '6h' THEN 2 ELSE 1 END) AS BIGINT) AS trending_score, max(seq_num) AS seq_num FROM ({live}) GROUP BY repo_id"
+    return BASE._rank_sql(score, "repo_id", "trending_score", None)
 
 
-_add(
-    "live_jobs", live_jobs,
-    f"""{EV}, o AS ({_until(EARLIER)}), n AS ({_until(AS_OF)}) SELECT coalesce(n.window_size, o.window_size) AS window_size, coalesce(n.user_id, o.user_id) AS user_id, n.num_events, n.row_number, n.rank, o.row_number AS old_row_number, o.rank AS old_rank
- FROM o FULL JOIN n ON o.window_size = n.window_size AND o.user_id = n.user_id WHERE n.num_events IS DISTINCT FROM o.num_events""",
-)
+def _between(name: str) -> str:
+    """The changes of one ranking between the two batches."""
+    key, metric = _RANKINGS[name]
+    by = "'-'" if name == "trending" else "coalesce(n.window_size, o.window_size)"
+    same = "true" if name == "trending" else "o.window_size = n.window_size"
+    return f"""SELECT '{name}' AS ranking, {by} AS window_size, CAST(coalesce(n.{key}, o.{key}) AS VARCHAR) AS key, n.{metric} AS metric, n.row_number, n.rank, o.row_number AS old_row_number, o.rank AS old_rank
+ FROM ({_until(name, EARLIER)}) o FULL JOIN ({_until(name, AS_OF)}) n ON {same} AND o.{key} = n.{key} WHERE n.{metric} IS DISTINCT FROM o.{metric}"""
+
+
+_add("live_jobs", live_jobs, f"{EV} {' UNION ALL '.join(_between(n) for n in _RANKINGS)}")
 
 
 def stored_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -176,9 +286,11 @@ def partition_retention(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("partition_retention", partition_retention, f"{EV}, h AS ({_HISTORY}) SELECT * FROM h WHERE ts_start >= TIMESTAMP '2024-01-15'")
+# the changes of a ranking in order: place tells a reader where each belongs
 _add(
-    "ordered_topic", lambda s, d: T.ordered_topic_rows(_ranking("stars")(s, d), TABLES["stars_ranking"]),
-    f"""{EV} SELECT '["' || window_size || '",' || repo_id || ']' AS key, '{{"window_size":"' || window_size || '","repo_id":' || repo_id || ',"num_stars":' || num_stars || ',"row_number":' || row_number || ',"rank":' || rank || ',"max_rank":' || max_rank || ',"seq_num":' || seq_num || '}}' AS value FROM ({_ranking_sql('stars')})""",
+    "ordered_topic", lambda s, d: T.ordered_topic_rows(_log(s, d, EARLIER).select("window_size", "repo_id", "num_stars", "row_number", "rank", "seq_num"), TABLES["stars_ranking"]),
+    f"""SELECT '["' || window_size || '",' || repo_id || ']' AS key, '{{"window_size":"' || window_size || '","repo_id":' || repo_id || ',"num_stars":' || num_stars || coalesce(',"row_number":' || row_number || ',"rank":' || rank, '') || ',"seq_num":' || seq_num || '}}' AS value,
+ row_number() OVER (PARTITION BY window_size ORDER BY seq_num, repo_id) - 1 AS place FROM ({BASE._sql['ranking_changelog']}) WHERE seq_num <= epoch(TIMESTAMP '{EARLIER}')""",
 )
 _add("clean_text", lambda s, d: T.clean_text(_ev(s, d).select("id", F.concat("kind", F.lit("\x00-"), "kind").alias("text"))), f"{EV} SELECT id, kind || '-' || kind AS text FROM ev")
 _add("json_rejects", lambda s, d: X.rejects(X.decode(raw_events(s, d).select(F.when(F.col("raw").contains('"size":2'), F.expr("left(raw, 40)")).otherwise(F.col("raw")).alias("raw")))).groupBy("raw").agg(F.count("*").alias("n")), f"{EV} SELECT left('{{\"id\":\"' || id || '\",\"seq_num\":' || seq_num || ',\"type\":\"PushEvent\",\"created_at\":\"', 40) AS raw, 1 AS n FROM ev WHERE id % {len(RAW)} = 0")

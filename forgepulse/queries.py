@@ -139,11 +139,17 @@ def _updates(s: SparkSession, d: str) -> DataFrame:
 _UPDATES = f"""{EV}, b AS (SELECT repo_id, date_trunc('second', created_at) + INTERVAL 1 SECOND AS e, count(*) AS c FROM ev WHERE kind = 'watch' GROUP BY ALL),
  dl AS (SELECT window_size, repo_id, changed_at, sum(c) AS delta FROM (SELECT window_size, repo_id, e AS changed_at, c FROM b, sizes UNION ALL SELECT window_size, repo_id, e + s * INTERVAL 1 SECOND, -c FROM b, sizes) GROUP BY ALL HAVING sum(c) <> 0),
  up AS (SELECT window_size, repo_id, CAST(epoch(changed_at) AS BIGINT) AS seq_num, CAST(sum(delta) OVER (PARTITION BY window_size, repo_id ORDER BY changed_at) AS BIGINT) AS num_stars, changed_at FROM dl)"""
-_LAST = "SELECT window_size, repo_id, arg_max(num_stars, seq_num) AS num_stars, max(seq_num) AS seq_num FROM up GROUP BY window_size, repo_id"
-_RANK_LAST = _rank_sql(f"SELECT * FROM ({_LAST}) WHERE num_stars > 0", "repo_id", "num_stars", "window_size")
-_add("ranking_replay", lambda s, d: R.replay(R.exact_changes(_updates(s, d), "repo_id", "num_stars"), "repo_id", "num_stars").drop("seq_num"), f"{_UPDATES} SELECT window_size, repo_id, num_stars, row_number, rank, max_rank FROM ({_RANK_LAST})")
+
+
+def _log(s: SparkSession, d: str, until: str | None = None) -> DataFrame:
+    rows = _updates(s, d)
+    return R.exact_changes(rows if until is None else rows.where(F.col("seq_num") <= F.unix_seconds(F.lit(until).cast("timestamp"))), "repo_id", "num_stars")
+
+
+# the log up to a moment leads to the ranking of that moment
+_add("ranking_replay", lambda s, d: R.replay(_log(s, d, AS_OF), "repo_id", "num_stars").drop("seq_num"), f"{EV} SELECT window_size, repo_id, num_stars, row_number, rank, max_rank FROM ({_ranking_sql('stars')})")
 _add(
-    "ranking_changelog", lambda s, d: R.exact_changes(_updates(s, d), "repo_id", "num_stars").select("window_size", "seq_num", "repo_id", "num_stars", "row_number", "rank", "old_row_number", "old_rank"),
+    "ranking_changelog", lambda s, d: _log(s, d).select("window_size", "seq_num", "repo_id", "num_stars", "row_number", "rank", "old_row_number", "old_rank"),
     f"""{_UPDATES}, u AS (SELECT * FROM up), iv AS (SELECT *, lead(seq_num) OVER (PARTITION BY window_size, repo_id ORDER BY seq_num) AS until, lag(num_stars) OVER (PARTITION BY window_size, repo_id ORDER BY seq_num) AS old FROM u),
  pl AS (SELECT a.window_size, a.seq_num, a.repo_id, a.num_stars, coalesce(a.old, 0) AS old,
  count(*) FILTER (WHERE b.num_stars > a.num_stars OR b.num_stars = a.num_stars AND b.repo_id < a.repo_id) AS row_number, count(*) FILTER (WHERE b.num_stars > a.num_stars) AS rank,
