@@ -228,8 +228,7 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     # sets of one SimHash are paired with the least of them, and those of near SimHashes with each other
     prints = nodes.groupBy("fp").agg(F.min("sig").alias("rep")).checkpoint()
     same = nodes.join(prints, "fp").where("rep < sig").select(F.col("rep").alias("u"), F.col("sig").alias("v"))
-    reps = [prints.select(F.col("fp").alias(k), F.col("rep").alias(f"rep_{k}")) for k in "uv"]
-    near = trie_links(prints, budget).join(reps[0], "u").join(reps[1], "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
+    near = trie_links(prints, budget, "rep")
     with_pivot = fits(F.col("n"), F.col("pivot_n")) & may_be(F.col("n"), F.col("left"), F.col("pivot_n"), F.col("pivot_left"))
     sharing = members.where((F.col("sig") != F.col("pivot")) & with_pivot).select(F.least("pivot", "sig").alias("u"), F.greatest("pivot", "sig").alias("v"))
     many = members.where(F.col("c") > MANY)

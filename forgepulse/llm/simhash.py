@@ -145,27 +145,35 @@ def _links(budget: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, least): the least node that each linked node reaches.  Large-star and small-star rounds, each checkpointed, until nothing moves."""
+    """(node, least): the least node that each linked node reaches.  Large-star and small-star rounds, each checkpointed, until nothing moves.
+
+    Joins are by sort and merge of two sides dealt out for it, so that AQE may split a hub, and nothing is built in the driver.
+    """
+    def told(rows: DataFrame):
+        """What tells one set of edges from another."""
+        return rows.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first()
+
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct().checkpoint()
+    before = told(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(C.dealt_anew("u"), "m")
         # large-star: each larger neighbour of u is tied to the least of u and its neighbours
-        large = edges.join(near, "u").select(F.col("m").alias("u"), "v")
+        large = edges.join(near.hint("merge"), "u").select(F.col("m").alias("u"), "v")
         # small-star: u and its smaller neighbours are tied to the least of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low.select(C.dealt_anew("v"), "m"), "v").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v")).where("u < v").distinct().checkpoint()
-        # both are distinct, so an edge in one of them alone has a sum other than zero
-        moved = small.withColumn("side", F.lit(1)).unionByName(edges.withColumn("side", F.lit(-1))).groupBy("u", "v").agg(F.sum("side").alias("side")).where("side <> 0").limit(1).count()
+        small = large.join(low.select(C.dealt_anew("v"), "m").hint("merge"), "v").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v")).where("u < v").distinct().checkpoint()
+        now = told(small)
         edges = small
-        if not moved:
+        if now == before:
             return edges.groupBy("v").agg(F.min("u").alias("least")).withColumnRenamed("v", "node")
+        before = now
 
 
-def trie_links(nodes: DataFrame, budget: int) -> DataFrame:
-    """(u, v): links between the distinct fingerprints fp of nodes that differ in `budget` bits or fewer; of each task a spanning forest."""
+def trie_links(nodes: DataFrame, budget: int, name: str = "fp") -> DataFrame:
+    """(u, v): links between nodes, by `name`, whose distinct fingerprints fp differ in `budget` bits or fewer; of each task a spanning forest."""
     turned = F.array(*(F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})") if r else F.col("fp") for r in range(0, 64, BLOCK)))
-    keys = nodes.select(F.col("fp").alias("node"), F.posexplode(turned).alias("turn", "key"))
+    keys = nodes.select(F.col(name).alias("node"), F.posexplode(turned).alias("turn", "key"))
     parts = C.parallelism(nodes.sparkSession)
     placed = keys.repartition(parts, "turn", F.expr(f"shiftrightunsigned(key, {64 - BLOCK})")).select("turn", "key", "node").sortWithinPartitions("turn", "key")
     return placed.mapInArrow(_links_by_turn(budget), "u long, v long")
