@@ -227,17 +227,17 @@ _AT = {r[0]: i for i, r in enumerate(RAW)} | {"labeled": len(RAW) - 1}
 _MENTIONS = f"""{EV}, ue AS (SELECT user_id AS id, 'u' || user_id AS username, 'a' || id AS avatar_url, NULL AS html_url, NULL AS user_type, seq_num FROM ev UNION ALL SELECT 7, 'rel', NULL, NULL, NULL, seq_num FROM ev WHERE id % {len(RAW)} = {_AT["ReleaseEvent"]}
  UNION ALL SELECT 8, 'iss', NULL, 'w8', 'Bot', seq_num FROM ev WHERE id % {len(RAW)} = {_AT["labeled"]} UNION ALL SELECT 9, 'as1', NULL, NULL, NULL, seq_num FROM ev WHERE id % {len(RAW)} = {_AT["labeled"]}
  UNION ALL SELECT id, NULL, NULL, NULL, NULL, seq_num FROM ev WHERE id % {len(RAW)} = {_AT["MemberEvent"]})"""
-_add("user_mentions", lambda s, d: N.user_mentions(_typed(s, d)), f"{_MENTIONS} SELECT * FROM ue")
+_add("user_mentions", lambda s, d: N.user_mentions(X.sequenced(X.decode(raw_events(s, d)))), f"{_MENTIONS} SELECT * FROM ue")
 _REPO_NULLS = ", ".join(f"NULL AS {n}" for n in ("owner_id", "html_url", "homepage", "descr", "lang", "license", "is_fork", "is_archived", "fork_count", "issue_count"))
 _REPOS = f"""{EV}, re AS (SELECT repo_id AS id, 'r' || repo_id AS reponame, 'o' || user_id || '/r' || repo_id AS fullname, 'x y' AS topics, id AS star_count, seq_num, {_REPO_NULLS} FROM ev
  UNION ALL SELECT id, NULL, 'x/y', NULL, NULL, seq_num, {_REPO_NULLS} FROM ev WHERE id % {len(RAW)} = {_AT["ForkEvent"]})"""
-_add("repo_mentions", lambda s, d: N.repo_mentions(_typed(s, d)), f"{_REPOS} SELECT * FROM re")
+_add("repo_mentions", lambda s, d: N.repo_mentions(X.sequenced(X.decode(raw_events(s, d)))), f"{_REPOS} SELECT * FROM re")
 _add(
-    "users_merge", lambda s, d: V.merge_fields(V.with_versions(N.user_mentions(_typed(s, d)), ["username", "avatar_url"]), ["id"], ["username", "avatar_url"]),
+    "users_merge", lambda s, d: V.merge_fields(V.with_versions(N.user_mentions(X.sequenced(X.decode(raw_events(s, d)))), ["username", "avatar_url"]), ["id"], ["username", "avatar_url"]),
     f"{_MENTIONS} SELECT id, arg_max(username, seq_num) AS username, arg_max(avatar_url, seq_num) FILTER (WHERE avatar_url IS NOT NULL) AS avatar_url, coalesce(max(seq_num) FILTER (WHERE username IS NOT NULL), 0) AS username_seq_num, coalesce(max(seq_num) FILTER (WHERE avatar_url IS NOT NULL), 0) AS avatar_url_seq_num, max(seq_num) AS seq_num FROM ue GROUP BY id",
 )
 _add(
-    "repos_merge", lambda s, d: V.merge_fields(V.with_versions(N.repo_mentions(_typed(s, d)), ["reponame", "fullname", "star_count"]), ["id"], ["reponame", "fullname", "star_count"]).select("id", "reponame", "fullname", "star_count", "seq_num"),
+    "repos_merge", lambda s, d: V.merge_fields(V.with_versions(N.repo_mentions(X.sequenced(X.decode(raw_events(s, d)))), ["reponame", "fullname", "star_count"]), ["id"], ["reponame", "fullname", "star_count"]).select("id", "reponame", "fullname", "star_count", "seq_num"),
     f"{_REPOS} SELECT id, arg_max(reponame, seq_num) FILTER (WHERE reponame IS NOT NULL) AS reponame, arg_max(fullname, seq_num) AS fullname, arg_max(star_count, seq_num) FILTER (WHERE star_count IS NOT NULL) AS star_count, max(seq_num) AS seq_num FROM re GROUP BY id",
 )
 _add("row_merge", lambda s, d: V.merge_rows(_ev(s, d).select("user_id", "repo_id", "kind", "seq_num"), ["user_id"]), f"{EV} SELECT user_id, arg_max(repo_id, seq_num) AS repo_id, arg_max(kind, seq_num) AS kind, max(seq_num) AS seq_num FROM ev GROUP BY user_id")

@@ -113,6 +113,13 @@ def typed(decoded: DataFrame, archive_seq: str = "created") -> DataFrame:
     )
 
 
+def sequenced(decoded: DataFrame, archive_seq: str = "created") -> DataFrame:
+    """event and seq_num, as typed() has them: all that mentions need, read straight from the event."""
+    v = F.col("event")
+    own = F.unix_micros(F.to_timestamp(J.text(v, "$.created_at"))) if archive_seq == "created" else F.lit(0).cast("long")
+    return decoded.where(v.isNotNull()).select("event", F.when(J.has(v, "$.seq_num"), J.number(v, "$.seq_num")).otherwise(own).alias("seq_num"))
+
+
 def detailed(events: DataFrame, strict: bool = True) -> DataFrame:
     """The events table: typed events with details."""
     rows = E.with_parts(events)
