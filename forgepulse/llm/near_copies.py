@@ -237,10 +237,10 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     drawn_pairs = many.join(pivots, "key").where((F.col("sig") != F.col("p.sig")) & with_drawn).select(F.least("sig", "p.sig").alias("u"), F.greatest("sig", "p.sig").alias("v")).distinct().checkpoint()
     links = verified(same.union(near).union(sharing).union(drawn_pairs))
     # members of keys whose sets are not all in one component yet
-    least = components(links).checkpoint()
+    least = components(links)
     named = members.select("key", "sig", "n", "left", "pivot").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "left", "pivot", F.coalesce("least", "sig").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b AND c > 2").select("key")
-    named = named.join(mixed, "key", "left_semi")
+    named = named.join(mixed, "key", "left_semi").checkpoint()
     x, y = (named.select("key", "pivot" if s == "u" else F.lit(0).alias("_"), *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "left", "label"))) for s in "uv")
     apart_still = (F.col("label_u") < F.col("label_v")) & (F.col("sig_u") != F.col("pivot")) & (F.col("sig_v") != F.col("pivot"))
     more = x.join(y, "key").where(apart_still & fits(F.col("n_u"), F.col("n_v")) & may_be(F.col("n_u"), F.col("left_u"), F.col("n_v"), F.col("left_v")))

@@ -8,6 +8,7 @@ A task keeps a spanning forest of its links; forests meet in rounds of large-sta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,16 +146,22 @@ def _links(budget: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, least): the least node that each linked node reaches.  Large-star and small-star rounds, each checkpointed, until nothing moves.
+    """(node, least): the least node that each linked node reaches.  Large-star and small-star rounds until nothing moves; after prepare().
 
-    Joins are by sort and merge of two sides dealt out for it, so that AQE may split a hub, and nothing is built in the driver.
+    Joins are by sort and merge of two sides dealt out for it, so that AQE may split a hub, and nothing is built in the driver.  Each round is a
+    table in the shared folder, which is gone at the end: a checkpoint would hand the optimizer what it knew of all rounds before.
     """
-    def told(rows: DataFrame):
-        """What tells one set of edges from another."""
-        return rows.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first()
+    spark = edges.sparkSession
+    folder = f"{C.shared_folder(spark)}/components-{uuid.uuid4().hex}"
 
-    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct().checkpoint()
-    before = told(edges)
+    def kept(rows: DataFrame, turn: int):
+        """The rows as a table, and what tells one set of edges from another."""
+        rows.write.parquet(f"{folder}/{turn}")
+        rows = spark.read.schema(rows.schema).parquet(f"{folder}/{turn}")
+        return rows, rows.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first()
+
+    turn = 0
+    edges, before = kept(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), turn)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(C.dealt_anew("u"), "m")
@@ -162,11 +169,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = edges.join(near.hint("merge"), "u").select(F.col("m").alias("u"), "v")
         # small-star: u and its smaller neighbours are tied to the least of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low.select(C.dealt_anew("v"), "m").hint("merge"), "v").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v")).where("u < v").distinct().checkpoint()
-        now = told(small)
-        edges = small
+        small = large.join(low.select(C.dealt_anew("v"), "m").hint("merge"), "v").select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(low.select(F.col("m").alias("u"), "v"))
+        edges, now = kept(small.where("u < v").distinct(), turn + 1)
+        C.delete(spark, f"{folder}/{turn}")
+        turn += 1
         if now == before:
-            return edges.groupBy("v").agg(F.min("u").alias("least")).withColumnRenamed("v", "node")
+            out = edges.groupBy("v").agg(F.min("u").alias("least")).withColumnRenamed("v", "node").checkpoint()
+            C.delete(spark, folder)
+            return out
         before = now
 
 
