@@ -123,11 +123,13 @@ class IndexFamily:
         self.folder = f"{C.shared_folder(spark)}/suffix-arrays-{uuid.uuid4().hex}"
         self.levels: dict[int, str] = {}
         self.made = 0
+        self.names: list[str] = []
 
     def write(self, rows: DataFrame, folder: str, order: str) -> str:
         """A table of rows that come with those of a bucket together, in a folder for each value of a column."""
         name = f"arrays_{self.folder[-32:]}_{self.made}"
         self.made += 1
+        self.names.append(name)
         writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}")
         writer.partitionBy(folder).bucketBy(self.parts, "bucket").sortBy("bucket", order).saveAsTable(name)
         return name
@@ -136,6 +138,12 @@ class IndexFamily:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         C.delete(self.spark, f"{self.folder}/{name}")
 
+    def close(self) -> None:
+        """Drops all tables and the folder; nothing may be read of them any more."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        C.delete(self.spark, self.folder)
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes a batch (as ROW) in; gives the chunks, new or old, with windows that a new one shares: akey, second, anchor, places, runs."""
         carried = []
@@ -211,4 +219,6 @@ def suffix_array_dedup(df: DataFrame, window: int = 400, gram: int = 32, most: i
         matches = got if matches is None else matches.unionByName(got)
     family.drop(arriving)
     told = matches.select("akey", "second", "anchor", F.col("runs").alias("verdict"), F.explode("places").alias("place"))
-    return steps.apply(told.select("place.slab", "akey", "second", "anchor", "verdict"), _apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    told = told.select("place.slab", "akey", "second", "anchor", "verdict").checkpoint()
+    family.close()
+    return steps.apply(told, _apply(spec), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")

@@ -73,3 +73,15 @@ def test_empty(spark):
     assert suffix_array_dedup(empty(spark)).count() == 0
 
 
+
+
+def test_nothing_is_left_of_the_index(spark, small):
+    """Level tables and their folder go before the rows are read."""
+    import os
+
+    from forgepulse.llm import common as C
+
+    rows = suffix_array_dedup(real(spark, small))
+    folder = C.shared_folder(spark).removeprefix("file:")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("arrays_")]
+    assert not [n for n in os.listdir(folder) if n.startswith("suffix-arrays-")] and rows.count() > 0
