@@ -23,9 +23,9 @@ def changes(spark, updates):
 @pytest.mark.parametrize(
     ("updates", "rows"),
     [
-        ([("A", 150)], [("A", 150, 0, 0, 1, None, None, None)]),
-        ([("B", 0)], []),
-        ([("A", 150), ("B", 200), ("A", 250)], [("A", 150, 0, 0, 1, None, None, None), ("B", 200, 0, 0, 1, None, None, None), ("A", 250, 0, 0, 1, 1, 1, 2)]),
+        ([("m", 7)], [("m", 7, 0, 0, 1, None, None, None)]),
+        ([("n", 0)], []),
+        ([("m", 7), ("n", 12), ("k", 12), ("m", 13)], [("m", 7, 0, 0, 1, None, None, None), ("n", 12, 0, 0, 1, None, None, None), ("k", 12, 0, 0, 2, None, None, None), ("m", 13, 0, 0, 1, 2, 2, 3)]),
         ([("A", 5), ("B", 5), ("A", 0), ("B", 5)], [("A", 5, 0, 0, 1, None, None, None), ("B", 5, 1, 0, 2, None, None, None), ("A", 0, None, None, None, 0, 0, 2), ("B", 5, 0, 0, 1, 0, 0, 1)]),
     ],
 )
