@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries as BASE
+from .operators import entities as N
 from .operators import history as H
 from .operators import ranking as R
 from .operators import sliding as S
@@ -198,11 +199,26 @@ def stream_updates(s: SparkSession, d: str) -> DataFrame:
 _add("stream_updates", stream_updates, f"{EV} SELECT user_id, kind, seq_num FROM (SELECT user_id, kind, seq_num, lag(kind) OVER (PARTITION BY user_id ORDER BY seq_num) AS p FROM ev) WHERE p IS DISTINCT FROM kind")
 
 
+def _archived(s: SparkSession, d: str, folder: str) -> DataFrame:
+    """Raw events as hourly archives, scanned back over all hours from the first to the last."""
+    X.write_archive(raw_events(s, d), f"{folder}/archive")
+    first, last = _ev(s, d).agg(F.min("created_at"), F.max("created_at")).first()
+    return X.archive(s, f"{folder}/archive", first, last, missing_ok=True)
+
+
+def archive_scan(s: SparkSession, d: str) -> DataFrame:
+    rows = X.typed(X.decode(_archived(s, d, scratch(s))))
+    return rows.select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "kind", "user_id", "repo_id", "seq_num")
+
+
+_add("archive_scan", archive_scan, BASE._sql["kind_classify"])
+
+
 def archive_backfill(s: SparkSession, d: str) -> DataFrame:
-    """The batch job over raw events: what it stored of the four histories."""
+    """The batch job over hourly archives: what it stored of the four histories."""
     folder = scratch(s)
     store = T.Store(s, folder)
-    L.backfill(raw_events(s, d), store)
+    L.backfill(_archived(s, d, folder), store)
     out = None
     for name, (key, metric, _, _) in BASE.ENTITIES.items():
         rows = store.read(f"{name}_history").select(F.lit(name).alias("history"), F.col(key).cast("string").alias("key"), F.col("ts_start").cast("timestamp_ntz").alias("ts_start"), F.col(metric).alias("n"))
@@ -210,6 +226,26 @@ def archive_backfill(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def archive_entities(s: SparkSession, d: str) -> DataFrame:
+    """The batch job over raw events: the users and repositories that it stored, field by field."""
+    store = T.Store(s, scratch(s))
+    L.backfill_entities(L.archived_events(raw_events(s, d)), store)
+    out = None
+    for name, fields in (("users", N.USER_FIELDS), ("repos", N.REPO_FIELDS)):
+        told = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.col(f"{f}_seq_num").alias("seq_num")) for f in fields)))
+        rows = store.read(name).select(F.lit(name).alias("entity"), "id", told.alias("t")).select("entity", "id", "t.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _stored_sql(entity: str, merged: str, fields: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{entity}' AS entity, id, '{f}' AS field, CAST({f} AS VARCHAR) AS value, CAST({f}_seq_num AS BIGINT) AS seq_num FROM ({merged})" for f in fields)
+
+
+_add(
+    "archive_entities", archive_entities,
+    f"SELECT * FROM ({BASE._MENTIONS} {_stored_sql('users', BASE._merged_sql('ue', N.USER_FIELDS), N.USER_FIELDS)}) UNION ALL SELECT * FROM ({BASE._REPOS} {_stored_sql('repos', BASE._merged_sql('re', N.REPO_FIELDS), N.REPO_FIELDS)})",
+)
 _EACH = {"counts": ("kind", "(SELECT * FROM k UNION ALL SELECT created_at, 'all', user_id, repo_id FROM k)"), "users": ("user_id", "k"), "repos": ("repo_id", "k"), "stars": ("repo_id", "(SELECT * FROM k WHERE kind = 'watch')")}
 _add(
     "archive_backfill", archive_backfill,

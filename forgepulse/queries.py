@@ -232,14 +232,19 @@ _REPO_NULLS = ", ".join(f"NULL AS {n}" for n in ("owner_id", "html_url", "homepa
 _REPOS = f"""{EV}, re AS (SELECT repo_id AS id, 'r' || repo_id AS reponame, 'o' || user_id || '/r' || repo_id AS fullname, 'x y' AS topics, id AS star_count, seq_num, {_REPO_NULLS} FROM ev
  UNION ALL SELECT id, NULL, 'x/y', NULL, NULL, seq_num, {_REPO_NULLS} FROM ev WHERE id % {len(RAW)} = {_AT["ForkEvent"]})"""
 _add("repo_mentions", lambda s, d: N.repo_mentions(X.sequenced(X.decode(raw_events(s, d)))), f"{_REPOS} SELECT * FROM re")
-_add(
-    "users_merge", lambda s, d: V.merge_fields(V.with_versions(N.user_mentions(X.sequenced(X.decode(raw_events(s, d)))), ["username", "avatar_url"]), ["id"], ["username", "avatar_url"]),
-    f"{_MENTIONS} SELECT id, arg_max(username, seq_num) AS username, arg_max(avatar_url, seq_num) FILTER (WHERE avatar_url IS NOT NULL) AS avatar_url, coalesce(max(seq_num) FILTER (WHERE username IS NOT NULL), 0) AS username_seq_num, coalesce(max(seq_num) FILTER (WHERE avatar_url IS NOT NULL), 0) AS avatar_url_seq_num, max(seq_num) AS seq_num FROM ue GROUP BY id",
-)
-_add(
-    "repos_merge", lambda s, d: V.merge_fields(V.with_versions(N.repo_mentions(X.sequenced(X.decode(raw_events(s, d)))), ["reponame", "fullname", "star_count"]), ["id"], ["reponame", "fullname", "star_count"]).select("id", "reponame", "fullname", "star_count", "seq_num"),
-    f"{_REPOS} SELECT id, arg_max(reponame, seq_num) FILTER (WHERE reponame IS NOT NULL) AS reponame, arg_max(fullname, seq_num) AS fullname, arg_max(star_count, seq_num) FILTER (WHERE star_count IS NOT NULL) AS star_count, max(seq_num) AS seq_num FROM re GROUP BY id",
-)
+
+
+def _merged(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    return V.merge_fields(V.with_versions(rows, list(fields)), ["id"], list(fields))
+
+
+def _merged_sql(rows: str, fields: tuple[str, ...]) -> str:
+    last = [f"arg_max({f}, seq_num) FILTER (WHERE {f} IS NOT NULL) AS {f}, coalesce(max(seq_num) FILTER (WHERE {f} IS NOT NULL), 0) AS {f}_seq_num" for f in fields]
+    return f"SELECT id, {', '.join(last)}, max(seq_num) AS seq_num FROM {rows} GROUP BY id"
+
+
+_add("users_merge", lambda s, d: _merged(N.user_mentions(X.sequenced(X.decode(raw_events(s, d)))), N.USER_FIELDS), f"{_MENTIONS} {_merged_sql('ue', N.USER_FIELDS)}")
+_add("repos_merge", lambda s, d: _merged(N.repo_mentions(X.sequenced(X.decode(raw_events(s, d)))), N.REPO_FIELDS), f"{_REPOS} {_merged_sql('re', N.REPO_FIELDS)}")
 _add("row_merge", lambda s, d: V.merge_rows(_ev(s, d).select("user_id", "repo_id", "kind", "seq_num"), ["user_id"]), f"{EV} SELECT user_id, arg_max(repo_id, seq_num) AS repo_id, arg_max(kind, seq_num) AS kind, max(seq_num) AS seq_num FROM ev GROUP BY user_id")
 _add(
     "update_filter", lambda s, d: V.drop_redundant(_ev(s, d).select("user_id", "kind", "seq_num"), ["user_id"], ["kind"], ignore_version=True),
@@ -311,6 +316,7 @@ _add(
     f"{EV} SELECT time_bucket(INTERVAL 300 SECOND, created_at, TIMESTAMP '1970-01-01') AS ts_start, {', '.join(f'count(*) FILTER (WHERE kind = {chr(39)}{k}{chr(39)}) AS {chr(34)}{k}{chr(34)}' for k in _PIVOT)}, count(*) AS y FROM ev GROUP BY 1",
 )
 _add("proportions", lambda s, d: H.proportions(_live("counts")(s, d), "24h"), f"{EV}, l AS (SELECT * FROM ({_live_sql('counts')}) WHERE window_size = '24h' AND kind <> 'all') SELECT kind, num_events, num_events / (SELECT sum(num_events) FROM l) AS share FROM l")
+_add("proportions_hour", lambda s, d: H.proportions(_live("counts")(s, d), "1h"), _sql["proportions"].replace("'24h' AND", "'1h' AND"))
 _add("latest_time", lambda s, d: H.latest(H.tumbling(_ev(s, d), "kind")), f"{EV} SELECT max(time_bucket(INTERVAL 300 SECOND, created_at, TIMESTAMP '1970-01-01')) AS ts_start FROM ev")
 
 

@@ -56,19 +56,38 @@ def archive_paths(base: str, start: datetime, end: datetime) -> list[str]:
     return out
 
 
-def archive(spark: SparkSession, base: str, start: datetime, end: datetime, missing_ok: bool = False) -> DataFrame:
-    """Raw events of hourly archives.  A gzip file is one task, so rows are dealt out again after the scan."""
+def archive_hours(spark: SparkSession, base: str, start: datetime, end: datetime) -> tuple[list[str], list[str]]:
+    """The archive paths that are there and those that are missing, by one listing of the folder."""
     paths = archive_paths(base, start, end)
-    if missing_ok:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        there = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))
-        paths = [p for p in paths if there(p)]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {x.getPath().getName() for x in fs.listStatus(folder)} if fs.exists(folder) else set()
+    found = [p for p in paths if p.rsplit("/", 1)[1] in there]
+    return found, [p for p in paths if p.rsplit("/", 1)[1] not in there]
+
+
+def archive(spark: SparkSession, base: str, start: datetime, end: datetime, missing_ok: bool = False) -> DataFrame:
+    """Raw events of hourly archives; an hour may be a file or a folder of parts.  A gzip file is one task, so rows are dealt out again after the scan."""
+    paths = archive_hours(spark, base, start, end)[0] if missing_ok else archive_paths(base, start, end)
     if not paths:
         return spark.createDataFrame([], "raw string")
     return spark.read.text(paths).select(F.col("value").alias("raw")).repartition(spark.sparkContext.defaultParallelism * 4)
 
 
+def write_archive(raw: DataFrame, base: str) -> None:
+    """Raw events as hourly archives, each a folder of gzip parts under the hour's archive name; rows without created_at have no hour and aren't written."""
+    spark = raw.sparkSession
+    at = F.to_timestamp(J.text(J.parse("raw"), "$.created_at"))
+    rows = raw.select(F.col("raw").alias("value"), F.concat(F.date_format(at, "yyyy-MM-dd-"), F.hour(at), F.lit(".json.gz")).alias("hour")).where("hour IS NOT NULL")
+    rows.hint("rebalance", "hour").write.partitionBy("hour").option("compression", "gzip").text(f"{base}/parts")
+    parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/parts")
+    fs = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in fs.listStatus(parts):  # one rename an hour
+        name = x.getPath().getName()
+        if name.startswith("hour="):
+            fs.rename(x.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name[5:]}"))
+
+
 def pages(spark: SparkSession, path: str, base_seq: int = 0) -> DataFrame:
     """Raw events of page files, newest first in each file `<poll>-<page>.json` (an array a line): oldest first, each id once, numbered.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -495,15 +496,27 @@ def live_tables(store: Store, as_of=None, publish=None, only: tuple[str, ...] =
     return write
 
 
-def backfill(raw: DataFrame, store: Store) -> None:
-    """The batch job over an archive: users, repositories and the four coarse histories, by the functions of the live jobs."""
-    from ..operators import entities as N
+def archived_events(raw: DataFrame) -> DataFrame:
+    """Typed events of an archive, each id once; event is text."""
     from ..operators.versioning import dedup
 
-    events = E.typed(E.decode(raw))
-    once = dedup(events.withColumn("event", F.to_json("event")))
-    store.upsert(N.user_mentions(once.withColumn("event", F.parse_json("event"))), TABLES["users"])
-    store.upsert(N.repo_mentions(once.withColumn("event", F.parse_json("event"))), TABLES["repos"])
+    return dedup(E.typed(E.decode(raw)).withColumn("event", F.to_json("event")))
+
+
+def backfill_entities(once: DataFrame, store: Store) -> None:
+    """Users and repositories of archived events."""
+    from ..operators import entities as N
+
+    once = once.withColumn("event", F.parse_json("event"))
+    store.upsert(N.user_mentions(once), TABLES["users"])
+    store.upsert(N.repo_mentions(once), TABLES["repos"])
+
+
+def backfill(raw: DataFrame, store: Store) -> None:
+    """The batch job over an archive: users, repositories and the four coarse histories, by the functions of the live jobs."""
+    once = archived_events(raw).persist(StorageLevel.DISK_ONLY)  # the archive is read and parsed once for all six tables
+    backfill_entities(once, store)
     for name, key, metric in (("counts", "kind", "num_events"), ("users", "user_id", "num_events"), ("repos", "repo_id", "num_events"), ("stars", "repo_id", "num_stars")):
         rows = H.tumbling(H.stars(once) if name == "stars" else once, key, 300, metric)
         store.upsert(rows.withColumn("seq_num", F.unix_micros("ts_end")), TABLES[f"{name}_history"])
+    once.unpersist()
