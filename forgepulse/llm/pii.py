@@ -1,9 +1,9 @@
 """Operator 8: personal data by candidate gradient boosting, with DataFrame functions and MLlib only.
 
 Generators of high recall propose spans that may overlap: the base patterns (whatever their checks say) and loose
-forms.  What passes a base check stays.  Boosted trees, fitted on a bounded sample of the candidates with base spans as the
-positive class and the others as unlabelled, score the loose forms by format and context; a threshold for each kind, calibrated
-on all base spans, selects what is added.
+forms.  What passes a base check stays.  Boosted trees, fitted on labelled phrases in which one form stands in telling and in other
+contexts, score the loose forms; a threshold for each kind, calibrated on phrases that the trees haven't seen, selects what is
+added; of what overlaps one span stays.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -27,7 +27,7 @@ BASE = (
 )
 #: Loose generators: obfuscated addresses, telephone numbers without a country, card numbers in other groupings, account numbers.
 LOOSE = (
-    ("email_like", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\[dot\]|\(dot\)|\{dot\}|\.)\x20?[A-Za-z0-9-]{2,24}){1,5}"),
+    ("email_like", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\.)[A-Za-z0-9-]++)++"),
     ("card_like", r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
     ("phone_like", r"(?<![0-9A-Za-z+])(?<!\+[0-9]{1,3}[\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
     ("id_like", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
@@ -35,7 +35,17 @@ LOOSE = (
 KINDS = [k for k, _ in (*BASE, *LOOSE)]
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "phone": "[+]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "email_like": r"[\[({]at[\])}]", "card_like": "[0-9]{4}[./_][0-9]{4}", "phone_like": "[0-9]{3}[ .-][0-9]{4}", "id_like": "-[0-9]{2}-"}
-CONTEXT = ("mail|contact|write|kontakt|correo|adresse", "phone|tel|call|fax|mobile|whatsapp", "card|visa|credit|pay|iban|account", "host|server|addr|ping|ip", "ssn|social|passport|id")
+CONTEXT = ("mail|contact|write|kontakt|correo|adresse", "phone|telephone|tel|call|fax|mobile|whatsapp", "card|visa|credit|pay|iban|account", "host|server|addr|ping|ip", "ssn|social|passport|id")
+#: Words that may stand between a telling word and what it tells of.
+BETWEEN = "security|number|no|nr|is|was|me|us|him|her|them|at|on|my|our|the"
+#: Labelled phrases: words before a form that make a telephone or account number of it, words that don't, and forms.  A loose address is one anywhere, a card number by its checksum.
+TELLING = {"phone_like": ("call", "phone:", "tel.", "fax", "mobile", "whatsapp", "my phone number is", "call me at", "mobile no"), "id_like": ("ssn", "social security number", "passport", "id", "ssn:", "her passport no", "social security number is")}
+OTHER = ("part", "order", "invoice", "batch", "serial", "model", "ref", "see", "", "lot number", "item no", "the figure was", "section", "release")
+FORMS = {
+    "phone_like": ("(212) 555-0187", "415-555-0132", "303 555 0164"), "id_like": ("123-45-6789", "987-65-4321", "301-22-7788"),
+    "email_like": ("anna [at] mail [dot] example [dot] org", "bob(at)corp.net", "x.y {at} site {dot} io"),
+    "card_like": ("4111.1111.1111.1111", "5500_0000_0000_0004", "4012/8888/8888/1881", "4111.1111.1111.1112", "5500_0000_0000_0014", "4012/8888/8888/1888"),
+}
 FEATURES = ["length", "digits", "separators", "letters", "dots", "plus", "at", "groups", "checksum", "before_space", "after_space", "kind_number", *(f"context_{i}" for i in range(len(CONTEXT)))]
 
 
@@ -88,26 +98,33 @@ def candidates(df: DataFrame) -> DataFrame:
         "groups": count("[0-9A-Za-z]+"), "before_space": F.col("before").rlike(r"(^|\s)$").cast("double"), "after_space": F.col("after").rlike(r"^($|[\s.,;:!?])").cast("double"),
         # a loose form has the number of the kind that it stands for
         "kind_number": F.element_at(F.create_map(*(F.lit(x) for k in KINDS for x in (k, place.get(k.removesuffix("_like"), 4.0)))), F.col("kind")),
-    } | {f"context_{i}": F.lower("before").rlike(f"({p})[^a-z]*$").cast("double") for i, p in enumerate(CONTEXT)}
+    } | {f"context_{i}": F.lower("before").rlike(f"(^|[^a-z])({p})(s|ed|ing)?[^a-z]*(({BETWEEN})[^a-z]+)*$").cast("double") for i, p in enumerate(CONTEXT)}
     return rows.select("row", "doc_id", "kind", "start", "end", "match", base_ok(F.col("kind"), F.col("match"), F.col("digit_text")).alias("ok"), *(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in feature.items()))
 
 
-def fit(found: DataFrame, sample: int = 4000, recall: float = 0.9, floor: float = 0.5):
-    """(model, thresholds by loose kind): trees from at most `sample` candidates of the base patterns, drawn by a hash of what they are; None where one class is missing.
+def labelled(spark: SparkSession) -> DataFrame:
+    """The phrases as doc_id, text; an odd doc_id is personal data."""
+    rows = []
+    for kind, forms in FORMS.items():
+        told = TELLING.get(kind, ())
+        for lead in (*told, *OTHER):
+            for k, form in enumerate(forms):
+                personal = lead in told or kind == "email_like" or kind == "card_like" and k < 3
+                rows.append((2 * len(rows) + personal, f"{lead} {form} now".strip()))
+    return spark.createDataFrame(rows, "doc_id long, text string")
 
-    A loose kind's threshold is the score that `recall` of all base spans of the kind it stands for reach, `floor` at least; `floor` where there are none.
+
+def fit(spark: SparkSession, recall: float = 0.9, floor: float = 0.5):
+    """(model, thresholds by loose kind): trees from every other labelled phrase.
+
+    A kind's threshold is the score that `recall` of its personal spans among the other phrases reach, `floor` at least.
     """
-    draw = F.xxhash64("doc_id", "kind", "start", "match")
-    base = found.where(F.col("kind").isin([k for k, _ in BASE]) & ((F.col("kind") != "card") | (F.col("digits") >= 5)))
-    rows = base.select(F.col("ok").cast("double").alias("label"), draw.alias("draw"), *FEATURES)
-    rows = rows.orderBy("draw").limit(sample).coalesce(1).checkpoint()
-    seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if min(seen.get(0.0, 0), seen.get(1.0, 0)) < 5:
-        return None
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=3, stepSize=0.3, seed=7, maxBins=32).fit(_vectors(rows))
-    low = score(model, base.where("ok").select("kind", *FEATURES)).groupBy("kind").agg(F.percentile_approx("score", 1 - recall, 10_000).alias("low"))
+    found = candidates(labelled(spark)).where(F.col("kind").isin([k for k, _ in LOOSE]))
+    rows = found.select((F.col("doc_id") % 2).cast("double").alias("label"), (F.floor(F.col("doc_id") / 2) % 2).alias("fold"), "kind", *FEATURES).coalesce(1).checkpoint()
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(_vectors(rows.where("fold = 0")))
+    low = score(model, rows.where("fold = 1 AND label = 1")).groupBy("kind").agg(F.percentile_approx("score", 1 - recall, 10_000).alias("low"))
     lows = {r["kind"]: r["low"] for r in low.collect()}
-    return model, {k: max(floor, lows.get(k.removesuffix("_like"), floor)) for k, _ in LOOSE}
+    return model, {k: max(floor, lows[k]) for k, _ in LOOSE}
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -119,30 +136,38 @@ def score(model, rows: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def pii_spans(df: DataFrame, sample: int = 4000) -> DataFrame:
+def selected(rows: DataFrame) -> DataFrame:
+    """Of loose spans (cand) that overlap no base span (ok), the best of each chain of overlapping ones; rows: row, doc_id, kind, start, end, score, ok, cand."""
+    doc = Window.partitionBy("row", "doc_id")
+    base_end = F.max(F.when(F.col("ok"), F.col("end"))).over(doc.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    base_start = F.min(F.when(F.col("ok"), F.col("start"))).over(doc.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1))
+    free = F.col("cand") & (F.coalesce(base_end, F.lit(0)) <= F.col("start")) & (F.coalesce(base_start, F.col("end")) >= F.col("end"))
+    rows = rows.withColumn("cand", free)
+    order = doc.orderBy("start", "end", "kind")
+    reach = F.max(F.when(F.col("cand"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("opens", F.col("cand") & (F.coalesce(reach, F.lit(0)) <= F.col("start")))
+    rows = rows.withColumn("chain", F.count_if("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.row_number().over(Window.partitionBy("row", "doc_id", "chain", "cand").orderBy(F.desc("score"), "start", "kind"))
+    return rows.withColumn("taken", F.col("ok") | (F.col("cand") & (best == 1)))
+
+
+def pii_spans(df: DataFrame) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Spans are kind:start:end in code points, end exclusive, by kind as listed in KINDS, then start; base spans always stay.  Null and
+    Spans are kind:start:end in code points, end exclusive, by kind as listed in KINDS, then start; base spans always stay, loose ones where they
+    overlap none of them; of loose spans that overlap one another the best scored stays.  Null and
     empty texts have none; equal rows each get a row; an empty table gives an empty one; other columns are ignored.
-    `sample` bounds the candidates on which the trees are fitted; everything else covers all rows.  Where there are too few
-    candidates of a class to fit trees, loose addresses and card numbers are added by their form, and loose telephone
-    and account numbers where a word for such a number stands before them.
+    The trees are fitted on the labelled phrases of this module, so a text's spans are the same in every table.
     """
     C.prepare(df.sparkSession)
-    found = candidates(df).checkpoint()
-    fitted = fit(found, sample)
-    rows = found.select("row", "doc_id", "kind", "start", "end", "ok", *FEATURES)
-    if fitted is None:
-        add = F.when(F.col("kind") == "phone_like", F.col("context_1") == 1).when(F.col("kind") == "id_like", F.col("context_4") == 1).otherwise(True)
-    else:
-        model, thresholds = fitted
-        rows = score(model, rows)
-        add = F.col("score") >= F.element_at(F.create_map(*(F.lit(x) for kt in thresholds.items() for x in kt)), F.col("kind"))
-    # a base form that fails its check stays out; a loose card number must pass the card's checksum
+    model, thresholds = fit(df.sparkSession)
+    rows = score(model, candidates(df).select("row", "doc_id", "kind", "start", "end", "ok", *FEATURES))
+    add = F.col("score") >= F.element_at(F.create_map(*(F.lit(x) for kt in thresholds.items() for x in kt)), F.col("kind"))
+    # a loose card number must pass the card's checksum
     loose = F.col("kind").isin([k for k, _ in LOOSE]) & ((F.col("kind") != "card_like") | (F.col("checksum") == 1))
-    taken = F.col("ok") | (loose & add)
+    rows = selected(rows.select("row", "doc_id", "kind", "start", "end", "ok", "score", F.coalesce(loose & add, F.lit(False)).alias("cand")))
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     told = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct(place.alias("k"), "start", "end", "kind")))), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.count_if(F.col("ok") & (F.col("kind") == kind)).alias(f"n_{kind}")
-    out = rows.groupBy("row", "doc_id").agg(*(count(k) for k, _ in BASE), F.sha2(told(F.col("ok")), 256).alias("base_sha256"), told(taken).alias("spans"))
+    out = rows.groupBy("row", "doc_id").agg(*(count(k) for k, _ in BASE), F.sha2(told(F.col("ok")), 256).alias("base_sha256"), told(F.col("taken")).alias("spans"))
     return out.drop("row")

@@ -84,3 +84,31 @@ def test_loose_forms_without_a_failing_class(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii_spans(df).collect()}
     assert got == {0: "email_like:9:48", 1: "phone_like:5:19", 2: "", 3: "card_like:4:23", 4: "id_like:4:15", 5: ""}
+
+
+def test_loose_forms_in_phrases_of_their_own(spark):
+    """Recall and false spans by kind, over phrases and numbers that the labelled ones don't hold."""
+    people = [(f"you can call {n}, ask for Ann", "phone_like") for n in ("(617) 555-0143", "503-555-0199", "720 555 0121", "(808)555-0102")]
+    people += [(f"Telephone: {n}.", "phone_like") for n in ("617.555.0143", "212 555-0175")] + [("WhatsApp us on 917-555-0166 today", "phone_like")]
+    people += [(f"{w} 219-09-9999 was used", "id_like") for w in ("SSN", "his social security number", "Passport no.")]
+    people += [(f"{w} {a} please", "email_like") for w in ("ask", "write to", "by") for a in ("joe (at) some-firm (dot) com", f"{'n' * 90}[at]host.example.net", "m.k{at}a.b.c.d.e.f.g.h")]
+    people += [("use 3782.8224.6310.0050 or so", None), ("paid with 4242/4242/4242/4242", "card_like"), ("number 6011_1111_1111_1117", "card_like")]
+    others = ["drawing 617-555-0143 rev B", "catalogue (503) 555-0199 page", "bolt 219-09-9999 M4", "sku 720 555 0121 in stock", "meet [at] noon", "build 1234.5678.9012.3456", "chapter 303-55-6789"]
+    df = spark.createDataFrame(list(enumerate([t for t, _ in people] + others)), "doc_id long, text string")
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in pii_spans(df).collect()}
+    for i, (text, kind) in enumerate(people):
+        assert got[i] == ([kind] if kind else []), text
+    for i, text in enumerate(others):
+        assert got[len(people) + i] == [], text
+
+
+def test_of_overlapping_spans_one_stays(spark):
+    from forgepulse.llm.pii import selected
+
+    rows = [  # kind, start, end, score, ok, cand: a base span, loose ones over its edges and inside, beside it, and a chain of two
+        ("phone", 10, 20, 0.1, True, False), ("phone_like", 5, 11, 0.9, False, True), ("id_like", 19, 25, 0.9, False, True), ("card_like", 12, 14, 0.9, False, True), ("card_like", 8, 30, 0.9, False, True),
+        ("phone_like", 5, 10, 0.9, False, True), ("id_like", 20, 22, 0.9, False, True), ("phone_like", 40, 50, 0.6, False, True), ("id_like", 45, 55, 0.8, False, True), ("id_like", 60, 61, 0.5, False, False), ("ip", 12, 18, 0.1, True, False),
+    ]
+    df = spark.createDataFrame([(1, 1, *r) for r in rows], "row long, doc_id long, kind string, start long, end long, score double, ok boolean, cand boolean")
+    taken = {(r.kind, r.start, r.end) for r in selected(df).where("taken").collect()}
+    assert taken == {("phone", 10, 20), ("ip", 12, 18), ("phone_like", 5, 10), ("id_like", 20, 22), ("id_like", 45, 55)}
