@@ -24,3 +24,8 @@ def test_the_log_of_a_ranking_sends_nothing_to_all(spark):
     assert sent(log) == []
     state = R.RankingState.of(log.limit(0), "repo_id", "num_stars").after(updates(spark), "num_stars")
     assert sent(R.exact_changes(updates(spark, 2000), "repo_id", "num_stars", state=state)) == []
+
+
+def test_the_check_of_a_log_sends_nothing_to_all(spark):
+    log = R.exact_changes(updates(spark), "repo_id", "num_stars").checkpoint()
+    assert sent(R.broken(log, "repo_id", "num_stars")) == []
