@@ -29,3 +29,8 @@ def test_the_log_of_a_ranking_sends_nothing_to_all(spark):
 def test_the_check_of_a_log_sends_nothing_to_all(spark):
     log = R.exact_changes(updates(spark), "repo_id", "num_stars").checkpoint()
     assert sent(R.broken(log, "repo_id", "num_stars")) == []
+
+
+def test_a_replay_sends_no_tie_groups_to_all(spark):
+    log = R.exact_changes(updates(spark), "repo_id", "num_stars").checkpoint()
+    assert sent(R.replay(log, "repo_id", "num_stars")) == []
