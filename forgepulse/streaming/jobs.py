@@ -32,53 +32,69 @@ def deduplicated(stream: DataFrame, delay: str = "30 minutes") -> DataFrame:
 
 
 class Seen(StatefulProcessor):
-    """Rows of an id not seen before, or not for `ms` of the stream's time; each sight, of a repeat too, starts that time anew.
+    """Rows of ids not seen before, or not for `ms` of the stream's time; each sight, of a repeat too, starts that time anew.
 
-    A repeat has the time of its first event, so the time of a sight is the stream's clock, or the event's own where that is later.  The watermark runs
-    `behind` that clock, so that the engine takes no first event for late; timers are set as much earlier.
+    A key is a bucket of ids, which keeps until when each of its ids is remembered in one value: a call, a frame and a read of state for each id would
+    cost far more than the look.  A repeat has the time of its first event, so the time of a sight is the stream's clock, or the event's own where that
+    is later.  The watermark runs `behind` that clock, so that the engine takes no first event for late; timers are set as much earlier.
     """
 
-    def __init__(self, ms: int, behind: int):
-        self.ms, self.behind = ms, behind
+    def __init__(self, id_type, columns: list[str], ms: int, behind: int):
+        self.id_type, self.columns, self.ms, self.behind = id_type, columns, ms, behind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", StructType([StructField("ms", LongType())]))
+        self.until = handle.getValueState("until", StructType([StructField("ids", ArrayType(self.id_type)), StructField("ms", ArrayType(LongType()))]))
 
-    def handleInputRows(self, key, rows, timerValues):
-        now, known = timerValues.getCurrentWatermarkInMs() + self.behind, self.until.exists()
-        until, first = self.until.get()[0] if known else 0, None
-        for frame in rows:
-            if not known and len(frame):
-                top = frame.sort_values("seq_num", kind="stable").iloc[:1]
-                first = top if first is None or top["seq_num"].iloc[0] < first["seq_num"].iloc[0] else first
-            latest = int(frame["created_at"].astype("datetime64[ns]").max().value // 1_000_000) if len(frame) else 0
-            until = max(until, max(now, latest) + self.ms)
+    def _load(self) -> dict:
+        return dict(zip(*self.until.get(), strict=True)) if self.until.exists() else {}
+
+    def _store(self, known: dict) -> None:
+        """Writes what is known of the bucket, and one timer, at which the first of its ids is to go."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.until.update((until,))
-        self.handle.registerTimer(until - self.behind)
-        if first is not None:
-            yield first
+        if known:
+            self.until.update((list(known), list(known.values())))
+            self.handle.registerTimer(min(known.values()) - self.behind)
+        else:
+            self.until.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        now, known = timerValues.getCurrentWatermarkInMs() + self.behind, self._load()
+        frame = pd.concat(list(rows), ignore_index=True).sort_values("seq_num", kind="stable")
+        sights = pd.DataFrame({"id": frame["id"], "ms": frame["created_at"].astype("datetime64[ns]").astype("int64") // 1_000_000})
+        latest = sights.groupby("id", dropna=False)["ms"].max()
+        first = frame.drop_duplicates("id")
+        ids = [None if pd.isna(i) else i for i in first["id"].tolist()]
+        fresh = [i not in known for i in ids]
+        for i, at in zip((None if pd.isna(i) else i for i in latest.index.tolist()), latest.tolist(), strict=True):
+            known[i] = max(known.get(i, 0), max(now, at) + self.ms)
+        self._store(known)
+        if any(fresh):
+            yield first[fresh][self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.until.clear()
+        now = timerValues.getCurrentWatermarkInMs() + self.behind
+        self._store({i: until for i, until in self._load().items() if until >= now})  # as the engine tells timers: those before the watermark
         yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def seen_once(stream: DataFrame, minutes: int = 30, late_days: int = 31) -> DataFrame:
+def seen_once(stream: DataFrame, minutes: int = 30, late_days: int = 31, buckets: int = 4096) -> DataFrame:
     """Each id once, of the rows of a micro-batch that of the least seq_num; an id is remembered until `minutes` after its last sight.
 
     The clock is the newest created_at, less OUT_OF_ORDER; only rows `late_days` behind it are dropped.  deduplicated() is cheaper, and forgets an id
-    that long after its first sight.  Needs the RocksDB state store.
+    that long after its first sight.  buckets: of ids, each read and written as a whole; a checkpoint belongs to one number of them.  Needs the RocksDB state store.
     """
     ship(stream.sparkSession)
     schema = ", ".join(f"{c} {t}" for c, t in stream.dtypes)
-    keyed = stream.withWatermark("created_at", f"{OUT_OF_ORDER + late_days * 86400} seconds").groupBy("id")
-    return keyed.transformWithStateInPandas(Seen(minutes * 60_000, late_days * 86_400_000), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    # ids that are null have a bucket of their own, as one among whole numbers would make them floating
+    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(buckets))).cast("int")
+    keyed = stream.withWatermark("created_at", f"{OUT_OF_ORDER + late_days * 86400} seconds").withColumn("_bucket", bucket).groupBy("_bucket")
+    job = Seen(stream.schema["id"].dataType, stream.columns, minutes * 60_000, late_days * 86_400_000)
+    return keyed.transformWithStateInPandas(job, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def silver(raw: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
