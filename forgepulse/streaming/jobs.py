@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -122,6 +123,7 @@ class SlidingCounts(StatefulProcessor):
     """
 
     CHUNK = 60
+    FRAME = 50_000
     NEVER = -(2**62)
 
     def __init__(self, key: str, key_type, sizes: dict[str, int], behind: int = 0):
@@ -180,8 +182,10 @@ class SlidingCounts(StatefulProcessor):
         self.last = at if after is None else self.last
         return self.held[at]
 
-    def _rows(self, key, at: int, counts: dict[str, int]) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key] * len(counts), "window_size": list(counts), "changed_at": pd.to_datetime([at] * len(counts), unit="s"), "n": list(counts.values())})
+    def _rows(self, key, told: list[tuple[int, str, int]]) -> pd.DataFrame:
+        """One frame of (second, size, count): a frame a second would cost more than the counting."""
+        at, names, counts = zip(*told, strict=True)
+        return pd.DataFrame({self.key: [key] * len(told), "window_size": names, "changed_at": np.array(at, "datetime64[s]").astype("datetime64[us]"), "n": np.array(counts, "int64")})
 
     def handleInputRows(self, key, rows, timerValues):
         self._load()
@@ -212,7 +216,7 @@ class SlidingCounts(StatefulProcessor):
         if self.first is not None:
             self._store()
         if late:
-            yield self._rows(key[0], self.told, late)
+            yield self._rows(key[0], [(self.told, name, n) for name, n in late.items()])
 
     def _advance(self, f: int, upto: int, moves: dict[int, list[int]]) -> None:
         """Takes a front on to `upto`: what it meets goes to moves; the cursor stays at the chunk of what it meets next."""
@@ -242,13 +246,10 @@ class SlidingCounts(StatefulProcessor):
                 self._advance(f, upto, moves)
         out = []
         for t in sorted(moves):
-            changed = {}
             for i, name in enumerate(self.sizes):
                 if moves[t][i]:
                     self.totals[i] += moves[t][i]
-                    changed[name] = self.totals[i]
-            if changed:
-                out.append(self._rows(key[0], t, changed))
+                    out.append((t, name, self.totals[i]))
             self.told = t
         left = [c for c in self.cursors if c is not None]
         while self.first is not None and (not left or self.first < min(left)):
@@ -263,7 +264,8 @@ class SlidingCounts(StatefulProcessor):
             else:
                 self.last = None
         self._store()
-        yield from out
+        for i in range(0, len(out), self.FRAME):
+            yield self._rows(key[0], out[i : i + self.FRAME])
 
     def close(self) -> None:
         pass

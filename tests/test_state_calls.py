@@ -42,3 +42,13 @@ def test_a_bucket_remembers_each_of_its_ids_and_is_read_once():
     assert sorted(got) == sorted(want) and len(got) > 300
     list(job.handleExpiredTimer((1,), Clock(20_000), None))
     assert not held.values and not held.timers  # nothing is left of the bucket
+
+
+def test_a_timer_tells_all_its_seconds_in_one_frame():
+    held = Held()
+    job = L.SlidingCounts("k", LongType(), {"5m": 300, "1h": 3600})
+    job.init(held)
+    list(job.handleInputRows((1,), iter([pd.DataFrame({"created_at": pd.to_datetime([7 * i for i in range(400)], unit="s")})]), Clock(0)))
+    frames = list(job.handleExpiredTimer((1,), Clock(20_000), None))
+    assert len(frames) == 1 and len(frames[0]) == 4 * 400
+    assert frames[0]["n"].tolist()[-1] == 0 and frames[0].groupby("window_size")["n"].max().to_dict() == {"5m": 43, "1h": 400}
