@@ -113,7 +113,7 @@ def tumbling_stream(events: DataFrame, key: str, seconds: int = 300, metric: str
 class SlidingCounts(StatefulProcessor):
     """Counts of one key in windows that end each second, for several sizes.
 
-    State: the counts of all sizes at the last second told, and the events by the second in which they end, in chunks of a minute that are linked in
+    State: the counts of all sizes at the last second told, and the events by the second in which they end, in chunks of an hour that are linked in
     order of time.  A bucket moves the counts when it comes in and once for each size when it goes out; each of these fronts has a cursor to the
     chunk where it stands, so that a call reads the chunks that move and no others, however many the windows hold.  A timer at the
     next second that matters tells the windows that changed.  behind: seconds by which the watermark runs behind the time that windows close at, so that
@@ -122,7 +122,7 @@ class SlidingCounts(StatefulProcessor):
     passed it, and with the last one all that is known of the key: a key's state ends `widest` after its last event, by event time.
     """
 
-    CHUNK = 60
+    CHUNK = 3600
     FRAME = 50_000
     NEVER = -(2**62)
 
@@ -140,6 +140,7 @@ class SlidingCounts(StatefulProcessor):
     def _load(self) -> None:
         self.held: dict[int, list] = {}
         self.dirty: set[int] = set()
+        self.near: int | None = None
         if self.head.exists():
             told, first, last, totals, cursors, nexts = self.head.get()
             self.told, self.first, self.last, self.totals, self.cursors, self.next = told, first, last, list(totals), list(cursors), list(nexts)
@@ -167,10 +168,15 @@ class SlidingCounts(StatefulProcessor):
         self.handle.registerTimer((min(t for t in self.next if t is not None) - self.behind) * 1000)
 
     def _place(self, at: int) -> list:
-        """The chunk, put in order between the others if it is new; new ones are looked for from the last one back."""
-        before, after = self.last, None
+        """The chunk, put in order between the others if it is new; looked for from the one asked for before it, or from the last one."""
+        before, after = self.last if self.near is None else self.near, None
         while before is not None and before > at:
             before, after = self._chunk(before)[0], before
+        if before is not None and after is None:
+            after = self._chunk(before)[1]
+            while after is not None and after <= at:
+                before, after = after, self._chunk(after)[1]
+        self.near = at
         if before == at:
             return self._chunk(at)
         self.held[at] = [before, after, [], []]
@@ -189,30 +195,33 @@ class SlidingCounts(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         self._load()
+        # seconds in order, whatever the order of the rows, so that one walk along the chunks places all
+        seconds = pd.concat([(frame["created_at"].astype("datetime64[ns]").astype("int64") // 1_000_000_000 + 1).value_counts() for frame in rows]).groupby(level=0).sum()
+        seconds = seconds[seconds.index > self.told - max(self.sizes.values())]
+        ends, counts = seconds.index.to_numpy(), seconds.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(ends // self.CHUNK)) + 1).tolist(), len(ends)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            at = int(ends[a]) // self.CHUNK
+            chunk = self._place(at)
+            self.dirty.add(at)
+            known = dict(zip(chunk[2], chunk[3], strict=True))
+            for e, n in zip(ends[a:b].tolist(), counts[a:b].tolist(), strict=True):
+                known[e] = known.get(e, 0) + n
+            chunk[2], chunk[3] = list(known), list(known.values())
         late: dict[str, int] = {}
-        widest = max(self.sizes.values())
-        for frame in rows:
-            ends = frame["created_at"].astype("datetime64[ns]").astype("int64") // 1_000_000_000 + 1
-            for e, n in ends.value_counts().sort_index().items():
-                e, n = int(e), int(n)
-                if e <= self.told - widest:
-                    continue
-                at = e // self.CHUNK
-                chunk = self._place(at)
-                self.dirty.add(at)
-                if e in chunk[2]:
-                    chunk[3][chunk[2].index(e)] += n
-                else:
-                    chunk[2].append(e)
-                    chunk[3].append(n)
-                for i, (name, size) in enumerate(self.sizes.items()):
-                    if self.told - size < e <= self.told:
-                        self.totals[i] += n
-                        late[name] = self.totals[i]
-                for f, off in enumerate(self.fronts):
-                    if e + off > self.told:  # the front has yet to meet it
-                        self.next[f] = e + off if self.next[f] is None else min(self.next[f], e + off)
-                        self.cursors[f] = at if self.cursors[f] is None else min(self.cursors[f], at)
+        for i, (name, size) in enumerate(self.sizes.items()):
+            inside = (ends > self.told - size) & (ends <= self.told)
+            if inside.any():
+                self.totals[i] += int(counts[inside].sum())
+                late[name] = self.totals[i]
+        for f, off in enumerate(self.fronts):
+            yet = int(np.searchsorted(ends, self.told - off, side="right"))
+            if yet < len(ends):  # the front has yet to meet it
+                e = int(ends[yet])
+                self.next[f] = e + off if self.next[f] is None else min(self.next[f], e + off)
+                self.cursors[f] = e // self.CHUNK if self.cursors[f] is None else min(self.cursors[f], e // self.CHUNK)
         if self.first is not None:
             self._store()
         if late:

@@ -52,3 +52,32 @@ def test_a_timer_tells_all_its_seconds_in_one_frame():
     frames = list(job.handleExpiredTimer((1,), Clock(20_000), None))
     assert len(frames) == 1 and len(frames[0]) == 4 * 400
     assert frames[0]["n"].tolist()[-1] == 0 and frames[0].groupby("window_size")["n"].max().to_dict() == {"5m": 43, "1h": 400}
+
+
+def test_rows_in_any_order_are_placed_in_one_walk():
+    """Frames that each span all the time, as rows of many files come: as much work as sorted rows, and the same told."""
+    walked = []
+
+    class Counted(L.SlidingCounts):
+        def _chunk(self, at):
+            walked.append(at)
+            return super()._chunk(at)
+
+    def told(seconds, size):
+        held = Held()
+        job = Counted("k", LongType(), {"5m": 300, "1h": 3600})
+        job.init(held)
+        walked.clear()
+        frames = [pd.DataFrame({"created_at": pd.to_datetime(seconds[i : i + size], unit="s")}) for i in range(0, len(seconds), size)]
+        list(job.handleInputRows((1,), iter(frames), Clock(0)))
+        steps = len(walked)
+        out = pd.concat(list(job.handleExpiredTimer((1,), Clock(20_000_000), None)))
+        return steps, out.values.tolist()
+
+    seconds = [4000 * i + 7 * (i % 3) for i in range(1200)]
+    mixed = list(seconds)
+    random.Random(5).shuffle(mixed)
+    sorted_steps, want = told(seconds, len(seconds))
+    steps, got = told(mixed, 100)
+    assert got == want and len(got) == 4 * len(seconds)
+    assert steps <= sorted_steps + len(seconds) <= 6 * len(seconds)
