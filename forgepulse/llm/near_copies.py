@@ -34,6 +34,8 @@ REMEMBERED = 1 << 18
 SAMPLE, COMMON, TOLD = 16, 4, 100_000
 #: A key with more than MANY sets has PIVOTS that all are paired with before those in different components are; changes the cost and no result.
 MANY, PIVOTS = 64, 12
+#: Numbers of 64 bits in the bitmap that pairs of different components are held against before they become rows.
+FOLD = 8
 
 
 def shingles(data: np.ndarray, width: int) -> np.ndarray:
@@ -69,6 +71,12 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
+def folded(hashes: np.ndarray) -> np.ndarray:
+    """The parity bitmap of any set at one size, FOLD numbers of 64 bits: what a join's condition compares."""
+    bits = np.bincount((hashes >> np.uint64(7)) & np.uint64(64 * FOLD - 1), minlength=64 * FOLD) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     n = len(hashes)
     size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -107,9 +115,10 @@ def _sets(width: int, similarity: float, common: np.ndarray):
             prints = np.fromiter((fingerprint(lower_ascii(d).split(), width) if n else 0 for d, n in zip(C.raw_texts(batch.column("text")), new, strict=True)), dtype=np.uint64, count=len(new))
             prints = pa.array(C.signed(prints), mask=~np.array(new))
             bits = [parity(s) if n else None for s, n in zip(sets, new, strict=True)]
+            folds = [folded(s) if n else s[:0] for s, n in zip(sets, new, strict=True)]
             keys = [prefix(s, similarity, common) if n else s[:0] for s, n in zip(sets, new, strict=True)]
             columns = [batch.column("dk"), batch.column("row_key"), pa.array(C.signed(np.array(sig, dtype=np.uint64))), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, prints, pa.array(bits, pa.binary()), _long_lists(keys)], names=["dk", "row_key", "sig", "n", "fp", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([*columns, prints, pa.array(bits, pa.binary()), _long_lists(folds), _long_lists(keys)], names=["dk", "row_key", "sig", "n", "fp", "bits", "fold", "keys"])
 
     return run
 
@@ -191,9 +200,9 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    sets = stored(docs.mapInArrow(_sets(shingle, similarity, common), "dk long, row_key long, sig long, n long, fp long, bits binary, keys array<long>"), "sets")
+    sets = stored(docs.mapInArrow(_sets(shingle, similarity, common), "dk long, row_key long, sig long, n long, fp long, bits binary, fold array<long>, keys array<long>"), "sets")
     one = F.struct("dk", "row_key").alias("first")
-    nodes = stored(sets.groupBy("sig").agg(F.min(one).alias("first"), F.first("n").alias("n"), F.first("fp", ignorenulls=True).alias("fp"), F.first("bits", ignorenulls=True).alias("bits")), "nodes")
+    nodes = stored(sets.groupBy("sig").agg(F.min(one).alias("first"), F.first("n").alias("n"), F.first("fp", ignorenulls=True).alias("fp"), F.first("bits", ignorenulls=True).alias("bits"), F.max("fold").alias("fold")), "nodes")  # a copy that went without has an empty fold, which is less
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
@@ -240,14 +249,20 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     least = components(links)
     named = members.select("key", "sig", "n", "left", "pivot").join(least, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", "left", "pivot", F.coalesce("least", "sig").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b AND c > 2").select("key")
-    named = named.join(mixed, "key", "left_semi").checkpoint()
-    x, y = (named.select("key", "pivot" if s == "u" else F.lit(0).alias("_"), *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "left", "label"))) for s in "uv")
+    named = named.join(mixed, "key", "left_semi").join(nodes.select("sig", "fold"), "sig").checkpoint()
+    x, y = (named.select("key", "pivot" if s == "u" else F.lit(0).alias("_"), *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "left", "label", "fold"))) for s in "uv")
     apart_still = (F.col("label_u") < F.col("label_v")) & (F.col("sig_u") != F.col("pivot")) & (F.col("sig_v") != F.col("pivot"))
-    more = x.join(y, "key").where(apart_still & fits(F.col("n_u"), F.col("n_v")) & may_be(F.col("n_u"), F.col("left_u"), F.col("n_v"), F.col("left_v")))
+    # of sets that share a passage and little else, pairs fall here, in the join, and are never rows
+    differ = sum((F.bit_count(F.col("fold_u")[i].bitwiseXOR(F.col("fold_v")[i])) for i in range(FOLD)), F.lit(0)) <= (1 - similarity) / (1 + similarity) * (F.col("n_u") + F.col("n_v")) + 1e-9
+    more = x.join(y, "key").where(apart_still & fits(F.col("n_u"), F.col("n_v")) & may_be(F.col("n_u"), F.col("left_u"), F.col("n_v"), F.col("left_v")) & differ)
     more = more.select(F.least("sig_u", "sig_v").alias("u"), F.greatest("sig_u", "sig_v").alias("v"))
     rest = verified(more.distinct().join(drawn_pairs, ["u", "v"], "left_anti"))
-    least = components(links.union(rest))
-    kept = nodes.join(least, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("least", "sig").alias("label")).agg(F.min("first").alias("first"))
+    # what is left joins components, not sets
+    for end in "uv":
+        rest = rest.join(least.select(F.col("node").alias(end), F.col("least").alias(f"_{end}")), end, "left")
+    over = components(rest.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))).select(F.col("node").alias("label"), F.col("least").alias("over"))
+    labelled = nodes.join(least, F.col("sig") == F.col("node"), "left").select("first", F.coalesce("least", "sig").alias("label"))
+    kept = labelled.join(over, "label", "left").groupBy(F.coalesce("over", "label").alias("label")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.dk").alias("dk"), F.col("first.row_key").alias("row_key")).checkpoint()
     C.delete(spark, folder)
     # rows outside the map of those that go stay where they are; the others are told apart by a join
