@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,7 +230,9 @@ def archive_backfill(s: SparkSession, d: str) -> DataFrame:
 def archive_entities(s: SparkSession, d: str) -> DataFrame:
     """The batch job over raw events: the users and repositories that it stored, field by field."""
     store = T.Store(s, scratch(s))
-    L.backfill_entities(L.archived_events(raw_events(s, d)), store)
+    once = L.archived_events(raw_events(s, d)).persist(StorageLevel.DISK_ONLY)
+    L.backfill_entities(once, store)
+    once.unpersist()
     out = None
     for name, fields in (("users", N.USER_FIELDS), ("repos", N.REPO_FIELDS)):
         told = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.col(f"{f}_seq_num").alias("seq_num")) for f in fields)))
