@@ -524,17 +524,16 @@ def live_tables(store: Store, as_of=None, publish=None, only: tuple[str, ...] =
 
 
 def archived_events(raw: DataFrame) -> DataFrame:
-    """Typed events of an archive, each id once; event is its text."""
+    """Typed events of an archive, each id once; event is a VARIANT, so that it isn't parsed again for its mentions."""
     from ..operators.versioning import dedup
 
-    return dedup(E.typed(E.decode(raw), event="raw"))
+    return dedup(E.typed(E.decode(raw)))
 
 
 def backfill_entities(once: DataFrame, store: Store) -> None:
     """Users and repositories of archived events."""
     from ..operators import entities as N
 
-    once = E.decode(once.select(F.col("event").alias("raw"), "seq_num"))
     store.upsert(N.user_mentions(once), TABLES["users"])
     store.upsert(N.repo_mentions(once), TABLES["repos"])
 
