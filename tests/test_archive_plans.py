@@ -97,16 +97,13 @@ def test_texts_that_are_none_are_told_apart(spark):
 
 
 def test_a_table_of_one_partition_is_written_from_one_reading(spark, tmp_path, monkeypatch):
-    from pyspark.sql import DataFrame
-
     from forgepulse.schema import TABLES
     from forgepulse.sources.tables import Store
 
-    kept = []
-    persist = DataFrame.persist
-    monkeypatch.setattr(DataFrame, "persist", lambda self, *a, **k: (kept.append(self), persist(self, *a, **k))[1])
     store = Store(spark, str(tmp_path))
     batch = spark.createDataFrame([(1, "a", None, None, None, 5)], "id long, username string, avatar_url string, html_url string, user_type string, seq_num long")
+    kept, persist = [], type(batch).persist
+    monkeypatch.setattr(type(batch), "persist", lambda self, *a, **k: (kept.append(self), persist(self, *a, **k))[1])
     assert store.upsert(batch, TABLES["users"]) is None
     store.upsert(batch.limit(0), TABLES["users"])
     assert [(r.id, r.username) for r in store.read("users").collect()] == [(1, "a")] and not kept
