@@ -107,3 +107,14 @@ def test_a_table_of_one_partition_is_written_from_one_reading(spark, tmp_path, m
     assert store.upsert(batch, TABLES["users"]) is None
     store.upsert(batch.limit(0), TABLES["users"])
     assert [(r.id, r.username) for r in store.read("users").collect()] == [(1, "a")] and not kept
+
+
+def test_raw_events_are_joined_not_formatted(spark, tmp_path):
+    from forgepulse.queries import raw_events
+
+    spark.sql("SELECT 11L AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, CAST(NULL AS BIGINT) AS user_id, 'view' AS event_type, '{\"k\": 3}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    rows = raw_events(spark, str(tmp_path))
+    assert "format_string" not in plan(rows)
+    start = '{"id":"11","seq_num":11,"type":"%s","created_at":"2024-01-01T00:00:00Z","actor":{"id":null,"login":"unull","avatar_url":"a11"},"repo":{"id":3,"name":"onull/r3","stargazers_count":1,"watchers":11,"topics":["x","y"]},"payload":{'
+    (row,) = rows.collect()
+    assert row.raw.startswith(start % row.raw.split('"type":"')[1].split('"')[0]) and row.raw.endswith("}}")
