@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .simhash import components, fingerprint, lower_ascii, single, trie_links
+from .simhash import components, lower_ascii, single, trie_links
 
 #: Bits of the map of wanted rows, by which texts that nobody asks for stay where they are; a full map only lets more through.
 MAP_BITS = 1 << 23
@@ -46,7 +46,8 @@ def shingles(data: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     words = C.word_hashes(data, starts, ends)
     first = np.arange(max(1, len(words) - width + 1))
-    return np.unique(C.Rolling(words, 1).of(first, np.minimum(first + width, len(words))))
+    hashes = np.sort(C.Rolling(words, 1).of(first, np.minimum(first + width, len(words))))
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
 
 
 def signature(hashes: np.ndarray) -> int:
@@ -55,6 +56,14 @@ def signature(hashes: np.ndarray) -> int:
     return int(C.mix(np.array([total], dtype=np.uint64) + np.uint64(len(hashes)))[0])
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The SimHash of a set: bit i is 1 if it is set in over half the hashes; no hash: 0.  Equal sets have one, and no shingle is hashed again for it."""
+    total = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def parity(hashes: np.ndarray) -> bytes:
     """Bit i tells whether an odd number of hashes falls on i: two to four bits an element, a power of two of them.
 
@@ -78,9 +87,10 @@ def folded(hashes: np.ndarray) -> np.ndarray:
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first hashes in the order for all sets; common is sorted, so that a text costs what its own hashes do, however many are told."""
     n = len(hashes)
     size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-    last = np.isin(hashes, common)
+    last = common.take(np.searchsorted(common, hashes), mode="clip") == hashes if len(common) else np.zeros(n, dtype=bool)
     return np.concatenate((hashes[~last], hashes[last]))[:size]
 
 
@@ -112,7 +122,7 @@ def _sets(width: int, similarity: float, common: np.ndarray):
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(x)
-            prints = np.fromiter((fingerprint(lower_ascii(d).split(), width) if n else 0 for d, n in zip(C.raw_texts(batch.column("text")), new, strict=True)), dtype=np.uint64, count=len(new))
+            prints = np.fromiter((simhash(s) if n else 0 for s, n in zip(sets, new, strict=True)), dtype=np.uint64, count=len(new))
             prints = pa.array(C.signed(prints), mask=~np.array(new))
             bits = [parity(s) if n else None for s, n in zip(sets, new, strict=True)]
             folds = [folded(s) if n else s[:0] for s, n in zip(sets, new, strict=True)]
@@ -193,7 +203,7 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     docs = df.select(C.doc_key().alias("dk"), F.xxhash64("doc_id", "text").alias("row_key"), C.text_col().alias("text"))
     asked = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     often = asked.mapInArrow(_every(shingle), "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(TOLD)
-    common = often.select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    common = np.sort(often.select("h").toArrow().column("h").to_numpy().view(np.uint64))
     folder = f"{C.shared_folder(spark)}/near-{uuid.uuid4().hex}"
 
     def stored(rows: DataFrame, name: str) -> DataFrame:
