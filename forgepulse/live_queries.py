@@ -14,7 +14,7 @@ from .operators import history as H
 from .operators import ranking as R
 from .operators import sliding as S
 from .plans import enrich as J
-from .plans.query import Query, subscribed
+from .plans.query import Query, subscribed_totals
 from .queries import _CASE, _log, _OLDNEW, _updates, _add, _ev, _literal, _live, _live_sql, _parts, _ranking, _ranking_sql, _typed, AS_OF, EARLIER, EV, ORDER, RAW, raw_events
 from .runtime import shared_folder
 from .schema import TABLES
@@ -355,12 +355,12 @@ _add(
 
 def subscription_join(s: SparkSession, d: str) -> DataFrame:
     """Every user follows its own watches and the pushes of a range of repositories: subscriptions as a table, made from the events."""
-    users = _ev(s, d).select("user_id").distinct()
+    users = _ev(s, d).where("user_id IS NOT NULL").select("user_id").distinct()
     row = lambda branch, field, options=None, least=None, below=None: F.struct(F.lit(branch).alias("branch"), F.lit(field).alias("field"), (F.array(*options) if options else F.lit(None).cast("array<string>")).alias("options"), F.lit(least).cast("long").alias("least"), F.lit(below).cast("long").alias("below"))
     text = F.col("user_id").cast("string")
     low, high = F.col("user_id") % 90, F.col("user_id") % 90 + 2
     rows = users.select(F.concat(F.lit("s"), text).alias("name"), F.explode(F.array(row(0, "kind", [F.lit("watch")]), row(0, "user_id", [text]), row(1, "kind", [F.lit("push")]), row(1, "repo_id", None, low, high))).alias("r")).select("name", "r.*")
-    return subscribed(_ev(s, d).select("id", "kind", "user_id", "repo_id"), rows, "id").groupBy("name").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return subscribed_totals(_ev(s, d).select("id", "kind", "user_id", "repo_id"), rows, ["id"]).withColumnRenamed("id", "ids")
 
 
 _add(
